@@ -178,7 +178,9 @@ def slug_name(name: str) -> str:
 
 
 def normalize_text(c: ColumnLike, noise: str = codes.KEYWORD_NOISE) -> Column:
-    text = F.regexp_replace(F.upper(col(c)), r"[^A-Z0-9&]+", " ")
+    # Letters whose upper case is more than one letter count as other characters.
+    single = F.regexp_replace(col(c), "[\u00df\u0149\u01f0\u1e96-\u1e9a\ufb00-\ufb06]", " ")
+    text = F.regexp_replace(F.upper(single), r"[^A-Z0-9&]+", " ")
     return squish(F.regexp_replace(text, noise, " "))
 
 
