@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from acreline.queries import cleaning, joining, summaries  # noqa: F401
+from acreline.queries import (cleaning, inputs, joining, market,  # noqa: F401
+                              summaries)
 from acreline.queries.base import REGISTRY
 
 __all__ = ["REGISTRY"]
