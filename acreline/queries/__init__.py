@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from acreline.queries import (cleaning, inputs, joining, market,  # noqa: F401
+from acreline.queries import (cleaning, entities, inputs, joining, market,  # noqa: F401
                               summaries)
 from acreline.queries.base import REGISTRY
 
