@@ -265,6 +265,29 @@ GROUP_RATE_SOURCE = {
     "Medical/Life Science": "Multifamily",
 }
 
+# Market series without values in the forecast years, and the macro series kept.
+DEAD_SERIES = (
+    "availability_rate", "avail_rate_direct", "avail_rate_sublet",
+    "available_sf", "leasing_sf", "base_rent", "base_rent_direct",
+    "gross_rent", "gross_rent_direct", "cap_rate", "median_cap_rate",
+    "median_price_sf", "under_constr_sf", "constr_starts_sf",
+    "cap_value_index",
+)
+MACRO_PREDICTORS = (
+    "econ_employment_thous_yoy_lag1",
+    "econ_services_providing_yoy_lag1",
+    "econ_population_thous_yoy_lag1",
+    "econ_wholesale_and_retail_trade_yoy_lag1",
+    "econ_housing_permits_thous_yoy_lag1",
+    "econ_seattle_msa_s_p_corelogic_case_shilller_home_price_index_yoy_lag1",
+    "econ_seattle_msa_cpi_u_1982_1984_100_yoy_lag1",
+    "econ_employment_thous_lvl_lag1",
+    "econ_services_providing_lvl_lag1",
+    "econ_population_thous_lvl_lag1",
+    "econ_seattle_msa_s_p_corelogic_case_shilller_home_price_index_lvl_lag1",
+    "econ_seattle_msa_cpi_u_1982_1984_100_lvl_lag1",
+)
+
 REALIZATION_RATE = 0.47
 MAX_LOG_CHANGE = 0.4054651081081644  # ln(1.5)
 MAPE_FLOOR = 20000

@@ -62,12 +62,22 @@ def waterfall(cols: Sequence[ColumnLike], labels: Sequence[str]) -> tuple[Column
 
 
 def december_snapshot(df: DataFrame, cols: Sequence[str], date: str = "date",
-                      keys: Sequence[str] = (), spans: Sequence[int] = (6, 12)) -> DataFrame:
-    """Rolling monthly means taken in December for the next tax year."""
+                      keys: Sequence[str] = (), spans: Sequence[int] = (6, 12),
+                      year_lags: Sequence[int] = (), delta: bool = False) -> DataFrame:
+    """Rolling monthly means taken in December for the next tax year.
+
+    `year_lags` adds the values of earlier tax years and `delta` the change to
+    the tax year before.
+    """
     spec = {f"{c}_lag{k}": (c, k) for c in cols for k in spans}
     rolled = rolling_mean(df, list(keys), date, spec)
-    return rolled.filter(F.month(date) == 12).select(
+    out = rolled.filter(F.month(date) == 12).select(
         *keys, (F.year(date) + 1).alias("tax_yr"), *spec)
+    w = Window.partitionBy(*keys).orderBy("tax_yr")
+    more = {f"{c}_y{n}": F.lag(c, n).over(w) for c in spec for n in year_lags}
+    if delta:
+        more |= {f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in spec}
+    return out.withColumns(more)
 
 
 def macro_panel(levels: DataFrame, deltas: DataFrame, names: Sequence[str],

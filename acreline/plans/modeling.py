@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -248,7 +249,8 @@ def fit_model(frame: DataFrame, target: str, numeric: Sequence[str],
     medians = fit_imputer(frame, numeric)
     numeric = tuple(c for c in numeric if c in medians)
     categorical = tuple(categorical)
-    ready = apply_imputer(frame, medians, categorical)
+    # Every fold and every tree reads the frame again, so it is kept while fitting.
+    ready = apply_imputer(frame, medians, categorical).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = RegressionEvaluator(labelCol=target, metricName="rmse")
     scores, sizes = [], []
     for cut in folds:
@@ -260,6 +262,7 @@ def fit_model(frame: DataFrame, target: str, numeric: Sequence[str],
         sizes.append(fitted.stages[-1].getNumTrees)
     trees = max(1, round(sum(sizes) / len(sizes))) if sizes else max_trees
     final = _pipeline(numeric, categorical, target, trees, weight).fit(ready)
+    ready.unpersist()
     return FittedModel(final, target, numeric, categorical, medians,
                        sum(scores) / len(scores) if scores else None, trees)
 

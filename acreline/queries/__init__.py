@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from acreline.queries import (cleaning, entities, inputs, joining, market,  # noqa: F401
-                              summaries)
+from acreline.queries import (cleaning, entities, forecasting, inputs,  # noqa: F401
+                              joining, market, reconciling, summaries)
 from acreline.queries.base import REGISTRY
 
 __all__ = ["REGISTRY"]

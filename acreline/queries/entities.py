@@ -34,7 +34,7 @@ tot AS (SELECT parcel_id, CAST(SUM(sq) AS DOUBLE) AS area, MAX(units) AS units F
 @query("I01", f"""
 WITH {_RES_SQL}
 SELECT par.parcel_id, CAST(grade AS INT) AS avg_bldg_grade, CAST(yr AS INT) AS yr_built_primary, area AS total_living_sqft,
-  CAST(least(grade, 13) AS INT) AS bldg_grade_capped, CAST(COALESCE(tot.units BETWEEN 2 AND 4, FALSE) AS INT) AS is_small_mf,
+  CAST(CASE WHEN grade IS NOT NULL THEN least(grade, 13) END AS INT) AS bldg_grade_capped, CAST(COALESCE(tot.units BETWEEN 2 AND 4, FALSE) AS INT) AS is_small_mf,
   CAST(COALESCE(area, 0) = 0 AS INT) AS is_land_only,
   CAST(NOT (pct BETWEEN 1 AND 99) AND COALESCE(tax_stat = 'T', TRUE) AND tax_val_reason IS NULL AND hbu < 6 AS INT) AS model_flag,
   CAST(noise + CAST(pw = 'Y' AS INT) AS INT) AS nuisance_score, {sql_codes('hbu', codes.HIGHEST_BEST_USE_LABELS)} AS hbu_as_if_vacant_desc

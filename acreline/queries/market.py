@@ -73,11 +73,13 @@ def geography_waterfall(t: Tables):
 WITH {_MONTHS_SQL}, r AS (SELECT sub, yr, mn, CASE WHEN COUNT(*) OVER w6 >= 6 THEN AVG(n) OVER w6 END AS n_lag6,
     CASE WHEN COUNT(*) OVER w12 >= 12 THEN AVG(n) OVER w12 END AS n_lag12 FROM m
   WINDOW w6 AS (PARTITION BY sub ORDER BY yr, mn ROWS 5 PRECEDING), w12 AS (PARTITION BY sub ORDER BY yr, mn ROWS 11 PRECEDING))
-SELECT sub, CAST(yr + 1 AS INT) AS tax_yr, round(n_lag6, 9) AS n_lag6, round(n_lag12, 9) AS n_lag12 FROM r WHERE mn = 12""")
+SELECT sub, CAST(yr + 1 AS INT) AS tax_yr, round(n_lag6, 9) AS n_lag6, round(n_lag12, 9) AS n_lag12, round(lag(n_lag6) OVER o, 9) AS n_lag6_y1,
+  round(n_lag12 - lag(n_lag12) OVER o, 8) AS n_lag12_delta FROM r WHERE mn = 12 WINDOW o AS (PARTITION BY sub ORDER BY yr)""")
 def december_snapshot(t: Tables):
     m = _months(t).withColumn("date", F.make_date("yr", "mn", F.lit(1)))
-    out = se.december_snapshot(m, ["n"], keys=["sub"])
-    return out.select("sub", "tax_yr", dbl("n_lag6", "n_lag6", 9), dbl("n_lag12", "n_lag12", 9))
+    out = se.december_snapshot(m, ["n"], keys=["sub"], year_lags=[1], delta=True)
+    return out.select("sub", "tax_yr", *[dbl(c, c, 8 if "delta" in c else 9) for c in (
+        "n_lag6", "n_lag12", "n_lag6_y1", "n_lag12_delta")])
 
 
 _MACRO = ("1-URGENT", "5-LOW")
