@@ -27,8 +27,13 @@ Scorer = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class ForecastOptions:
-    """Policies of the sequential forecast."""
+    """Policies of the sequential forecast.
 
+    `track` picks the published rates: "com" routes specialty and geographic
+    rates, "res" takes the residential area rate.
+    """
+
+    track: str = "com"                   # or "res"
     geo_scope: str = "nonspecialty"      # or "all"
     specialty_policy: str = "model"      # or "hold", "prior"
     land_only_gate: bool = True
@@ -137,7 +142,8 @@ def ratio_fallback(history: DataFrame, key: str = KEY) -> DataFrame:
 def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping[str, Scorer],
                         rates: DataFrame | None = None,
                         options: ForecastOptions = ForecastOptions(),
-                        features: Sequence[str] = ()) -> DataFrame:
+                        features: Sequence[str] = (), land_col: str = "appr_land_val",
+                        imps_col: str = "appr_imps_val") -> DataFrame:
     """Forecast land and improvements year by year for consecutive `years`.
 
     `panel` holds the history and the future rows (see `extend_panel`), with
@@ -146,14 +152,18 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
     impr_level: functions (frame, name) -> frame with the prediction in `name`.
     A scorer sees the features of the year and log_land_lag1, log_land_lag2 and
     log_imps_lag1, which are predictions of the years before. A published rate
-    goes before the delta model, the delta model before the level model.
+    goes before the delta model, the delta model before the level model. The
+    result has one row per entity and year, with the method of each part.
     """
     years = sorted(int(y) for y in years)
     if years != list(range(years[0], years[-1] + 1)):
         raise ValueError("forecast years must be consecutive")
     last_obs = years[0] - 1
     rows = panel.filter(F.col(YEAR) <= years[-1])
-    if rates is not None:
+    if rates is not None and options.track == "res":
+        rows = area_anchor(rows, rates).withColumn(
+            "rate_source", F.when(F.col("dlog_actual").isNotNull(), "area_report"))
+    elif rates is not None:
         rows = route_rates(rows, rates, options, years[-1])
     else:
         rows = rows.withColumns({"dlog_actual": F.lit(None).cast("double"),
@@ -167,19 +177,22 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
 
     carried = ["dlog_actual", "rate_source", *features]
     aggs = [
-        log_at("appr_land_val", last_obs).alias("_land1"),
-        log_at("appr_land_val", last_obs - 1).alias("_land2"),
-        log_at("appr_imps_val", last_obs).alias("_imps1"),
-        F.max(F.when(past, F.col("appr_imps_val"))).alias("_max_imps"),
-        F.max(F.when(past, F.col("appr_land_val"))).alias("_max_land"),
+        log_at(land_col, last_obs).alias("_land1"),
+        log_at(land_col, last_obs - 1).alias("_land2"),
+        log_at(imps_col, last_obs).alias("_imps1"),
+        F.max(F.when(past, F.col(imps_col))).alias("_max_imps"),
+        F.max(F.when(past, F.col(land_col))).alias("_max_land"),
         *[F.max(F.when(F.col(YEAR) == y, F.struct(*carried))).alias(f"_y{y}") for y in years]]
     wide = rows.groupBy(KEY).agg(*aggs)
     land_only = (F.col("_max_land") > 0) & (F.coalesce("_max_imps", F.lit(0)) <= 0)
     wide = wide.withColumn("_gated", F.coalesce(land_only, F.lit(False))
                            if options.land_only_gate else F.lit(False))
     has_impr = "impr_delta" in scorers or "impr_level" in scorers
-    if not has_impr and "land_delta" in scorers:
-        wide = wide.join(ratio_fallback(panel.filter(past)), KEY, "left")
+    use_ratio = not has_impr and "land_delta" in scorers
+    if use_ratio:
+        history = panel.filter(past).withColumns({"appr_land_val": F.col(land_col),
+                                                  "appr_imps_val": F.col(imps_col)})
+        wide = wide.join(ratio_fallback(history), KEY, "left")
 
     null = F.lit(None).cast("double")
     for y in years:
@@ -190,25 +203,30 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
         for name in ("land_delta", "land_level", "impr_delta", "impr_level"):
             wide = (scorers[name](wide, f"_{name}") if name in scorers
                     else wide.withColumn(f"_{name}", null))
-        rate = F.col("dlog_actual")
-        land = F.coalesce(F.col("_land1") + rate,
-                          F.col("_land1") + cap_dlog("_land_delta", options.cap),
-                          F.col("_land_level"))
-        level = F.when(~F.col("_gated"), F.col("_impr_level"))
-        wide = wide.withColumn("_land", F.when(at.isNotNull(), land))
-        imps = F.coalesce(F.col("_imps1") + rate,
-                          F.col("_imps1") + cap_dlog("_impr_delta", options.cap), level)
-        if not has_impr and "land_delta" in scorers:
-            imps = F.coalesce(imps, F.when(~F.col("_gated"),
-                                           F.col("_land") + log_pos("ratio")))
-        wide = wide.withColumn("_imps", F.when(at.isNotNull(), imps))
+        open_ = lambda c: F.when(~F.col("_gated"), c)
+
+        def steps(lag, part):
+            return [(F.col(lag) + F.col("dlog_actual"), "actual"),
+                    (F.col(lag) + cap_dlog(f"_{part}_delta", options.cap), "delta")]
+
+        land = steps("_land1", "land") + [(F.col("_land_level"), "level")]
+        imps = steps("_imps1", "impr") + [(open_(F.col("_impr_level")), "level")]
+        if use_ratio:
+            imps.append((open_(F.col("_land") + log_pos("ratio")), "ratio"))
+        for out, ways in (("_land", land), ("_imps", imps)):
+            wide = wide.withColumns({
+                out: F.when(at.isNotNull(), F.coalesce(*[c for c, _ in ways])),
+                f"{out}_method": first_match([(c.isNotNull(), m) for c, m in ways])})
         imps_val = F.when(F.col("_gated"), F.lit(0.0)).otherwise(F.exp("_imps"))
         wide = wide.withColumn(f"_out{y}", F.when(at.isNotNull(), F.struct(
             F.lit(y).alias(YEAR), F.col("_land").alias("pred_log_land"),
             F.col("_imps").alias("pred_log_imps"),
             F.exp("_land").alias("pred_appr_land_val"), imps_val.alias("pred_appr_imps_val"),
             (F.exp("_land") + imps_val).alias("pred_total_assessed"),
-            F.coalesce("rate_source", F.lit("model")).alias("rate_source"))))
+            F.coalesce("rate_source", F.lit("model")).alias("rate_source"),
+            F.col("_land_method").alias("land_method"),
+            F.when(F.col("_gated"), "land_only").otherwise(F.col("_imps_method"))
+            .alias("impr_method"))))
         wide = wide.withColumns({"_land2": F.col("_land1"), "_land1": F.col("_land"),
                                  "_imps1": F.col("_imps")}).drop(f"_y{y}")
     outs = F.filter(F.array(*[F.col(f"_out{y}") for y in years]), lambda s: s.isNotNull())

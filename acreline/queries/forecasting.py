@@ -339,7 +339,7 @@ def ratio_fallback(t: Tables):
 
 # -- sequential forecast -----------------------------------------------------
 
-_CAP = codes.MAX_LOG_CHANGE
+_CAP = 0.37  # not the default ln(1.5): cents times 1.5 would end on a rounding tie
 
 
 def _clip(x: str) -> str:
@@ -361,12 +361,12 @@ f AS (SELECT parcel_id, 2001 AS y, l, i, gate, size, NULL::VARCHAR AS src FROM b
 
 @query("J14", f"""
 WITH RECURSIVE {_SEQ_SQL}
-SELECT parcel_id, CAST(y AS INT) AS tax_yr, round(exp(l), 1) AS pred_appr_land_val, round(CASE WHEN gate THEN 0 ELSE exp(i) END, 1) AS pred_appr_imps_val,
-  round(exp(l) + CASE WHEN gate THEN 0 ELSE exp(i) END, 1) AS pred_total_assessed, src AS rate_source FROM f WHERE y > 2001""")
+SELECT parcel_id, CAST(y AS INT) AS tax_yr, round(exp(l), 4) AS pred_appr_land_val, round(CASE WHEN gate THEN 0 ELSE exp(i) END, 4) AS pred_appr_imps_val,
+  round(exp(l) + CASE WHEN gate THEN 0 ELSE exp(i) END, 4) AS pred_total_assessed, src AS rate_source FROM f WHERE y > 2001""")
 def sequential_forecast(t: Tables):
     out = fc.forecast_sequential(_forecast_panel(t), [2002, 2003, 2004], _scorers(), _published(t),
-                                 features=["size"])
-    return out.select(_K, _Y, *[dbl(c, c, 1) for c in ("pred_appr_land_val", "pred_appr_imps_val",
+                                 fc.ForecastOptions(cap=_CAP), features=["size"])
+    return out.select(_K, _Y, *[dbl(c, c, 4) for c in ("pred_appr_land_val", "pred_appr_imps_val",
                                                        "pred_total_assessed")], "rate_source")
 
 
@@ -379,6 +379,26 @@ def _forecast_panel(t: Tables):
     return md.extend_panel(history, [2002, 2003, 2004], targets=["appr_land_val", "appr_imps_val"])
 
 
+@query("J14 J16 E18", f"""
+WITH RECURSIVE {PARTS_SQL}, {_RATES_SQL},
+h AS (SELECT parcel_id, tax_yr, ln(CAST(appr_land_val AS DOUBLE)) AS l, CASE WHEN parcel_id % 10 = 0 THEN NULL ELSE ln(CAST(appr_imps_val AS DOUBLE)) END AS i FROM parts),
+e AS (SELECT parcel_id, MAX(CASE WHEN tax_yr = 2001 THEN l END) AS l, MAX(CASE WHEN tax_yr = 2001 THEN i END) AS i, COUNT(i) = 0 AND COUNT(l) > 0 AS gate FROM h GROUP BY 1),
+f AS (SELECT parcel_id, 2001 AS y, l, i, gate, parcel_id % 7 AS size, c_nationkey AS area, FALSE AS act FROM e JOIN customer ON c_custkey = parcel_id
+  UNION ALL SELECT parcel_id, y + 1, l + COALESCE(ln(1 + pct), 0.01 + 0.002 * size), i + COALESCE(ln(1 + pct), 0.15 * size - 0.01 * i), gate, size, f.area, pct IS NOT NULL
+  FROM f LEFT JOIN rates r ON r.pt = 'res' AND r.area = f.area AND r.ayr = f.y WHERE y < 2003),
+m AS (SELECT y, CASE WHEN l IS NULL THEN 'none' WHEN act THEN 'actual' ELSE 'delta' END AS lm, CASE WHEN gate THEN 'land_only' WHEN i IS NULL THEN 'none' WHEN act THEN 'actual' ELSE 'delta' END AS im,
+  exp(l) + CASE WHEN gate THEN 0 ELSE exp(i) END AS t FROM f WHERE y > 2001)
+SELECT CAST(y AS INT) AS tax_yr, lm AS land_method, im AS impr_method, COUNT(*) AS n, round(SUM(t), 2) AS total FROM m GROUP BY 1, 2, 3""")
+def residential_sequential_forecast(t: Tables):
+    s = _scorers()
+    deltas = {k: s[k] for k in ("land_delta", "impr_delta")}
+    out = fc.forecast_sequential(_forecast_panel(t), [2002, 2003], deltas, _published(t),
+                                 fc.ForecastOptions(track="res", cap=None), features=["size"])
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    return out.groupBy(_Y, none("land_method"), none("impr_method")).agg(
+        F.count(F.lit(1)).alias("n"), dbl(F.sum("pred_total_assessed"), "total", 2))
+
+
 @query("J08 J10 J14")
 def sequential_forecast_with_models(t: Tables):
     panel_ = _forecast_panel(t)
@@ -445,8 +465,8 @@ w AS (SELECT *, tax_yr >= 2002 AS fut, exp(SUM(CASE WHEN tax_yr >= 2002 THEN COA
     last_value(i IGNORE NULLS) OVER o AS bi, last_value(t IGNORE NULLS) OVER o AS bt FROM s WINDOW o AS (PARTITION BY parcel_id ORDER BY tax_yr ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, CASE WHEN fut AND bl IS NOT NULL THEN bl * gw ELSE l END AS pl, CASE WHEN fut AND bi IS NOT NULL THEN bi * gw ELSE i END AS pi FROM w)
 SELECT parcel_id, tax_yr, CASE WHEN geo IS NOT NULL THEN 'geo_report' WHEN fut AND d IS NOT NULL THEN basis WHEN fut THEN 'flat_fallback' END AS co_rate_source,
-  round(pl, 1) AS pred_appr_land_val, round(pi, 1) AS pred_appr_imps_val, round(CASE WHEN bl IS NOT NULL OR bi IS NOT NULL THEN CASE WHEN pl IS NULL AND pi IS NULL THEN NULL ELSE COALESCE(pl, 0) + COALESCE(pi, 0) END
-    WHEN fut AND bt IS NOT NULL THEN bt * gw ELSE t END, 1) AS pred_total_assessed FROM p""")
+  round(pl, 4) AS pred_appr_land_val, round(pi, 4) AS pred_appr_imps_val, round(CASE WHEN bl IS NOT NULL OR bi IS NOT NULL THEN CASE WHEN pl IS NULL AND pi IS NULL THEN NULL ELSE COALESCE(pl, 0) + COALESCE(pi, 0) END
+    WHEN fut AND bt IS NOT NULL THEN bt * gw ELSE t END, 4) AS pred_total_assessed FROM p""")
 def residual_forecast(t: Tables):
     k = F.col("c_custkey")
     snap = t.customer.select(k.alias(_K), F.col("c_nationkey").alias("area"), (k % 3).cast("int").alias("spec_area"))
@@ -458,7 +478,7 @@ def residual_forecast(t: Tables):
                            F.when(key % 8 == 0, land).alias("total_assessed"))
     rate = fc.residual_rate(_growth(t).filter("tax_yr < 1998")).withColumn(_Y, F.col(_Y) + 6)
     out = fc.residual_forecast(panel_, rate, 2002, _published(t))
-    return out.select(_K, _Y, "co_rate_source", *[dbl(c, c, 1) for c in (
+    return out.select(_K, _Y, "co_rate_source", *[dbl(c, c, 4) for c in (
         "pred_appr_land_val", "pred_appr_imps_val", "pred_total_assessed")])
 
 
