@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreline.functions.cleaning import ColumnLike, col
@@ -28,8 +28,7 @@ def with_group(df: DataFrame, keys, aggs: Mapping[str, Column]) -> DataFrame:
     keys = _keys(keys)
     named = [c.alias(name) for name, c in aggs.items()]
     if not keys:
-        one_row = df.agg(*named).withColumn("_all", F.lit(1))
-        return df.withColumn("_all", F.lit(1)).join(F.broadcast(one_row), "_all").drop("_all")
+        return df.withColumns({name: df.agg(c).scalar() for name, c in aggs.items()})
     totals = df.groupBy(*keys).agg(*named)
     totals = totals.withColumnsRenamed({k: f"_group_{k}" for k in keys})
     match = None
@@ -129,13 +128,12 @@ def median_by(df: DataFrame, keys, c: str, out: str = "median",
     keys = _keys(keys)
     if not large:
         return df.groupBy(*keys).agg(F.expr(f"percentile(`{c}`, 0.5)").alias(out))
-    values = df.filter(F.col(c).isNotNull()).select(
-        *keys, F.col(c).cast("double").alias("_v"))
+    counts = (df.filter(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_here")))
     cuts = [i / 256 for i in range(1, 256)]
-    sizes = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
+    sizes = counts.groupBy(*keys).agg(
+        F.sum("_here").alias("_n"), F.count(F.lit(1)).alias("_values"),
         F.percentile_approx("_v", cuts, F.lit(10000)).alias("_cuts"))
-    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_here"))
     if keys:
         renamed = sizes.withColumnsRenamed({k: f"_size_{k}" for k in keys})
         match = F.lit(True)
@@ -143,13 +141,12 @@ def median_by(df: DataFrame, keys, c: str, out: str = "median",
             match = match & F.col(k).eqNullSafe(F.col(f"_size_{k}"))
         counts = counts.join(renamed, match).drop(*[f"_size_{k}" for k in keys])
     else:
-        one = F.lit(1).alias("_one")
-        one_row = F.broadcast(sizes.select("*", one))
-        counts = counts.select("*", one).join(one_row, "_one").drop("_one")
+        counts = counts.withColumns({s: sizes.select(s).scalar()
+                                     for s in ("_n", "_values", "_cuts")})
     # Only groups above a task-sized bound are cut.
-    chunk = F.when(F.col("_n") > 100_000,
+    chunk = F.when(F.col("_values") > 100_000,
                    F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).otherwise(0)
-    counts = counts.withColumn("_range", chunk).drop("_cuts")
+    counts = counts.withColumn("_range", chunk).drop("_cuts", "_values")
     ranked = running(counts, keys, "_v", {"_upto": ("sum", "_here")},
                      chunk=F.col("_range"))
     low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
@@ -195,11 +192,18 @@ def ever(df: DataFrame, keys, flags: Mapping[str, Column]) -> DataFrame:
           for n, c in flags.items()])
 
 
-def share(df: DataFrame, keys, value: str, out: str = "share") -> DataFrame:
-    """Each row's share of its group total."""
+def share(df: DataFrame, keys, value: str, out: str = "share",
+          small_groups: bool = False) -> DataFrame:
+    """Each row's share of its group total.
+
+    `small_groups` says that a group is small by construction, such as the tracks
+    of one year; then one window does it.
+    """
+    if small_groups:
+        whole = F.sum(value).over(Window.partitionBy(*_keys(keys)))
+        return df.withColumn(out, _ratio(F.col(value), whole))
     joined = with_group(df, keys, {"_total": F.sum(value)})
-    ratio = F.try_divide(F.col(value).cast("double"), F.col("_total").cast("double"))
-    return joined.withColumn(out, ratio).drop("_total")
+    return joined.withColumn(out, _ratio(F.col(value), F.col("_total"))).drop("_total")
 
 
 def total_spec_by_name(cols: Sequence[str]) -> dict[str, str]:

@@ -131,10 +131,9 @@ def ratio_fallback(history: DataFrame, key: str = KEY) -> DataFrame:
     ratio = F.col("appr_imps_val").cast("double") / F.col("appr_land_val").cast("double")
     usable = history.filter((F.col("appr_land_val") > 0) & F.col("appr_imps_val").isNotNull())
     own = median_by(usable.withColumn("_ratio", ratio), key, "_ratio", "ratio", large=False)
-    overall = median_by(own, [], "ratio", "global_ratio").withColumn("_one", F.lit(1))
-    return (history.select(key).distinct().join(own, key, "left").withColumn("_one", F.lit(1))
-            .join(F.broadcast(overall), "_one", "left")
-            .select(key, F.coalesce("ratio", "global_ratio").alias("ratio")))
+    overall = median_by(own, [], "ratio", "global_ratio").scalar()
+    return (history.select(key).distinct().join(own, key, "left")
+            .select(key, F.coalesce("ratio", overall).alias("ratio")))
 
 
 # -- sequential forecast -----------------------------------------------------
@@ -381,19 +380,26 @@ def aggregate_forecast(groups: DataFrame, rates: DataFrame, base_year: int, last
     The scenarios add and subtract `adjust` from the total's growth.
     """
     shift = 1 if rate_year == "from" else 0
-    steps = rates.filter(F.col("year").between(base_year + 1 - shift, last_year)).select(
-        "rate_group", (F.col("year") + shift).alias("tax_year"), "gyy")
+    horizon = range(base_year + 1, last_year + shift + 1)
+    # One row per series with its rates in year order; the base year has factor 1.
+    paths = rates.groupBy("rate_group").agg(F.array(
+        F.struct(F.lit(base_year).alias("tax_year"), F.lit(1.0).alias("_step")),
+        *[F.struct(F.lit(y).alias("tax_year"),
+                   (1 + F.max(F.when(F.col("year") == y - shift, F.col("gyy")))).alias("_step"))
+          for y in horizon]).alias("_path"))
     mapped = groups.withColumn("rate_group", code_label(
         "forecast_group", codes.GROUP_RATE_SOURCE, default=fallback))
+    steps = mapped.join(paths, "rate_group", "left").select(
+        "forecast_group", "base", F.inline("_path"))
     w = (Window.partitionBy("forecast_group").orderBy("tax_year")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = mapped.join(steps, "rate_group").withColumns({
-        "_unknown": F.max(F.col("gyy").isNull().cast("int")).over(w),
-        "_factor": F.product(1 + F.col("gyy")).over(w)})
-    path = path.select("tax_year", F.when(F.col("_unknown") == 0, F.col("base") * F.col("_factor"))
-                       .alias("av"))
-    base = groups.select(F.lit(base_year).alias("tax_year"), F.col("base").alias("av"))
-    total = base.unionByName(path).groupBy("tax_year").agg(F.sum("av").alias("baseline"))
+    path = steps.withColumns({"_unknown": F.max(F.col("_step").isNull().cast("int")).over(w),
+                              "_factor": F.product("_step").over(w)})
+    path = path.withColumn("av", F.when(F.col("_unknown") == 0,
+                                        F.col("base") * F.col("_factor")))
+    # A group without a rate makes the total unknown, not smaller.
+    total = path.groupBy("tax_year").agg(
+        F.when(F.count("av") == F.count(F.lit(1)), F.sum("av")).alias("baseline"))
     # The total has one row per year of the horizon.
     order = Window.orderBy("tax_year")
     total = total.withColumn("_g", growth("baseline", F.lag("baseline").over(order)))

@@ -66,7 +66,7 @@ def certified_split(anchors: DataFrame, appraised: DataFrame) -> DataFrame:
 def split_by_share(raw: DataFrame, anchor: DataFrame, year: str, group: str, value: str,
                    anchor_value: str, out: str = "av") -> DataFrame:
     """Spread a yearly anchor over groups by their raw shares."""
-    return (share(raw, year, value).join(anchor, year, "inner")
+    return (share(raw, year, value, small_groups=True).join(anchor, year, "inner")
             .select(year, group, (F.col("share") * F.col(anchor_value).cast("double")).alias(out)))
 
 
@@ -108,15 +108,17 @@ def compound(base: DataFrame, rates: DataFrame, keys: Sequence[str], base_year:
              last_year: int, value: str = "cert_av", scenario: str = "scenario",
              year: str = YEAR, g: str = "gyy") -> DataFrame:
     """Base values compounded forward per scenario; a missing rate is 0."""
-    spine = F.sequence(F.lit(base_year), F.lit(last_year))
-    grid = (rates.select(*keys, scenario).distinct().join(base, list(keys), "inner")
-            .withColumn(year, F.explode(spine))
-            .join(rates.select(*keys, scenario, year, g), [*keys, scenario, year], "left"))
-    step = F.when(F.col(year) > base_year, 1 + F.coalesce(F.col(g), F.lit(0.0))).otherwise(1.0)
+    # One row per key and scenario with its yearly factors, so rates are read once.
+    rate_in = lambda y: F.coalesce(F.max(F.when(F.col(year) == y, F.col(g))), F.lit(0.0))
+    path = F.array(F.struct(F.lit(base_year).alias(year), F.lit(1.0).alias("_step")),
+                   *[F.struct(F.lit(y).alias(year), (1 + rate_in(y)).alias("_step"))
+                     for y in range(base_year + 1, last_year + 1)])
+    grid = (rates.groupBy(*keys, scenario).agg(path.alias("_path")).join(base, list(keys), "inner")
+            .select(*keys, scenario, value, F.inline("_path")))
     w = (Window.partitionBy(*keys, scenario).orderBy(year)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return grid.select(*keys, scenario, year,
-                       (F.col(value).cast("double") * F.product(step).over(w)).alias(value))
+                       (F.col(value).cast("double") * F.product("_step").over(w)).alias(value))
 
 
 def stock_flow(df: DataFrame, keys: Sequence[str], flow: str, g: str, year: str = YEAR,
@@ -181,13 +183,13 @@ def trajectory(df: DataFrame, by: Sequence[str], entity: str, value: str,
         F.sum(F.col(value).isNull().cast("int")).alias("n_missing"))
     w = Window.partitionBy(*by).orderBy(year)
     grown = sums.withColumn("yoy_pct", 100 * growth("total", F.lag("total").over(w)))
-    return share(grown, year, "total", "year_share")
+    return share(grown, year, "total", "year_share", small_groups=True)
 
 
-def grand_total(tracks: Mapping[str, DataFrame], certified: Mapping[int, float],
-                year: str = YEAR, value: str = "total") -> DataFrame:
-    """Sum of the tracks per year, growth, and the gap to the certified total."""
-    total = stack(list(tracks.values())).groupBy(year).agg(F.sum(value).alias("grand"))
+def grand_total(tracks: DataFrame, certified: Mapping[int, float], year: str = YEAR,
+                value: str = "total") -> DataFrame:
+    """Sum of all tracks per year, growth, and the gap to the certified total."""
+    total = tracks.groupBy(year).agg(F.sum(value).alias("grand"))
     cert = F.lit(None).cast("double")
     for y, v in certified.items():
         cert = F.when(F.col(year) == y, F.lit(float(v))).otherwise(cert)

@@ -214,9 +214,9 @@ s AS (SELECT a, l1 + 0.02 AS p FROM y WHERE tax_yr = 2000 AND l1 IS NOT NULL)
 SELECT COUNT(*) AS n, round(sqrt(AVG((a - p) ** 2)), 6) AS rmse_log, round(AVG(abs(exp(a) - exp(p)) / greatest(exp(a), 20000)), 6) AS mape,
   round(SUM(abs(exp(a) - exp(p))) / SUM(exp(a)), 6) AS wape, round(SUM(exp(p)) / SUM(exp(a)) - 1, 6) AS gap_pct FROM s""")
 def holdout_evaluation(t: Tables):
-    metrics, totals = md.evaluate_holdout(panel(t), 2000, "v", lambda df, out: df.withColumn(out, F.lit(0.02)))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(metrics).join(one(totals), "_one").select(
+    metrics, totals = md.evaluate_holdout(panel(t), 2000, "v", lambda df, out: df.withColumn(out, F.lit(0.02)),
+                                          by=[_Y])
+    return metrics.join(totals, _Y).select(
         "n", *[dbl(c, c, 6) for c in ("rmse_log", "mape", "wape", "gap_pct")])
 
 

@@ -202,4 +202,5 @@ SELECT CAST(2026 AS INT) AS assessment_yr, prop_type, report_kind, area, spec_ar
 FROM found JOIN kinds USING (source_file) JOIN firsts USING (source_file) LEFT JOIN titles USING (source_file)
 WHERE i = COALESCE(kind, first)""")
 def published_rates(t: Tables):
+    ex.shared_dir(t.spark)
     return rt.extract_rates(report_lines(t), 2026)

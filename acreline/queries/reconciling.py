@@ -79,7 +79,7 @@ def certified_split(t: Tables):
     seg = _segments(t)
     total = F.sum("v").cast("double")
     anchors = seg.groupBy(_Y).agg((total * 0.9).alias("cert_real"), (total * 0.1).alias("pp_av"))
-    out = rc.certified_split(anchors, share(seg, _Y, "v"))
+    out = rc.certified_split(anchors, share(seg, _Y, "v", small_groups=True))
     return out.select(_Y, "track", dbl("cert_av", "cert_av", 2))
 
 
@@ -218,7 +218,5 @@ def grand_total(t: Tables):
     rows = with_segment(t).select(_K, _Y, "c_mktsegment", F.when(F.col(_Y) < 1998, F.col("v")).alias("appr_land_val"),
                                   F.when(F.col(_Y) >= 1998, F.col("v")).alias("pred_total_assessed"))
     valued = rows.withColumn("value", rc.row_value(rows))
-    tracks = {s: rc.trajectory(valued.filter(F.col("c_mktsegment") == s), [], _K, "value")
-              for s in ("BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "AUTOMOBILE")}
-    out = rc.grand_total(tracks, {2000: 500000000})
+    out = rc.grand_total(rc.trajectory(valued, ["c_mktsegment"], _K, "value"), {2000: 500000000})
     return out.select(_Y, dbl("grand", "grand", 2), dbl("yoy", "yoy", 9), dbl("gap", "gap", 2))

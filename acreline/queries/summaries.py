@@ -122,7 +122,14 @@ def ever_flags(t: Tables):
 WITH {PANEL_SQL}, s AS (SELECT tax_yr, c_mktsegment, SUM(v) AS v FROM panel JOIN customer ON c_custkey = parcel_id GROUP BY 1, 2)
 SELECT tax_yr, c_mktsegment, CAST(v AS DOUBLE) / CAST(SUM(v) OVER (PARTITION BY tax_yr) AS DOUBLE) AS share FROM s""")
 def segment_share(t: Tables):
-    return ag.share(_segments(t), _Y, "v").select(_Y, "c_mktsegment", "share")
+    return ag.share(_segments(t), _Y, "v", small_groups=True).select(_Y, "c_mktsegment", "share")
+
+
+@query("E10", """
+SELECT event_id, value / total AS share FROM events JOIN (SELECT event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1) USING (event_type)""")
+def event_share(t: Tables):
+    e = t.events.select("event_id", "event_type", money("value").alias("x"))
+    return ag.share(e, "event_type", "x").select("event_id", "share")
 
 
 def _segments(t: Tables):

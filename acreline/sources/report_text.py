@@ -1,9 +1,10 @@
 """Published growth rates from report text.
 
 Input is a table of text lines: `source_file`, `line_no` (1, 2, ..), `text`.
-Rows are picked by pattern where the line alone decides. Section state is a
-chunked carry over line numbers, so one long file is spread over tasks. Only the
-head of a file, which is where the template says its name, is gathered.
+`tag_lines` reads the text once: it says what each line is and takes its fields
+apart. The readers then work on tags. Section state is a chunked carry over line
+numbers, so one long file is spread over tasks. Only the head of a file, which is
+where the template says its name, is gathered.
 """
 
 from __future__ import annotations
@@ -19,14 +20,47 @@ from acreline.operators.windows import first_row
 
 FILE, LINE, TEXT = "source_file", "line_no", "text"
 LINES_PER_CHUNK = 10_000
+HEAD_LINES, SPECIALTY_HEAD_LINES = 200, 120
+_SEP = "\u0001"
+_ROWS = {"res": (codes.RES_RATE_ROW, 6), "com": (codes.DISTRICT_ROW, 5),
+         "total": (codes.SPECIALTY_TOTAL, 4), "sub": (codes.SPECIALTY_ROW, 4)}
 
 
-def _group(pattern: str, n: int) -> Column:
-    return F.regexp_extract(TEXT, pattern, n)
+def tag_lines(lines: DataFrame) -> DataFrame:
+    """Row kind and fields, table marker, specialty header and head text per line.
+
+    A row shape begins with "Area", a number and an amount, an amount, or two
+    numbers, so a line has one kind. The marker is 1 at a district header, NULL at
+    rows and blank lines, and 0 at any other text.
+    """
+    text = F.col(TEXT)
+
+    def fields(pattern, n):
+        joined = F.regexp_replace(text, pattern + ".*$", _SEP.join(f"${i}" for i in range(1, n + 1)))
+        return F.split(joined, _SEP)
+
+    kind = parts = None
+    for name, (pattern, n) in _ROWS.items():
+        hit = text.rlike(pattern)
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+        mine = F.col("kind") == name
+        parts = (F.when(mine, fields(pattern, n)) if parts is None
+                 else parts.when(mine, fields(pattern, n)))
+    marker = (F.when(text.rlike(codes.DISTRICT_HEADER), 1)
+              .when((F.col("kind") == "com") | text.rlike(r"^\s*$"), F.lit(None).cast("int"))
+              .otherwise(0))
+    return lines.withColumn("kind", kind).select(
+        FILE, LINE, "kind", parts.alias("f"), marker.alias("marker"),
+        text.rlike(codes.SPECIALTY_HEADER).alias("spec_header"),
+        F.when(F.col(LINE) <= HEAD_LINES, text).alias("head"))
 
 
-def _money(pattern: str, n: int) -> Column:
-    return parse_money(_group(pattern, n))
+def _field(n: int) -> Column:
+    return F.element_at("f", n)
+
+
+def _money(n: int) -> Column:
+    return parse_money(_field(n))
 
 
 def _rates(df: DataFrame, prop_type: str, kind: str, **cols: Column) -> DataFrame:
@@ -44,73 +78,72 @@ def _rates(df: DataFrame, prop_type: str, kind: str, **cols: Column) -> DataFram
         (cols["pct"] / 100).alias("pct_change"))
 
 
-def extract_res_rates(lines: DataFrame) -> DataFrame:
-    """Rows "Area n Sales|Pop previous current change %"."""
-    p = codes.RES_RATE_ROW
-    rows = lines.filter(F.col(TEXT).rlike(p))
-    basis = F.when(_group(p, 2) == "Pop", F.lit("population")).otherwise(F.lit("sales"))
-    return _rates(rows, "res", "geo", area=_group(p, 1), basis=basis,
-                  av_prev=_money(p, 3), av_curr=_money(p, 4), delta=_money(p, 5),
-                  pct=_money(p, 6))
-
+def _res_rates(tagged: DataFrame) -> DataFrame:
+    basis = F.when(_field(2) == "Pop", F.lit("population")).otherwise(F.lit("sales"))
+    return _rates(tagged.filter("kind = 'res'"), "res", "geo", area=_field(1), basis=basis,
+                  av_prev=_money(3), av_curr=_money(4), delta=_money(5), pct=_money(6))
 
-def extract_com_rates(lines: DataFrame) -> DataFrame:
-    """Rows below a district header, up to a total or any other text line.
 
-    A row belongs to a table when the last line before it that is neither a row
-    nor blank is a header.
-    """
-    text, p = F.col(TEXT), codes.DISTRICT_ROW
-    marker = (F.when(text.rlike(codes.DISTRICT_HEADER), 1)
-              .when(text.rlike(p) | text.rlike(r"^\s*$"), F.lit(None).cast("int"))
-              .otherwise(0))
-    state = running(lines.withColumn("_marker", marker), [FILE], LINE,
-                    {"_table": ("last", "_marker")},
+def _com_rates(tagged: DataFrame) -> DataFrame:
+    # A row belongs to a table when the last marker before it is a header.
+    state = running(tagged.select(FILE, LINE, "kind", "f", "marker"), [FILE], LINE,
+                    {"_table": ("last", "marker")},
                     chunk=F.floor(F.col(LINE) / LINES_PER_CHUNK))
-    rows = state.filter((F.col("_table") == 1) & F.col("_marker").isNull() & text.rlike(p))
-    return _rates(rows, "com", "geo", area=_group(p, 1), av_prev=_money(p, 2),
-                  av_curr=_money(p, 3), delta=_money(p, 4), pct=_money(p, 5))
+    rows = state.filter((F.col("kind") == "com") & F.col("marker").isNull()
+                        & (F.col("_table") == 1))
+    return _rates(rows, "com", "geo", area=_field(1), av_prev=_money(2), av_curr=_money(3),
+                  delta=_money(4), pct=_money(5))
 
 
-def _head_text(lines: DataFrame, n: int) -> DataFrame:
+def _head_text(tagged: DataFrame, n: int) -> DataFrame:
     """First n lines of each file joined by spaces."""
-    head = lines.filter(F.col(LINE) <= n).groupBy(FILE).agg(
-        F.array_sort(F.collect_list(F.struct(LINE, TEXT))).alias("_head"))
+    head = tagged.filter(F.col(LINE) <= n).groupBy(FILE).agg(
+        F.array_sort(F.collect_list(F.struct(LINE, "head"))).alias("_head"))
     return head.select(FILE, F.array_join(
-        F.transform("_head", lambda s: s[TEXT]), " ").alias("head"))
+        F.transform("_head", lambda s: s["head"]), " ").alias("head"))
 
 
-def extract_spec_rates(lines: DataFrame) -> DataFrame:
-    """Specialty number, its first total near a header, and submarket rows once."""
-    number = codes.SPECIALTY_NUMBER
-    found = F.regexp_extract("head", number, 1).try_cast("int")
+def _spec_rates(tagged: DataFrame) -> DataFrame:
+    found = F.regexp_extract("head", codes.SPECIALTY_NUMBER, 1).try_cast("int")
     in_name = F.regexp_extract(FILE, r"(\d{2,3})", 1).try_cast("int")
-    specs = (_head_text(lines, 120)
+    specs = (_head_text(tagged, SPECIALTY_HEAD_LINES)
              .select(FILE, F.coalesce(found, in_name).alias("spec_no"))
              .filter(F.col("spec_no").isNotNull()))
 
     # A total counts within six lines of a header: give each header its six lines.
-    near = (lines.filter(F.col(TEXT).rlike(codes.SPECIALTY_HEADER))
-            .select(FILE, F.col(LINE).alias("header"),
-                    F.explode(F.sequence(F.col(LINE) + 1, F.col(LINE) + 6)).alias(LINE)))
-    p = codes.SPECIALTY_TOTAL
-    totals = lines.filter(F.col(TEXT).rlike(p)).join(near, [FILE, LINE])
+    near = tagged.filter("spec_header").select(
+        FILE, F.col(LINE).alias("header"),
+        F.explode(F.sequence(F.col(LINE) + 1, F.col(LINE) + 6)).alias(LINE))
+    totals = tagged.filter("kind = 'total'").select(FILE, LINE, "f").join(near, [FILE, LINE])
     totals = first_row(totals, FILE, ["header", LINE]).join(specs, FILE)
     total_rows = _rates(totals, "com", "specialty", spec_area=F.col("spec_no"),
-                        av_prev=_money(p, 1), av_curr=_money(p, 2),
-                        delta=_money(p, 3), pct=_money(p, 4))
+                        av_prev=_money(1), av_curr=_money(2), delta=_money(3), pct=_money(4))
 
-    q = codes.SPECIALTY_ROW
-    subs = (lines.filter(F.col(TEXT).rlike(q)).join(specs, FILE)
-            .filter(_group(q, 1).cast("int") == F.col("spec_no"))
-            .withColumn("_sub", _group(q, 2).cast("int")))
+    subs = (tagged.filter("kind = 'sub'").select(FILE, LINE, "f").join(specs, FILE)
+            .filter(_field(1).cast("int") == F.col("spec_no"))
+            .withColumn("_sub", _field(2).cast("int")))
     subs = first_row(subs, [FILE, "_sub"], LINE)
     sub_rows = _rates(subs, "com", "specialty_submarket", spec_area=F.col("spec_no"),
-                      spec_sub=F.col("_sub"), av_curr=_money(q, 3), pct=_money(q, 4))
+                      spec_sub=F.col("_sub"), av_curr=_money(3), pct=_money(4))
     return total_rows.unionByName(sub_rows)
 
 
-def templates(lines: DataFrame) -> DataFrame:
+def extract_res_rates(lines: DataFrame) -> DataFrame:
+    """Rows "Area n Sales|Pop previous current change %"."""
+    return _res_rates(tag_lines(lines))
+
+
+def extract_com_rates(lines: DataFrame) -> DataFrame:
+    """Rows below a district header, up to a total or any other text line."""
+    return _com_rates(tag_lines(lines))
+
+
+def extract_spec_rates(lines: DataFrame) -> DataFrame:
+    """Specialty number, its first total near a header, and submarket rows once."""
+    return _spec_rates(tag_lines(lines))
+
+
+def templates(lines: DataFrame, tagged: DataFrame | None = None) -> DataFrame:
     """Template and title per file, from its first 200 lines."""
     head = F.col("head")
     kind = (F.when(head.rlike("(?i)Specialty")
@@ -120,16 +153,22 @@ def templates(lines: DataFrame) -> DataFrame:
             .otherwise("unknown"))
     title = (lines.filter(F.length(F.trim(TEXT)) > 0).groupBy(FILE)
              .agg(F.trim(F.min_by(TEXT, LINE)).alias("district")))
-    return (_head_text(lines, 200).select(FILE, kind.alias("template"))
-            .join(title, FILE, "left"))
+    heads = _head_text(tag_lines(lines) if tagged is None else tagged, HEAD_LINES)
+    return heads.select(FILE, kind.alias("template")).join(title, FILE, "left")
+
 
+def extract_rates(lines: DataFrame, assessment_yr: int, checkpoint: bool = True) -> DataFrame:
+    """Rates of all files; an unknown template takes the first reader that finds rows.
 
-def extract_rates(lines: DataFrame, assessment_yr: int) -> DataFrame:
-    """Rates of all files; an unknown template takes the first reader that finds rows."""
-    readers = {"res": extract_res_rates, "com": extract_com_rates, "spec": extract_spec_rates}
-    found = stack([read(lines).withColumns({"_reader": F.lit(name), "_try": F.lit(i)})
+    The tags feed three readers, so they are checkpointed: the text is read once.
+    """
+    tagged = tag_lines(lines)
+    if checkpoint:
+        tagged = tagged.checkpoint()
+    readers = {"res": _res_rates, "com": _com_rates, "spec": _spec_rates}
+    found = stack([read(tagged).withColumns({"_reader": F.lit(name), "_try": F.lit(i)})
                    for i, (name, read) in enumerate(readers.items())])
-    kinds = templates(lines)
+    kinds = templates(lines, tagged)
     first_try = found.groupBy(FILE).agg(F.min("_try").alias("_first_try"))
     kept = (found.join(kinds, FILE).join(first_try, FILE)
             .filter((F.col("_reader") == F.col("template"))

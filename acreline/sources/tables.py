@@ -49,4 +49,4 @@ def appraised_table(spark: SparkSession) -> DataFrame:
     raw = spark.createDataFrame(
         list(codes.APPRAISED_BILLIONS), "tax_yr int, track string, appraised_b double")
     return share(raw.withColumn("appraised_av", F.col("appraised_b") * 1e9),
-                 "tax_yr", "appraised_av")
+                 "tax_yr", "appraised_av", small_groups=True)
