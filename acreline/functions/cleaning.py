@@ -178,9 +178,9 @@ def slug_name(name: str) -> str:
 
 
 def normalize_text(c: ColumnLike, noise: str = codes.KEYWORD_NOISE) -> Column:
-    # Letters whose upper case is more than one letter count as other characters.
-    single = F.regexp_replace(col(c), "[\u00df\u0149\u01f0\u1e96-\u1e9a\ufb00-\ufb06]", " ")
-    text = F.regexp_replace(F.upper(single), r"[^A-Z0-9&]+", " ")
+    # Other characters go before upper case, which could turn them into letters;
+    # dotless i and long s are the two that have one plain capital.
+    text = F.upper(F.regexp_replace(col(c), "[^A-Za-z0-9&\u0131\u017f]+", " "))
     return squish(F.regexp_replace(text, noise, " "))
 
 

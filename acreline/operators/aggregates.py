@@ -116,7 +116,7 @@ def mode_of(df: DataFrame, keys, c: str, order: Sequence[str]) -> DataFrame:
 
 
 def median_by(df: DataFrame, keys, c: str, out: str = "median",
-              large: bool = True) -> DataFrame:
+              large: bool = True, task_values: int = 100_000) -> DataFrame:
     """Exact interpolated median per group.
 
     With `large=False` this is `percentile`, which holds a group's distinct
@@ -124,6 +124,7 @@ def median_by(df: DataFrame, keys, c: str, out: str = "median",
     the years of one entity. Otherwise values are counted first, big groups are
     cut into value ranges, and ranks come from a chunked running count. The cuts
     come from a quantile sketch but only balance the work; the result is exact.
+    Groups with at most `task_values` distinct values stay whole.
     """
     keys = _keys(keys)
     if not large:
@@ -143,8 +144,7 @@ def median_by(df: DataFrame, keys, c: str, out: str = "median",
     else:
         counts = counts.withColumns({s: sizes.select(s).scalar()
                                      for s in ("_n", "_values", "_cuts")})
-    # Only groups above a task-sized bound are cut.
-    chunk = F.when(F.col("_values") > 100_000,
+    chunk = F.when(F.col("_values") > task_values,
                    F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).otherwise(0)
     counts = counts.withColumn("_range", chunk).drop("_cuts", "_values")
     ranked = running(counts, keys, "_v", {"_upto": ("sum", "_here")},

@@ -41,12 +41,13 @@ def tag_lines(lines: DataFrame) -> DataFrame:
 
     kind = parts = None
     for name, (pattern, n) in _ROWS.items():
-        hit = text.rlike(pattern)
+        # Every row shape holds a percent sign: most text is settled without a pattern.
+        hit = text.contains("%") & text.rlike(pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         mine = F.col("kind") == name
         parts = (F.when(mine, fields(pattern, n)) if parts is None
                  else parts.when(mine, fields(pattern, n)))
-    marker = (F.when(text.rlike(codes.DISTRICT_HEADER), 1)
+    marker = (F.when(text.contains("Total Value") & text.rlike(codes.DISTRICT_HEADER), 1)
               .when((F.col("kind") == "com") | text.rlike(r"^\s*$"), F.lit(None).cast("int"))
               .otherwise(0))
     return lines.withColumn("kind", kind).select(
