@@ -87,7 +87,7 @@ SELECT feature, n_rows, n_known, n_levels, reason, reason IS NULL AS keep FROM (
   UNION ALL SELECT 'flat', n_rows, n_rows, NULL, 'constant' FROM n UNION ALL SELECT 'sparse', n_rows, k3, NULL, 'mostly_null' FROM n
   UNION ALL SELECT 'cs_off_cap_rate', n_rows, n_rows, NULL, 'no_coverage' FROM n UNION ALL SELECT 'empty', n_rows, 0, NULL, 'too_few' FROM n
   UNION ALL SELECT 'c_mktsegment', n_rows, n_rows, (SELECT COUNT(DISTINCT c_mktsegment) FROM customer), NULL FROM n
-  UNION ALL SELECT 'c_name', n_rows, n_rows, (SELECT COUNT(DISTINCT c_name) FROM customer), 'many_levels' FROM n
+  UNION ALL SELECT 'c_name', n_rows, n_rows, (SELECT COUNT(DISTINCT c_name) FROM customer), CASE WHEN (SELECT COUNT(DISTINCT c_name) FROM customer) > 200 THEN 'many_levels' END FROM n
   UNION ALL SELECT 'one', n_rows, n_rows, 1, 'single_level' FROM n)""")
 def screened_features(t: Tables):
     rows = t.customer.select("c_acctbal", "c_mktsegment", "c_name", F.lit(5).alias("flat"), F.lit("x").alias("one"),
