@@ -344,23 +344,25 @@ def retrofit_carry(panel: DataFrame, cols: Sequence[str], key: str = KEY,
 
 def extend_panel(history: DataFrame, years: Sequence[int], drivers: DataFrame | None = None,
                  state: str = "last_row", targets: Sequence[str] = (),
-                 advance: Sequence[str] = (), key: str = KEY, year: str = YEAR) -> DataFrame:
+                 advance: Sequence[str] = (), last_year: int | None = None, key: str = KEY,
+                 year: str = YEAR) -> DataFrame:
     """History and one row per entity and future year.
 
     The state is each entity's last row, or its row in the last year
     (`state="last_year"`). Targets are NULL, `advance` columns grow by the years
-    since the last year of the history, drivers replace their old columns.
+    since the last year of the history (found in the plan unless it is given),
+    drivers replace their old columns.
     """
     if state not in ("last_row", "last_year"):
         raise ValueError(f"state must be 'last_row' or 'last_year', not {state!r}")
-    last_year = history.agg(F.max(year)).first()[0]
+    last = F.lit(last_year) if last_year is not None else history.agg(F.max(year)).scalar()
     base = (last_row(history, key, [year]) if state == "last_row"
-            else history.filter(F.col(year) == last_year))
+            else history.filter(F.col(year) == last))
     future = expand_snapshot(base, years, year)
     types = dict(history.dtypes)
     future = future.withColumns(
         {c: F.lit(None).cast(types[c]) for c in targets if c in types}
-        | {c: (F.col(c) + (F.col(year) - F.lit(last_year))).cast(types[c]) for c in advance})
+        | {c: (F.col(c) + (F.col(year) - last)).cast(types[c]) for c in advance})
     if drivers is not None:
         future = attach_drivers(future, drivers, on=year)
     return stack([history, future])

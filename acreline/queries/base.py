@@ -21,7 +21,10 @@ class Tables:
         self.spark, self.path = spark, path.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        # Kept on the instance, so a table's schema is looked up once per query.
+        table = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 @dataclass(frozen=True)

@@ -376,7 +376,8 @@ def _forecast_panel(t: Tables):
                                "c_mktsegment")
     history = parts(t).withColumn("appr_imps_val", F.when(k % 10 > 0, F.col("appr_imps_val"))).join(places, _K)
     history = history.withColumns({"size": k % 7, "spec_area": F.when(k % 3 == 0, 0).otherwise((k % 4).cast("int"))})
-    return md.extend_panel(history, [2002, 2003, 2004], targets=["appr_land_val", "appr_imps_val"])
+    return md.extend_panel(history, [2002, 2003, 2004], targets=["appr_land_val", "appr_imps_val"],
+                           last_year=2001)
 
 
 @query("J14 J16 E18", f"""

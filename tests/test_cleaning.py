@@ -54,7 +54,7 @@ def test_use_codes(spark):
 
 
 @pytest.mark.parametrize("text, label", [
-    ("SEATTLE MEDICAL OFFICE BUILDING", "medical"), ("ACME PROPERTIES LLC", None), (None, None), ("", None),
+    ("DOWNTOWN MEDICAL OFFICE BUILDING", "medical"), ("ACME PROPERTIES LLC", None), (None, None), ("", None),
     ("HOTEL RETAIL", "hospitality"), ("cold storage", "industrial"), ("Corner Store", "retail"),
     ("business park", "office"), ("Garden Apartments", "apt"), ("OFFICES", "office"), ("RESTAURANTS", "hospitality"),
     ("WAREHOUSES", "industrial"), ("STORES", "retail"), ("CLINICS", "medical")])
