@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acreline.functions import codes
-from acreline.functions.cleaning import (ColumnLike, coerce_bool, col, is_in,
+from acreline.functions.cleaning import (ColumnLike, col, is_in,
                                          log_pos, normalize_text, squish, to_int,
                                          to_num)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acreline.functions.cleaning import (ColumnLike, col, parse_period, slug,
                                          to_num)
-from acreline.functions.codes import REALIZATION_RATE
+from acreline.functions.codes import MACRO_PREDICTORS, REALIZATION_RATE
 from acreline.operators.aggregates import pivot_wide, sum0
 from acreline.operators.windows import growth, lagged_sum, lags, rolling_mean
 
@@ -81,19 +81,18 @@ def december_snapshot(df: DataFrame, cols: Sequence[str], date: str = "date",
 
 
 def macro_panel(levels: DataFrame, deltas: DataFrame, names: Sequence[str],
-                keep: Sequence[str] | None = None, prefix: str = "econ") -> DataFrame:
+                keep: Sequence[str] | None = MACRO_PREDICTORS, prefix: str = "econ") -> DataFrame:
     """One wide row per year from long level and growth blocks.
 
     Both blocks have `var`, `tax_yr` and a value (`lvl` / `delta`); `names` lists
-    the variables, so no pass over the data is needed to find the columns.
+    the variables' slugs, so no pass over the data is needed to find the columns.
+    Level columns get two lags and growth columns one; `keep=None` keeps all.
     """
-    slugs = [n for n in names]
-
     def block(df, value, suffix):
         named = df.withColumn("_name", F.concat(F.lit(f"{prefix}_"), slug("var"),
                                                 F.lit(f"_{suffix}")))
         return pivot_wide(named, "tax_yr", "_name", value,
-                          [f"{prefix}_{s}_{suffix}" for s in slugs])
+                          [f"{prefix}_{s}_{suffix}" for s in names])
 
     wide = block(levels, "lvl", "lvl").join(block(deltas, "delta", "yoy"), "tax_yr", "left")
     lagged = lags(wide, [], "tax_yr", [c for c in wide.columns if c.endswith("_lvl")], (1, 2))

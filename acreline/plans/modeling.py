@@ -117,6 +117,11 @@ def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         "feature", "n_rows", F.col("s.n").alias("n_known"), "s.lo", "s.hi")
 
 
+def dead_pattern(names: Sequence[str] = codes.DEAD_SERIES, prefix: str = "cs_[a-z]+_") -> str:
+    """Pattern of market features that have no values in the forecast years."""
+    return f"^{prefix}({'|'.join(names)})$"
+
+
 def screen_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
                     max_null: float = 0.5, max_levels: int = 200, dead: str | None = None,
                     min_known: int = 0) -> DataFrame:

@@ -223,10 +223,16 @@ def inspection_features(panel: DataFrame, violations: DataFrame, matches: DataFr
 
 
 def dedup_tracks(residential: DataFrame, commercial: DataFrame) -> DataFrame:
-    """Drop small multi-family rows whose complex is in the commercial track."""
+    """Drop small multi-family rows whose complex is in the commercial track.
+
+    All rows are joined on their own complex. An anti join on a key that is NULL
+    for the other rows would send those to one task.
+    """
     majors = commercial.select(F.substring(KEY, 1, 6).alias("_major")).distinct()
-    small = F.when(F.col("is_small_mf") == 1, F.substring(KEY, 1, 6))
-    return residential.withColumn("_major", small).join(majors, "_major", "left_anti").drop("_major")
+    marked = residential.withColumn("_major", F.substring(KEY, 1, 6)).join(
+        majors.withColumn("_shared", F.lit(True)), "_major", "left")
+    twice = F.col("_shared") & (F.col("is_small_mf") == 1)
+    return marked.filter(~F.coalesce(twice, F.lit(False))).drop("_major", "_shared")
 
 
 def unify_tracks(residential_panel: DataFrame, snapshots: Mapping[str, DataFrame],

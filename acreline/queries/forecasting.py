@@ -94,7 +94,7 @@ def screened_features(t: Tables):
                              F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("sparse"),
                              F.col("c_acctbal").alias("cs_off_cap_rate"), F.lit(None).cast("double").alias("empty"))
     return md.screen_features(rows, ["c_acctbal", "flat", "sparse", "cs_off_cap_rate", "empty"],
-                              ["c_mktsegment", "c_name", "one"], dead="^cs_[a-z]+_cap_rate$")
+                              ["c_mktsegment", "c_name", "one"], dead=md.dead_pattern())
 
 
 @query("J06", """
