@@ -132,8 +132,10 @@ _LINES_CTE = f"lines AS ({_LINES})"
 
 
 def report_lines(t: Tables):
+    """The lines as a landed table: written once, so that no reader derives them again."""
+    ex.shared_dir(t.spark)
     text = _LINES.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}")
-    return t.spark.sql(text, orders=t.orders)
+    return t.spark.sql(text, orders=t.orders).checkpoint()
 
 
 def _sql_money(pattern: str, n: int) -> str:
@@ -202,5 +204,4 @@ SELECT CAST(2026 AS INT) AS assessment_yr, prop_type, report_kind, area, spec_ar
 FROM found JOIN kinds USING (source_file) JOIN firsts USING (source_file) LEFT JOIN titles USING (source_file)
 WHERE i = COALESCE(kind, first)""")
 def published_rates(t: Tables):
-    ex.shared_dir(t.spark)
     return rt.extract_rates(report_lines(t), 2026)

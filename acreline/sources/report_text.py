@@ -139,9 +139,13 @@ def extract_com_rates(lines: DataFrame) -> DataFrame:
     return _com_rates(tag_lines(lines))
 
 
-def extract_spec_rates(lines: DataFrame) -> DataFrame:
-    """Specialty number, its first total near a header, and submarket rows once."""
-    return _spec_rates(tag_lines(lines))
+def extract_spec_rates(lines: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Specialty number, its first total near a header, and submarket rows once.
+
+    Four branches read the tags, so they are checkpointed: the text is read once.
+    """
+    tagged = tag_lines(lines)
+    return _spec_rates(tagged.checkpoint() if checkpoint else tagged)
 
 
 def templates(lines: DataFrame, tagged: DataFrame | None = None) -> DataFrame:
