@@ -80,4 +80,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_packing, op3_pii, op4_top_k, op5_lm_scores, op6_simhash, op7_mixing,
     op8_sharding, op9_quality, op10_fingerprints)}
-ORACLE_SQL = {"op4_top_k": topk.TOP_K_SQL}
+ORACLE_SQL = {"op4_top_k": topk.TOP_K_SQL, "op10_fingerprints": sketch.FINGERPRINT_SQL}

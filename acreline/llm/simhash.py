@@ -10,12 +10,13 @@ distinct fingerprints as its own ball holds (65 for radius 2), whatever the data
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreline.llm.common import stored
@@ -27,9 +28,14 @@ _SHINGLES_AT_ONCE = 1 << 14
 
 def fingerprint(text: bytes | None, width: int) -> int:
     """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; all words if there are fewer."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     count = max(1, len(words) - width + 1)
     if len(words) <= width:
@@ -38,16 +44,28 @@ def fingerprint(text: bytes | None, width: int) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         starts = np.concatenate(([0], ends[:count - 1])).tolist()
         shingles = map(joined.__getitem__, map(slice, starts, (ends[width - 1:] - 1).tolist()))
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
+    return np.fromiter(hashes, dtype="<u8", count=count)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 for none."""
     ones = np.zeros(BITS, dtype=np.int64)
-    hashes = map(xxhash.xxh64_intdigest, shingles, iter(lambda: SEED, None))
-    done = 0
-    while done < count:
-        n = min(_SHINGLES_AT_ONCE, count - done)
-        block = np.fromiter(hashes, dtype="<u8", count=n)
-        ones += np.unpackbits(block.view(np.uint8).reshape(n, 8), axis=1,
+    for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        block = hashes[at:at + _SHINGLES_AT_ONCE]
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1,
                               bitorder="little").sum(axis=0, dtype=np.int64)
-        done += n
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def signature(text: bytes | None, width: int, words: int) -> list[int]:
+    """`words` independent 64-bit SimHashes of the set of shingles, from remixed hashes."""
+    hashes, out = np.unique(shingle_hashes(text, width)), []
+    for k in range(words):
+        mixed = (hashes ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(mixed ^ (mixed >> np.uint64(29))))
+    return out
 
 
 def simhash(docs: DataFrame, width: int = 5, id_col: str = "doc_id",
@@ -149,3 +167,108 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, id_col: st
 def hex_digits(fp: str = "fp") -> Column:
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# -- groups of similar texts -------------------------------------------------------------
+
+#: Bits of a fingerprint by which similar texts are looked up; radius 2 as above.
+TABLE_BITS = 32
+
+
+def signatures(docs: DataFrame, width: int, tables: int, text_col: str) -> DataFrame:
+    """(h, s): a hash of every distinct text and its signature, two tables in each number."""
+    numbers = [f"s{i}" for i in range(tables // 2)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([signature(t.as_py(), width, len(numbers))
+                              for t in batch.column(1).cast(pa.binary())], dtype="<u8").view("<i8")
+            found = found.reshape(-1, len(numbers))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)],
+                names=["h", *numbers])
+
+    rows = docs.select(text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    each = rows.mapInArrow(hashed, ", ".join(["h long", *(f"{n} long" for n in numbers)]))
+    return (each.groupBy("h").agg(*[F.first(n).alias(n) for n in numbers])
+            .select("h", F.array(*numbers).alias("s")))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(h, set): the distinct shingles, as 32-bit hashes, of the texts whose hash is wanted."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), width).astype("<u4").view("<i4"))
+                     for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["h", "set"])
+
+    texts = docs.select(text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    own = texts.join(wanted.toDF("_w"), F.col("h") == F.col("_w"), "left_semi").dropDuplicates(["h"])
+    return own.mapInArrow(sets, "h long, set array<int>")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 12,
+                  text_col: str = "text") -> DataFrame:
+    """(h, root): the group of every distinct text (by hash); copies share a hash.
+
+    A single fingerprint within 2 bits finds near-equal texts only. Here every text has
+    `tables` independent fingerprints of 32 bits, and texts meet if any two are within 2 bits.
+    Pairs that met are screened by the whole signature (32 x `tables` bits) and then verified:
+    the Jaccard similarity of their sets of shingles must reach `similarity`.
+    """
+    sigs = stored(signatures(docs, width, tables, text_col))
+    shift = [(F.shiftrightunsigned(F.get("s", t // 2), TABLE_BITS * (t % 2)).bitwiseAND((1 << TABLE_BITS) - 1)
+              + (t << TABLE_BITS)) for t in range(tables)]
+    keys = sigs.select("h", F.explode(F.array(*shift)).alias("key"))
+    # Texts with one fingerprint are folded into the smallest, so a bucket holds few.
+    heads = keys.groupBy("key").agg(F.min("h").alias("n"), F.count("*").alias("m"))
+    same = (keys.join(heads.filter("m > 1").select("key", "n"), "key")
+            .filter(F.col("h") != F.col("n")).select(F.col("n").alias("a"), F.col("h").alias("b")))
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(TABLE_BITS))]])
+    variants = heads.select("n", F.explode(F.transform(
+        masks, lambda m: F.col("key").bitwiseXOR(m))).alias("variant"))
+    met = (variants.groupBy("variant").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
+           .select(F.array_min("ns").alias("a"), F.explode("ns").alias("b")).filter("a < b"))
+    pairs = same.union(met).distinct()
+    bits = sigs.select(F.col("h").alias("_h"), F.col("s").alias("_s"))
+    both = (pairs.join(bits, F.col("a") == F.col("_h")).withColumnRenamed("_s", "s_a").drop("_h")
+            .join(bits, F.col("b") == F.col("_h")).withColumnRenamed("_s", "s_b").drop("_h"))
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda a, x: a + x)
+    # The mean share of differing bits at the similarity asked for, and two deviations.
+    angle, bits = acos(2 * similarity / (1 + similarity)) / pi, TABLE_BITS * tables
+    near = stored(both.filter(differ <= angle * bits + 2 * sqrt(angle * (1 - angle) * bits)).select("a", "b"))
+    sets = shingle_sets(docs, near.select("a").union(near.select("b")).distinct(), width, text_col)
+    a, b = F.col("a_set"), F.col("b_set")
+    both = F.size(F.array_intersect(a, b))
+    alike = both >= similarity * (F.size(a) + F.size(b) - both)
+    groups = components(
+        near.join(sets.select(F.col("h").alias("a"), F.col("set").alias("a_set")), "a")
+        .join(sets.select(F.col("h").alias("b"), F.col("set").alias("b_set")), "b")
+        .filter(alike).select("a", "b"))
+    return (sigs.join(groups, sigs["h"] == groups["node"], "left")
+            .select("h", F.coalesce("root", "h").alias("root")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 12,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of similar texts: the one with the smallest id.
+
+    Exact copies and repeated rows are one group; so are all texts without words (NULL, empty,
+    blank). NULL ids come last. All columns stay.
+    """
+    groups = similar_texts(docs, width, similarity, tables, text_col)
+    ids = docs.groupBy(text_hash(text_col).alias("_h")).agg(F.min(f"`{id_col}`").alias("_id"))
+    first = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_h"))
+    kept = (groups.join(ids, groups["h"] == ids["_h"]).groupBy("root")
+            .agg(F.min_by("_h", first).alias("_llm_keep")).select("_llm_keep"))
+    nth = F.row_number().over(Window.partitionBy("_llm_h").orderBy(F.col(f"`{id_col}`").asc_nulls_last()))
+    firsts = (docs.withColumn("_llm_h", text_hash(text_col)).withColumn("_llm_n", nth)
+              .filter(F.col("_llm_n") == 1))
+    return (firsts.join(kept, firsts["_llm_h"] == kept["_llm_keep"], "left_semi")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

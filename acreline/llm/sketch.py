@@ -1,7 +1,7 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles, in SQL functions only.
 
-Every shingle is hashed to 64 bits and kept when the hash is below a fixed fraction of the
-range. Since the threshold does not depend on the document, sketches
+Every shingle is hashed (the leading 60 bits of its MD5) and kept when the hash is below a
+fixed fraction of the range. Since the threshold does not depend on the document, sketches
 of unequal documents can be intersected, merged and compared for containment directly.
 """
 
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from acreline.llm.common import WORD, shuffle_partitions
 
-def threshold(scale: int) -> int:
-    """The smallest signed 64-bit hash that is not kept; hashes count from -2**63."""
-    return (1 << 64) // scale - (1 << 63)
+HASH_DIGITS = 15
+
+
+def threshold(scale: int) -> str:
+    """The smallest hash that is not kept, as hexadecimal digits."""
+    return format(16 ** HASH_DIGITS // scale, f"0{HASH_DIGITS}x")
 
 
 def with_sketch(df: DataFrame, text: str, out: str, width: int = 5, scale: int = 4) -> DataFrame:
@@ -26,22 +29,27 @@ def with_sketch(df: DataFrame, text: str, out: str, width: int = 5, scale: int =
     """
     words = df.withColumn("_words", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)))
     n = F.size("_words")
-    # xxhash64 of several columns feeds each word's hash to the next as its seed.
-    hashes = (F.when(n == 0, F.array().cast("array<bigint>"))
-              .when(n <= width, F.array(F.xxhash64(F.array_join("_words", " "))))
+
+    def hashed(shingle: Column) -> Column:
+        return F.substring(F.md5(shingle.cast("binary")), 1, HASH_DIGITS)
+
+    hashes = (F.when(n == 0, F.array().cast("array<string>"))
+              .when(n <= width, F.array(hashed(F.array_join("_words", " "))))
               .otherwise(F.transform(
                   F.slice("_words", F.lit(1), F.greatest(n - (width - 1), F.lit(0))),
-                  lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, width)]))))
-    hashed = words.withColumn("_hashes", hashes).drop("_words")
-    below = hashed.withColumn("_kept", F.filter("_hashes", lambda h: h < threshold(scale)))
+                  lambda w, i: hashed(F.concat_ws(" ", w, *[F.get("_words", i + k) for k in range(1, width)])))))
+    all_ = words.withColumn("_hashes", hashes).drop("_words")
+    below = all_.withColumn("_kept", F.filter("_hashes", lambda h: h < threshold(scale)))
     kept = F.when((F.size("_kept") == 0) & (F.size("_hashes") > 0),
                   F.array(F.array_min("_hashes"))).otherwise(F.col("_kept"))
-    return below.withColumn(out, F.array_sort(F.array_distinct(kept))).drop("_hashes", "_kept")
+    number = F.transform(kept, lambda h: F.conv(h, 16, 10).cast("bigint"))
+    return below.withColumn(out, F.array_sort(F.array_distinct(number))).drop("_hashes", "_kept")
 
 
 def as_text(sketch: str | Column) -> Column:
     """A sketch as fixed-width hexadecimal hashes in one string."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.lower(F.array_join(F.transform(
+        sketch, lambda h: F.lpad(F.hex(h), HASH_DIGITS, "0")), ""))
 
 
 def merge(a: str | Column, b: str | Column) -> Column:
@@ -129,3 +137,29 @@ def fingerprint_edits(docs: DataFrame, width: int = 5, scale: int = 4, id_col: s
         likeness("_sketch", "_edited_sketch").alias("near_edited"),
         likeness("_sketch", "_next_sketch").alias("near_next"))
 
+
+
+#: DuckDB SQL of `fingerprint_edits` with the default width and scale.
+FINGERPRINT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt
+      FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, t)),
+e AS (SELECT doc_id, t, nt, length(t) AS n_chars,
+             left(t, (length(t) - length(t) // 4)::BIGINT) || left(nt, (length(t) // 4)::BIGINT) AS et FROM n),
+texts AS (SELECT t AS s FROM e UNION SELECT et FROM e),
+words AS (SELECT s, regexp_extract_all(s, '{WORD}') AS w FROM texts),
+hashes AS (SELECT s, list_distinct(list_transform(
+      CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END,
+      lambda x: substr(md5(x), 1, {HASH_DIGITS}))) AS h FROM words),
+sketch AS (SELECT s, list_sort(CASE
+      WHEN len(list_filter(h, lambda x: x < '{threshold(4)}')) = 0 AND len(h) > 0 THEN [list_min(h)]
+      ELSE list_filter(h, lambda x: x < '{threshold(4)}') END) AS k FROM hashes),
+j AS (SELECT e.doc_id, e.n_chars, e.et, a.k AS a, b.k AS b, c.k AS c,
+             len(list_intersect(a.k, b.k)) AS ab, len(list_intersect(a.k, c.k)) AS ac
+      FROM e JOIN sketch a ON a.s = e.t JOIN sketch b ON b.s = e.et JOIN sketch c ON c.s = e.nt)
+SELECT doc_id, n_chars, sha256(et) AS edited_sha256,
+       array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+       CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE ab / (len(a) + len(b) - ab) END::DOUBLE AS near_edited,
+       CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE ac / (len(a) + len(c) - ac) END::DOUBLE AS near_next
+FROM j"""
