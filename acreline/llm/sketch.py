@@ -69,13 +69,13 @@ def containment(a: str | Column, b: str | Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str], ties: list[str]) -> DataFrame:
-    """Add `{out: column}` of the next row in ascending `key`; the last row's next is the first.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows with the range of `key` that they fall in, and copies of each range's first rows.
 
-    Rows are dealt to ranges of the key, cut at approximate percentiles (their number follows
-    the number of shuffle partitions), and each range also gets a copy of the first rows of
-    the range after it; so rows move once and no task orders the whole table. NULL keys come
-    first; equal keys are ordered by `ties`.
+    Ranges are cut at approximate percentiles; their number follows the number of shuffle
+    partitions. The first rows of a range stand in the range before it as well (those of the
+    first in the last), so `next_of` finds every row's successor within one range: rows move
+    once and no task orders the whole table.
     """
     spark = df.sparkSession
     side = max(2, int((4 * shuffle_partitions(spark)) ** 0.5))
@@ -102,13 +102,22 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], ties: list[str])
                                  F.max("_range").over(order.rowsBetween(
                                      Window.unboundedPreceding, Window.unboundedFollowing)))
                       .alias("_before")))
+    # One row for each range.
+    firsts = F.broadcast(firsts)
     copies = (rows.join(firsts, rows[key].eqNullSafe(firsts["_first"]))
               .select(*[rows[c] for c in df.columns], F.col("_before").alias("_range"),
                       F.lit(True).alias("_copy")))
+    return rows.unionByName(copies)
+
+
+def next_of(rows: DataFrame, key: str, columns: dict[str, str], ties: list[str]) -> DataFrame:
+    """Add `{out: column}` of the next row in ascending `key` to `dealt` rows, and drop the copies.
+
+    The last row's next is the first. NULL keys come first; equal keys are ordered by `ties`.
+    """
     w = Window.partitionBy("_range").orderBy("_copy", F.col(key).asc_nulls_first(),
                                              *[F.col(t).asc_nulls_first() for t in ties])
-    return (rows.unionByName(copies)
-            .withColumns({out: F.lead(c).over(w) for out, c in columns.items()})
+    return (rows.withColumns({out: F.lead(c).over(w) for out, c in columns.items()})
             .filter(~F.col("_copy")).drop("_range", "_copy"))
 
 
@@ -124,8 +133,8 @@ def fingerprint_edits(docs: DataFrame, width: int = 5, scale: int = 4, id_col: s
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"),
                                                               F.lit("")).alias("_text"))
-    own = with_sketch(base, "_text", "_sketch", width, scale)
-    paired = with_next(own, "_id", {"_next_text": "_text", "_next_sketch": "_sketch"}, ["_text"])
+    own = with_sketch(dealt(base, "_id"), "_text", "_sketch", width, scale)
+    paired = next_of(own, "_id", {"_next_text": "_text", "_next_sketch": "_sketch"}, ["_text"])
     n, cut = F.char_length("_text"), F.floor(F.char_length("_text") / 4).cast("int")
     edited = paired.withColumn("_edited", F.concat(
         F.substring("_text", F.lit(1), n - cut), F.substring("_next_text", F.lit(1), cut)))

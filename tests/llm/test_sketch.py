@@ -20,7 +20,7 @@ def test_query_equals_its_sql_and_runs_no_python(spark):
 def test_next_row_over_any_keys(spark):
     keys = [None, None, -5, -5, 0, 3, 3, 3, 10 ** 12, *range(100, 400, 7)]
     df = spark.createDataFrame([(k, f"t{i:03}") for i, k in enumerate(keys)], "k long, t string")
-    got = sketch.with_next(df, "k", {"n": "t"}, ["t"]).collect()
+    got = sketch.next_of(sketch.dealt(df, "k"), "k", {"n": "t"}, ["t"]).collect()
     order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
     want = {f"t{i:03}": f"t{order[(at + 1) % len(order)]:03}" for at, i in enumerate(order)}
     assert {r["t"]: r["n"] for r in got} == want
