@@ -10,6 +10,7 @@ pass over the source), and blocks are joined by index. Only totals per source go
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from acreline.llm.common import SPACE, WORD, chunk_of, exclusive_sum, stored
 
 SLOTS_AT_ONCE = 1 << 16
+_WORD_AND_SPACE = re.compile(f"{WORD}(?:{SPACE})?".encode())
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -190,14 +192,26 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.array_sort(F.collect_list(F.struct("_at", "_words", "_times"))).alias("_runs"))
     runs = runs.select(F.col("_source").alias("_s"), F.col("_start").alias("_b"), "_runs")
     joined = rows.join(runs, (rows["_source"] == runs["_s"]) & (rows["_start"] == runs["_b"]))
-    passes = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max("_runs._times").cast("int"))))
-    own = passes.withColumns({
-        "_words": F.regexp_extract_all("_text", F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0)),
-        "_runs": F.filter("_runs", lambda r: r["_times"] >= F.col("_pass"))})
-    kept = F.flatten(F.transform("_runs", lambda r: F.slice(
-        "_words", (r["_at"] + 1).cast("int"), r["_words"].cast("int"))))
-    made = own.withColumn("_new", F.array_join(kept, ""))
-    values = {text_col: F.col("_new")}
+    position = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, new = [], []
+            texts = batch.column(len(inner)).cast(pa.binary())
+            for i, (text, runs) in enumerate(zip(texts, batch.column(len(inner) + 1).to_pylist())):
+                words = _WORD_AND_SPACE.findall(text.as_py())
+                for nth in range(1, max(r["_times"] for r in runs) + 1):
+                    row.append(i)
+                    new.append(b"".join(w for r in runs if r["_times"] >= nth
+                                        for w in words[r["_at"]:r["_at"] + r["_words"]]))
+            at = pa.array(row, pa.int64())
+            columns = [batch.column(k).take(at) for k in range(len(inner))]
+            columns[position] = pa.array(new, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=inner)
+
+    schema = ", ".join(f"{i} {'string' if k == position else docs.schema[k].dataType.simpleString()}"
+                       for k, i in enumerate(inner))
+    made = joined.select(*inner, "_text", "_runs").mapInArrow(cut, schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
-    return made.select(*[values.get(c, F.col(name[c])).alias(c) for c in docs.columns])
+        made = made.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
