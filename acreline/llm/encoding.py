@@ -18,7 +18,7 @@ import numpy as np
 #: Words longer than this are encoded but not kept.
 KEEP_BYTES = 64
 #: Different words kept per Python worker before the memo is emptied.
-KEEP_WORDS = 1_300_000
+KEEP_WORDS = 400_000
 #: Text is taken in portions of about so many bytes.
 PORTION_BYTES = 4 << 20
 
