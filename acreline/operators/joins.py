@@ -199,7 +199,8 @@ def apply_changes(panel: DataFrame, changes: DataFrame, attrs: Mapping[str, str]
                   carry: str = "until_next") -> DataFrame:
     """Write the last change per (entity, year, attribute) onto the panel.
 
-    `attrs` maps an attribute to the panel column it overwrites. With
+    Changes with equal `order` are decided by value. `attrs` maps an attribute to the
+    panel column it overwrites. With
     `carry="until_next"` a change holds until the next one; with "point" it holds
     in its own year only and the copied baseline returns after it. All attributes
     go through one aggregate, one join and one window per entity's years.
@@ -211,7 +212,7 @@ def apply_changes(panel: DataFrame, changes: DataFrame, attrs: Mapping[str, str]
     aggs = []
     for a, c in attrs.items():
         hit = F.col(attribute) == a
-        at = F.when(hit, F.struct(*order))
+        at = F.when(hit, F.struct(*order, F.col(value).alias("_value")))
         aggs += [F.max_by(F.col(value), at).alias(f"_new_{c}"),
                  F.max(hit).alias(f"_has_{c}")]
     wide = (changes.filter(F.col(attribute).isin(*attrs))

@@ -37,7 +37,13 @@ class ForecastOptions:
     geo_scope: str = "nonspecialty"      # or "all"
     specialty_policy: str = "model"      # or "hold", "prior"
     land_only_gate: bool = True
-    cap: float | None = codes.MAX_LOG_CHANGE
+    cap: float | None | str = "track"    # commercial changes are capped; or a number, or None
+
+    @property
+    def max_change(self) -> float | None:
+        if self.cap == "track":
+            return codes.MAX_LOG_CHANGE if self.track == "com" else None
+        return self.cap
 
 
 # -- published rates ---------------------------------------------------------
@@ -142,17 +148,19 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
                         rates: DataFrame | None = None,
                         options: ForecastOptions = ForecastOptions(),
                         features: Sequence[str] = (), land_col: str = "appr_land_val",
-                        imps_col: str = "appr_imps_val") -> DataFrame:
+                        imps_col: str = "appr_imps_val", keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Forecast land and improvements year by year for consecutive `years`.
 
     `panel` holds the history and the future rows (see `extend_panel`), with
     parcel_id, tax_yr, appr_land_val, appr_imps_val, area, spec_area and the
     scorers' features. `scorers` may have land_delta, land_level, impr_delta and
     impr_level: functions (frame, name) -> frame with the prediction in `name`.
-    A scorer sees the features of the year and log_land_lag1, log_land_lag2 and
-    log_imps_lag1, which are predictions of the years before. A published rate
-    goes before the delta model, the delta model before the level model. The
-    result has one row per entity and year, with the method of each part.
+    A scorer sees the features of the year and lags 1 and 2 of log_land and log_imps,
+    which are predictions of the years before. A published rate goes before the delta
+    model, the delta model before the level model. `keys` name one path: with several
+    scenarios in the panel they are parcel_id and scenario, and each scenario has its
+    own history rows. The result has one row per path and year, with the method of
+    each part.
     """
     years = sorted(int(y) for y in years)
     if years != list(range(years[0], years[-1] + 1)):
@@ -179,10 +187,11 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
         log_at(land_col, last_obs).alias("_land1"),
         log_at(land_col, last_obs - 1).alias("_land2"),
         log_at(imps_col, last_obs).alias("_imps1"),
+        log_at(imps_col, last_obs - 1).alias("_imps2"),
         F.max(F.when(past, F.col(imps_col))).alias("_max_imps"),
         F.max(F.when(past, F.col(land_col))).alias("_max_land"),
         *[F.max(F.when(F.col(YEAR) == y, F.struct(*carried))).alias(f"_y{y}") for y in years]]
-    wide = rows.groupBy(KEY).agg(*aggs)
+    wide = rows.groupBy(*keys).agg(*aggs)
     land_only = (F.col("_max_land") > 0) & (F.coalesce("_max_imps", F.lit(0)) <= 0)
     wide = wide.withColumn("_gated", F.coalesce(land_only, F.lit(False))
                            if options.land_only_gate else F.lit(False))
@@ -198,7 +207,7 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
         at = F.col(f"_y{y}")
         wide = wide.withColumns(
             {YEAR: F.lit(y), "log_land_lag1": F.col("_land1"), "log_land_lag2": F.col("_land2"),
-             "log_imps_lag1": F.col("_imps1")} | {c: at[c] for c in carried})
+             "log_imps_lag1": F.col("_imps1"), "log_imps_lag2": F.col("_imps2")} | {c: at[c] for c in carried})
         for name in ("land_delta", "land_level", "impr_delta", "impr_level"):
             wide = (scorers[name](wide, f"_{name}") if name in scorers
                     else wide.withColumn(f"_{name}", null))
@@ -206,7 +215,7 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
 
         def steps(lag, part):
             return [(F.col(lag) + F.col("dlog_actual"), "actual"),
-                    (F.col(lag) + cap_dlog(f"_{part}_delta", options.cap), "delta")]
+                    (F.col(lag) + cap_dlog(f"_{part}_delta", options.max_change), "delta")]
 
         land = steps("_land1", "land") + [(F.col("_land_level"), "level")]
         imps = steps("_imps1", "impr") + [(open_(F.col("_impr_level")), "level")]
@@ -216,7 +225,11 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
             wide = wide.withColumns({
                 out: F.when(at.isNotNull(), F.coalesce(*[c for c, _ in ways])),
                 f"{out}_method": first_match([(c.isNotNull(), m) for c, m in ways])})
-        imps_val = F.when(F.col("_gated"), F.lit(0.0)).otherwise(F.exp("_imps"))
+        # A ratio of 0 has no logarithm; its improvements are 0 all the same.
+        none = F.lit(False)
+        if use_ratio:
+            none = F.col("_land").isNotNull() & F.col("_imps").isNull() & F.coalesce(F.col("ratio") == 0, none)
+        imps_val = F.when(F.col("_gated") | none, F.lit(0.0)).otherwise(F.exp("_imps"))
         wide = wide.withColumn(f"_out{y}", F.when(at.isNotNull(), F.struct(
             F.lit(y).alias(YEAR), F.col("_land").alias("pred_log_land"),
             F.col("_imps").alias("pred_log_imps"),
@@ -224,12 +237,12 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
             (F.exp("_land") + imps_val).alias("pred_total_assessed"),
             F.coalesce("rate_source", F.lit("model")).alias("rate_source"),
             F.col("_land_method").alias("land_method"),
-            F.when(F.col("_gated"), "land_only").otherwise(F.col("_imps_method"))
+            F.when(F.col("_gated"), "land_only").when(none, "ratio").otherwise(F.col("_imps_method"))
             .alias("impr_method"))))
         wide = wide.withColumns({"_land2": F.col("_land1"), "_land1": F.col("_land"),
-                                 "_imps1": F.col("_imps")}).drop(f"_y{y}")
+                                 "_imps2": F.col("_imps1"), "_imps1": F.col("_imps")}).drop(f"_y{y}")
     outs = F.filter(F.array(*[F.col(f"_out{y}") for y in years]), lambda s: s.isNotNull())
-    return wide.select(KEY, F.inline(outs))
+    return wide.select(*keys, F.inline(outs))
 
 
 # -- residual group ----------------------------------------------------------

@@ -7,15 +7,14 @@ no NULLs, so features are imputed first and predicted changes are clamped later.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acreline.functions import codes
@@ -171,14 +170,17 @@ def subgroup_frames(panel: DataFrame, features: Sequence[str], key: str = KEY,
     w = Window.partitionBy(key).orderBy(year)
     logs = {"land": log_pos("appr_land_val"), "impr": log_pos("appr_imps_val")}
     base = panel.withColumns({f"log_{k}": v for k, v in logs.items()})
-    base = base.withColumns({f"log_{k}_lag1": F.lag(f"log_{k}").over(w) for k in logs})
-    base = base.withColumns({f"dlog_{k}": F.col(f"log_{k}") - F.col(f"log_{k}_lag1")
-                             for k in logs})
+    # Lags carry the names under which a forecast offers them.
+    lags = {"land": "log_land", "impr": "log_imps"}
+    base = base.withColumns({f"{c}_lag{n}": F.lag(f"log_{k}", n).over(w)
+                             for k, c in lags.items() for n in (1, 2)})
+    base = base.withColumns({f"dlog_{k}": F.col(f"log_{k}") - F.col(f"{c}_lag1")
+                             for k, c in lags.items()})
     wanted = {}
     for k in logs:
         wanted[f"{k}_delta"] = (f"dlog_{k}", F.abs(f"dlog_{k}") <= cap)
         wanted[f"{k}_level"] = (f"log_{k}", F.col(f"log_{k}").isNotNull())
-    lagged = [*features, *[f"log_{k}_lag1" for k in logs]]
+    lagged = [*features, *[f"{c}_lag{n}" for c in lags.values() for n in (1, 2)]]
     used = kept_features(screen_features(base, lagged, max_null=1.0, min_known=min_known))
     sizes = base.agg(*[F.sum(F.coalesce(mask, F.lit(False)).cast("int")).alias(n)
                        for n, (_, mask) in wanted.items()]).first().asDict()
@@ -230,45 +232,94 @@ class FittedModel:
     cv_rmse: float | None
     n_trees: int
 
+    def save(self, path: str) -> str:
+        """Write the model below `path`: the pipeline and one row of what scoring needs."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        row = (self.target, list(self.numeric), list(self.categorical),
+               {k: float(v) for k, v in self.medians.items()}, self.cv_rmse, self.n_trees)
+        spark.createDataFrame([row], _MODEL_SCHEMA).write.mode("overwrite").parquet(f"{path}/model")
+        return path
 
-def _pipeline(numeric, categorical, target, trees, weight, **params) -> Pipeline:
+    @staticmethod
+    def load(path: str) -> FittedModel:
+        row = SparkSession.active().read.parquet(f"{path}/model").first()
+        return FittedModel(PipelineModel.load(f"{path}/pipeline"), row["target"], tuple(row["numeric"]),
+                           tuple(row["categorical"]), row["medians"], row["cv_rmse"], row["n_trees"])
+
+
+_MODEL_SCHEMA = ("target string, numeric array<string>, categorical array<string>, "
+                 "medians map<string,double>, cv_rmse double, n_trees int")
+
+
+def _pipeline(numeric, categorical, target, trees, weight, step, depth, min_leaf) -> Pipeline:
     indexed = [f"{c}_index" for c in categorical]
     stages = [StringIndexer(inputCols=list(categorical), outputCols=indexed,
                             handleInvalid="keep")] if categorical else []
     assembler = VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features")
-    gbt = GBTRegressor(labelCol=target, maxIter=trees, stepSize=0.05, subsamplingRate=0.8,
-                       featureSubsetStrategy="0.8", seed=123, maxBins=256, **params)
+    gbt = GBTRegressor(labelCol=target, maxIter=trees, stepSize=step, subsamplingRate=0.8,
+                       featureSubsetStrategy="0.8", seed=123, maxBins=256, maxDepth=depth,
+                       minInstancesPerNode=min_leaf)
     if weight:
         gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[*stages, assembler, gbt])
 
 
+def _best_size(train: DataFrame, later: DataFrame, make: Callable[[int], Pipeline],
+               target: str, patience: int, max_trees: int) -> tuple[int, float]:
+    """Trees with the least squared error on the later rows, and the root of that error.
+
+    The fit is long enough when `patience` trees after the best one bring nothing; else it
+    is made twice as long.
+    """
+    trees = min(max_trees, 2 * patience)
+    while True:
+        fitted = make(trees).fit(train)
+        *before, booster = fitted.stages
+        for stage in before:
+            later_features = stage.transform(later if stage is before[0] else later_features)
+        errors = booster.evaluateEachIteration(later_features, "squared")
+        best = min(range(len(errors)), key=errors.__getitem__)
+        if best + 1 + patience <= trees or trees >= max_trees:
+            return best + 1, errors[best] ** 0.5
+        trees = min(max_trees, 2 * trees)
+
+
 def fit_model(frame: DataFrame, target: str, numeric: Sequence[str],
               categorical: Sequence[str] = (), folds: Sequence[int] = (), year: str = YEAR,
-              max_trees: int = 100, weight: str | None = None) -> FittedModel:
-    """Cross-validated size, then one fit on all rows.
+              max_trees: int = 2000, patience: int = 50, step: float = 0.05, depth: int = 6,
+              min_leaf: int = 50, weight: str | None = None) -> FittedModel:
+    """Cross-validated size, then one fit of the mean size on all rows.
 
-    `folds` are cut years: each fold trains up to its cut, stops early on the
-    later years and scores them.
+    `folds` are cut years: each fold trains up to its cut, medians and levels included, and
+    takes the size with the least error on the later years, sought until `patience` further
+    trees bring nothing. Without folds the size is `max_trees`.
     """
-    medians = fit_imputer(frame, numeric)
-    numeric = tuple(c for c in numeric if c in medians)
     categorical = tuple(categorical)
     # Every fold and every tree reads the frame again, so it is kept while fitting.
-    ready = apply_imputer(frame, medians, categorical).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = RegressionEvaluator(labelCol=target, metricName="rmse")
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     scores, sizes = [], []
     for cut in folds:
-        later = F.col(year) > cut
-        fitted = _pipeline(numeric, categorical, target, max_trees, weight,
-                           validationIndicatorCol="_later").fit(
-            ready.withColumn("_later", later))
-        scores.append(evaluator.evaluate(fitted.transform(ready.filter(later))))
-        sizes.append(fitted.stages[-1].getNumTrees)
+        early, late = (frame.filter(c) for c in (F.col(year) <= cut, F.col(year) > cut))
+        medians = fit_imputer(early, numeric)
+        known = [c for c in numeric if c in medians]
+        if not known or late.isEmpty():
+            continue
+        train = apply_imputer(early, medians, categorical).persist(StorageLevel.MEMORY_AND_DISK)
+        size, error = _best_size(
+            train, apply_imputer(late, medians, categorical),
+            lambda n, known=known: _pipeline(known, categorical, target, n, weight, step, depth, min_leaf),
+            target, patience, max_trees)
+        train.unpersist()
+        sizes.append(size)
+        scores.append(error)
+    medians = fit_imputer(frame, numeric)
+    known = tuple(c for c in numeric if c in medians)
     trees = max(1, round(sum(sizes) / len(sizes))) if sizes else max_trees
-    final = _pipeline(numeric, categorical, target, trees, weight).fit(ready)
-    ready.unpersist()
-    return FittedModel(final, target, numeric, categorical, medians,
+    final = _pipeline(known, categorical, target, trees, weight, step, depth, min_leaf).fit(
+        apply_imputer(frame, medians, categorical))
+    frame.unpersist()
+    return FittedModel(final, target, known, categorical, medians,
                        sum(scores) / len(scores) if scores else None, trees)
 
 
@@ -279,8 +330,15 @@ def fit_delta_level(frames: Mapping[str, tuple[DataFrame, Sequence[str]]],
             for name, (frame, features) in frames.items()}
 
 
-def score(df: DataFrame, model: FittedModel, out: str = "prediction") -> DataFrame:
-    """Add the prediction; absent features take the training medians."""
+def score(df: DataFrame, model: FittedModel, out: str = "prediction",
+          allow_absent: Sequence[str] = ()) -> DataFrame:
+    """Add the prediction; NULL features take the training medians.
+
+    A feature that is no column of `df` is an error, unless `allow_absent` lists it.
+    """
+    gone = [c for c in model.numeric + model.categorical if c not in df.columns and c not in allow_absent]
+    if gone:
+        raise ValueError(f"features are absent: {', '.join(gone)}")
     absent = {c: F.lit(None).cast("double") for c in model.numeric if c not in df.columns}
     absent |= {c: F.lit(None).cast("string") for c in model.categorical if c not in df.columns}
     # Work on copies so that the caller's own NULLs are kept.
@@ -350,13 +408,14 @@ def retrofit_carry(panel: DataFrame, cols: Sequence[str], key: str = KEY,
 def extend_panel(history: DataFrame, years: Sequence[int], drivers: DataFrame | None = None,
                  state: str = "last_row", targets: Sequence[str] = (),
                  advance: Sequence[str] = (), last_year: int | None = None, key: str = KEY,
-                 year: str = YEAR) -> DataFrame:
+                 year: str = YEAR, overlay: bool = False) -> DataFrame:
     """History and one row per entity and future year.
 
     The state is each entity's last row, or its row in the last year
     (`state="last_year"`). Targets are NULL, `advance` columns grow by the years
     since the last year of the history (found in the plan unless it is given),
-    drivers replace their old columns.
+    drivers replace their old columns. With `overlay` a driver that is NULL keeps the
+    entity's last value.
     """
     if state not in ("last_row", "last_year"):
         raise ValueError(f"state must be 'last_row' or 'last_year', not {state!r}")
@@ -369,7 +428,10 @@ def extend_panel(history: DataFrame, years: Sequence[int], drivers: DataFrame |
         {c: F.lit(None).cast(types[c]) for c in targets if c in types}
         | {c: (F.col(c) + (F.col(year) - last)).cast(types[c]) for c in advance})
     if drivers is not None:
+        old = {c: f"_old_{c}" for c in drivers.columns if overlay and c != year and c in future.columns}
+        future = future.withColumns({v: F.col(c) for c, v in old.items()})
         future = attach_drivers(future, drivers, on=year)
+        future = future.withColumns({c: F.coalesce(c, v) for c, v in old.items()}).drop(*old.values())
     return stack([history, future])
 
 

@@ -62,8 +62,10 @@ def build_panel(snapshot: DataFrame, values: DataFrame, changes: DataFrame | Non
         values.select(KEY, YEAR, "appr_land_val", "appr_imps_val"), [KEY, YEAR], "left")
     panel = panel.join(snapshot.select(KEY, *facets), KEY, "left")
     if changes is not None:
-        dated = (changes.withColumn("eff_yr", F.year("update_date"))
-                 .filter(F.col("eff_yr").between(lo, hi)))
+        # What was changed before the first year still holds in it.
+        when = F.year("update_date")
+        dated = changes.withColumn("eff_yr", F.greatest(when, F.lit(lo)) if carry == "until_next" else when)
+        dated = dated.filter(F.col("eff_yr").between(lo, hi))
         panel = apply_changes(panel, dated, attrs, carry=carry,
                               order=("update_date", "attribute_value"))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))

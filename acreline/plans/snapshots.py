@@ -12,7 +12,7 @@ from acreline.functions.labels import (case_label, code_label, eligibility_flags
                                        range_label, unit_flags)
 from acreline.operators.aggregates import collapse, sum_by_bucket, weighted_mean
 from acreline.operators.joins import prefix_join
-from acreline.operators.windows import first_row, rows_at_min
+from acreline.operators.windows import first_row
 
 
 def residential_snapshot(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -24,9 +24,10 @@ def residential_snapshot(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
     stories, sq_ft_tot_living, nbr_living_units.
     """
     # Buildings that share the lowest number are all primary; one row is kept per
-    # parcel so that a parcel is never repeated.
-    primary = first_row(rows_at_min(buildings, "parcel_id", "bldg_nbr"), "parcel_id",
-                        ["bldg_nbr", "yr_built", "sq_ft_tot_living", "bldg_grade"])
+    # parcel, by a total order, so that a parcel is never repeated.
+    primary = first_row(buildings.filter(F.col("bldg_nbr").isNotNull()), "parcel_id",
+                        ["bldg_nbr", "yr_built", "sq_ft_tot_living", "bldg_grade",
+                         "condition", "heat_system", "stories"])
     primary = primary.select(
         "parcel_id", to_int("bldg_grade").alias("avg_bldg_grade"),
         to_int("condition").alias("condition_primary"),

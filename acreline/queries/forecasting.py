@@ -130,9 +130,9 @@ def _model_rows(t: Tables):
 
 def _fitted(t: Tables):
     rows = _model_rows(t)
-    cuts = [r["cut_yr"] for r in md.rolling_year_folds(rows, n=2).collect()]
+    cuts = [r["cut_yr"] for r in md.rolling_year_folds(rows).collect()]
     return rows, md.fit_model(rows, "delta_log_v", ["log_v_lag1", "c_acctbal", "c_nationkey"], ["c_mktsegment"],
-                              folds=cuts, max_trees=4, weight="weight")
+                              folds=cuts, patience=5, step=0.3, depth=4, weight="weight")
 
 
 @query("J08 J10")
@@ -142,6 +142,18 @@ def trained_predictions(t: Tables):
     return scored.select(_K, _Y, "pred_delta", F.lit(model.cv_rmse).alias("cv_rmse"), F.lit(model.n_trees).alias("n_trees"))
 
 
+@query("J08 J10", f"""
+WITH {PANEL_SQL}, y AS (SELECT parcel_id, tax_yr, lag(v) {_W} AS before FROM panel)
+SELECT tax_yr, COUNT(*) AS n, COUNT(*) AS n_scored, TRUE AS below_mean, TRUE AS several_trees FROM y WHERE before IS NOT NULL GROUP BY 1""")
+def model_checks(t: Tables):
+    """Every row is scored, and the held-out error is below that of the mean."""
+    rows, model = _fitted(t)
+    spread = rows.agg(F.stddev("delta_log_v")).first()[0]
+    return md.score(rows, model, "pred_delta").groupBy(_Y).agg(
+        F.count(F.lit(1)).alias("n"), F.count("pred_delta").alias("n_scored"),
+        F.lit(bool(model.cv_rmse < spread)).alias("below_mean"), F.lit(model.n_trees > 4).alias("several_trees"))
+
+
 @query("J37")
 def feature_importance(t: Tables):
     _, model = _fitted(t)
@@ -394,7 +406,7 @@ def residential_sequential_forecast(t: Tables):
     s = _scorers()
     deltas = {k: s[k] for k in ("land_delta", "impr_delta")}
     out = fc.forecast_sequential(_forecast_panel(t), [2002, 2003], deltas, _published(t),
-                                 fc.ForecastOptions(track="res", cap=None), features=["size"])
+                                 fc.ForecastOptions(track="res"), features=["size"])
     none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
     return out.groupBy(_Y, none("land_method"), none("impr_method")).agg(
         F.count(F.lit(1)).alias("n"), dbl(F.sum("pred_total_assessed"), "total", 2))
@@ -406,13 +418,11 @@ def sequential_forecast_with_models(t: Tables):
     frames = md.subgroup_frames(panel_.filter(F.col(_Y) <= 2001), ["size", "c_acctbal"])
     targets = {f"{k}_{w}": f"{'dlog' if w == 'delta' else 'log'}_{k}" for k in ("land", "impr") for w in ("delta", "level")}
     # Level models must not see the lag they stand in for.
-    usable = {n: (df, [c for c in cols if "delta" in n or not c.endswith("_lag1")])
+    usable = {n: (df, [c for c in cols if "delta" in n or "_lag" not in c])
               for n, (df, cols) in frames.items()}
-    models = md.fit_delta_level(usable, targets, max_trees=3)
-    rename = {"log_imps_lag1": "log_impr_lag1"}
-    scorers = {n: (lambda m: lambda df, out: md.score(
-        df.withColumnsRenamed(rename), m, out).withColumnsRenamed({v: k for k, v in rename.items()}))(m)
-        for n, m in models.items()}
+    cuts = [r["cut_yr"] for r in md.rolling_year_folds(panel_.filter(F.col(_Y) <= 2001), n=2).collect()]
+    models = md.fit_delta_level(usable, targets, folds=cuts, patience=4, step=0.3, depth=4)
+    scorers = {n: (lambda m: lambda df, out: md.score(df, m, out))(m) for n, m in models.items()}
     return fc.forecast_sequential(panel_, [2002, 2003, 2004], scorers, _published(t),
                                   features=["size", "c_acctbal"])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,15 @@ from acreline.functions.cleaning import slug_name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The folder that the cluster names in `spark.checkpoint.dir`.
+
+    Only a local session, as in tests, gets a temporary one where none is set: on a
+    cluster a machine-local folder would hold a part of each table on each machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="acreline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -93,36 +100,56 @@ def read_latest(spark: SparkSession, root: str, scenario: str | None = None,
                 run_col: str = "run_id") -> DataFrame:
     """Newest run below `root`: of the scenario if it has runs, else of any.
 
-    Only partition values are read to find the run; the result is pruned to it.
+    Runs are found by their partition folders; no row is read for that, and the result
+    is pruned to the newest one.
     """
     table = spark.read.parquet(root)
-    if scenario is not None and "scenario" in table.columns:
-        own = table.filter(F.col("scenario") == scenario)
-        newest = own.agg(F.max(run_col)).first()[0]
-        if newest is not None:
-            return own.filter(F.col(run_col) == F.lit(newest))
-    newest = table.agg(F.max(run_col)).first()[0]
-    return table.filter(F.col(run_col) == F.lit(newest))
-
-
-def _modified(spark: SparkSession, path: str):
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    return files.agg(F.max("modificationTime")).first()[0]
+    parts = _partitions(table, root, [c for c in ("scenario", run_col) if c in table.columns])
+    own = [p for p in parts if scenario is not None and p.get("scenario") == scenario]
+    runs = [p[run_col] for p in own or parts if p.get(run_col) is not None]
+    if not runs:
+        return table.limit(0)
+    # Partition values are compared as the table types them.
+    kind = table.schema[run_col].dataType
+    typed = spark.createDataFrame([(r,) for r in sorted(set(runs))], "r string").select(
+        F.max(F.col("r").cast(kind))).first()[0]
+    newest = table.filter(F.col(run_col) == F.lit(typed))
+    return newest.filter(F.col("scenario") == scenario) if own else newest
+
+
+def _partitions(table: DataFrame, root: str, names: Sequence[str]) -> list[dict[str, str]]:
+    """Partition values in the paths of a table's files."""
+    found = []
+    for path in table.inputFiles():
+        keys = dict(part.split("=", 1) for part in path.split("/") if "=" in part)
+        found.append({n: unquote(keys[n]) for n in names if n in keys})
+    return found
+
+
+def _modified(spark: SparkSession, path: str, marker: str = ""):
+    """When a path was last written, or None if it (or its success marker) is not there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = jvm.org.apache.hadoop.fs.Path(target, marker) if marker else target
+    if not files.exists(done):
+        return None
+    status = files.getFileStatus(done)
+    if marker or status.isFile():
+        return status.getModificationTime()
+    return max([status.getModificationTime(), *(f.getModificationTime() for f in files.listStatus(target))])
 
 
 def materialize(make: Callable[[], DataFrame], path: str, sources: Sequence[str] = (),
                 force: bool = False, spark: SparkSession | None = None) -> DataFrame:
-    """Reuse a written stage unless it is missing, forced or older than a source."""
+    """Reuse a written stage unless it is missing, unfinished, forced or older than a source.
+
+    A stage counts as written by its `_SUCCESS` marker, so one that broke off is made again.
+    """
     spark = spark or SparkSession.active()
     if not force:
-        try:
-            written = _modified(spark, path)
-        except Exception as error:  # the path does not exist yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            written = None
-        stale = written is None or any(_modified(spark, s) > written for s in sources)
-        if not stale:
+        written = _modified(spark, path, "_SUCCESS")
+        if written is not None and all((_modified(spark, s) or 0) <= written for s in sources):
             return spark.read.parquet(path)
     write_table(make(), path)
     return spark.read.parquet(path)

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from acreline.plans import classify as cl
 from acreline.plans import forecast as fc
 from acreline.plans import modeling as md
+from acreline.plans import panel as pp
 from acreline.plans import reconcile as rc
 
 
@@ -173,9 +175,12 @@ def test_model_learns_and_scores_with_missing_features(spark):
     df = spark.range(400).select((F.col("id") % 4 + 2000).cast("int").alias("tax_yr"), (F.col("id") % 10).cast("double").alias("x"),
                                  F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"))
     df = df.withColumn("y", F.col("x") * 2)
-    model = md.fit_model(df, "y", ["x"], ["c"], folds=[2002], max_trees=5)
+    model = md.fit_model(df, "y", ["x"], ["c"], folds=[2002], max_trees=5, min_leaf=1)
     assert model.cv_rmse < 6 and 1 <= model.n_trees <= 5
-    out = md.score(df.drop("c").withColumn("x", F.when(F.col("x") > 5, F.col("x"))), model)
+    absent = df.drop("c").withColumn("x", F.when(F.col("x") > 5, F.col("x")))
+    with pytest.raises(ValueError, match="absent: c"):
+        md.score(absent, model)
+    out = md.score(absent, model, allow_absent=["c"])
     assert out.columns == ["tax_yr", "x", "y", "prediction"]
     assert out.filter("x IS NULL").count() == 240 and out.filter("prediction IS NULL").count() == 0
 
@@ -204,3 +209,58 @@ def test_specialty_name_beats_earlier_code_unless_interleaved(spark):
     df = spark.createDataFrame([("Hotel", 11)], "spec_area_name string, present_use int")
     get = lambda **kw: cl.assign_subgroup(df, **kw).collect()[0]["com_subgroup"]
     assert get() == "hospitality" and get(interleaved=True) == "apt"
+
+
+def test_model_takes_as_many_trees_as_it_needs_and_survives_a_save(spark, tmp_path):
+    df = spark.range(3000).select(
+        (F.col("id") % 5 + 2000).cast("int").alias("tax_yr"), (F.xxhash64("id") % 1000 / 100).alias("x"))
+    df = df.withColumn("y", F.sin("x") * 3 + F.col("x"))
+    model = md.fit_model(df, "y", ["x"], folds=[2002], patience=10, step=0.1, depth=3)
+    spread = df.agg(F.stddev("y")).first()[0]
+    assert model.n_trees > 20 and model.cv_rmse < 0.2 * spread
+    again = md.FittedModel.load(model.save(str(tmp_path / "model")))
+    assert again.n_trees == model.n_trees and again.medians == model.medians
+    both = [[r[0] for r in md.score(df, m).select("prediction").collect()] for m in (model, again)]
+    assert both[0] == both[1]
+
+
+def forecast_rows(spark, rows):
+    return spark.createDataFrame(
+        rows, "parcel_id string, tax_yr int, scenario string, appr_land_val double, appr_imps_val double, bump double")
+
+
+def test_scenarios_stay_apart(spark):
+    rows = [("a", y, s, v, None, b) for s, b in (("low", 0.0), ("high", 1.0))
+            for y, v in ((2024, 100.0), (2025, 100.0), (2026, None))]
+    land = lambda df, out: df.withColumn(out, F.col("bump") * F.log(F.lit(1.2)))
+    out = fc.forecast_sequential(forecast_rows(spark, rows), [2026], {"land_delta": land}, features=["bump"],
+                                 keys=["parcel_id", "scenario"])
+    got = {r["scenario"]: round(r["pred_appr_land_val"], 6) for r in out.collect()}
+    assert got == {"low": 100.0, "high": 120.0}
+
+
+def test_a_ratio_of_zero_gives_no_improvements(spark):
+    rows = [("a", 2022, "s", 100.0, 50.0, 0.0), ("a", 2023, "s", 100.0, 0.0, 0.0), ("a", 2024, "s", 100.0, 0.0, 0.0),
+            ("a", 2025, "s", 100.0, 0.0, 0.0), ("a", 2026, "s", None, None, 0.0)]
+    flat = lambda df, out: df.withColumn(out, F.lit(0.0))
+    [r] = fc.forecast_sequential(forecast_rows(spark, rows), [2026], {"land_delta": flat}).collect()
+    assert (round(r["pred_total_assessed"], 6), r["pred_appr_imps_val"], r["impr_method"]) == (100.0, 0.0, "ratio")
+
+
+def test_only_commercial_changes_are_capped_by_default(spark):
+    rows = [("a", 2025, "s", 100.0, None, 0.0), ("a", 2026, "s", None, None, 0.0)]
+    jump = lambda df, out: df.withColumn(out, F.lit(0.9))
+    got = [fc.forecast_sequential(forecast_rows(spark, rows), [2026], {"land_delta": jump}, None,
+                                  fc.ForecastOptions(track=t)).first()["pred_appr_land_val"] for t in ("com", "res")]
+    assert [round(x, 2) for x in got] == [150.0, 245.96]
+
+
+def test_changes_before_the_first_year_hold(spark):
+    snapshot = spark.createDataFrame([("a", 1, "old")], "parcel_id string, area int, zone string")
+    values = spark.createDataFrame([], "parcel_id string, tax_yr int, appr_land_val double, appr_imps_val double")
+    changes = spark.createDataFrame([("a", "zone", "1998", dt.date(1998, 5, 1)), ("a", "zone", "1997", dt.date(1997, 5, 1)),
+                                     ("a", "zone", "2001", dt.date(2001, 5, 1))],
+                                    "parcel_id string, attribute string, attribute_value string, update_date date")
+    got = {c: [r["zone"] for r in pp.build_panel(snapshot, values, changes, 2000, 2002, {"zone": "zone"}, carry=c)
+               .orderBy("tax_yr").collect()] for c in ("until_next", "point")}
+    assert got == {"until_next": ["1998", "2001", "2001"], "point": ["old", "2001", "old"]}
