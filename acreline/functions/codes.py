@@ -87,6 +87,9 @@ UNIT_SIZE_TIERS = (
     (1800, None, "Large (1800+)"),
 )
 
+# Baseline distances that stay with the panel.
+DISTANCE_COLUMNS = ("dist_to_public_km", "dist_to_private_km", "dist_to_lightrail_km")
+
 # Change-log attribute -> snapshot column. `area` is baseline only.
 CHANGE_ATTRIBUTES = {
     "area": "area", "currentzoning": "current_zoning_3",

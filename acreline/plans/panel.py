@@ -18,8 +18,8 @@ from acreline.functions.cleaning import (coalesce_present, digits_to_num, entity
                                          null_tokens, to_int, yn_flag)
 from acreline.operators.aggregates import pivot_wide, sum0
 from acreline.operators.filters import filter_codes, filter_years
-from acreline.operators.joins import (apply_changes, attach_drivers, cross_grid,
-                                      expand_interval, expand_snapshot, update_join)
+from acreline.operators.joins import (apply_changes, attach_drivers, expand_interval,
+                                      expand_snapshot, update_join)
 from acreline.operators.sets import stack
 from acreline.operators.windows import (latest, locf, rolling_mean, rolling_sum,
                                         years_since)
@@ -57,10 +57,11 @@ def build_panel(snapshot: DataFrame, values: DataFrame, changes: DataFrame | Non
                 carry: str = "until_next") -> DataFrame:
     """Entity-by-year grid with values, baseline facets, changes and logs."""
     attrs = {a: c for a, c in attrs.items() if a != "area"}
-    facets = [c for c in ("area", *attrs.values()) if c in snapshot.columns]
-    panel = cross_grid(snapshot, KEY, lo, hi).join(
-        values.select(KEY, YEAR, "appr_land_val", "appr_imps_val"), [KEY, YEAR], "left")
-    panel = panel.join(snapshot.select(KEY, *facets), KEY, "left")
+    facets = [c for c in ("area", *attrs.values(), *codes.DISTANCE_COLUMNS) if c in snapshot.columns]
+    # The snapshot is repeated in place with its facets, so it is not joined to itself.
+    panel = expand_snapshot(snapshot.select(KEY, *facets).distinct(),
+                            range(lo, hi + 1), YEAR)
+    panel = panel.join(values.select(KEY, YEAR, "appr_land_val", "appr_imps_val"), [KEY, YEAR], "left")
     if changes is not None:
         # What was changed before the first year still holds in it.
         when = F.year("update_date")

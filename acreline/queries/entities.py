@@ -180,7 +180,7 @@ _YEARS_SQL = """spine AS (SELECT parcel_id, CAST(y AS INT) AS tax_yr FROM (SELEC
 WITH {_YEARS_SQL}, sq AS (SELECT l_orderkey, nullif(SUM(CAST(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END AS DECIMAL(18,2))), 0) AS s FROM lineitem GROUP BY 1),
 ann AS (SELECT o_custkey AS parcel_id, CAST(year(o_orderdate) + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS INT) AS tax_yr, COUNT(*) AS n,
     SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v, COALESCE(SUM(s), 0) AS s, SUM(o_orderkey % 3) AS u
-  FROM orders LEFT JOIN sq ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2),
+  FROM orders LEFT JOIN sq ON l_orderkey = o_orderkey GROUP BY 1, 2),
 p AS (SELECT sp.parcel_id, sp.tax_yr, COALESCE(n, 0) AS n, COALESCE(v, 0) AS v, COALESCE(s, 0) AS s, COALESCE(u, 0) AS u, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS f
   FROM spine sp LEFT JOIN ann a ON a.parcel_id = sp.parcel_id AND a.tax_yr = sp.tax_yr)
 SELECT parcel_id, tax_yr, n AS permits_last_1yr, CAST(SUM(n) OVER w3 AS BIGINT) AS permits_last_3yr, CAST(SUM(n) OVER w5 AS BIGINT) AS permits_last_5yr,
@@ -191,7 +191,7 @@ FROM p WINDOW w3 AS (PARTITION BY parcel_id ORDER BY tax_yr ROWS 2 PRECEDING), w
   wa AS (PARTITION BY parcel_id ORDER BY tax_yr ROWS UNBOUNDED PRECEDING)""")
 def permit_features(t: Tables):
     k = F.col("o_orderkey")
-    permits = t.orders.filter("o_orderpriority = '1-URGENT'").select(
+    permits = t.orders.select(
         F.col("o_custkey").alias("parcel_id"), k.alias("record_number"),
         F.when(k % 4 == 0, F.make_date(F.year("o_orderdate") + 1, F.lit(3), F.lit(1))).alias("finished"),
         F.to_date("o_orderdate").alias("issued"), money("o_totalprice").alias("valuation"),
@@ -226,8 +226,9 @@ def assessor_permit_features(t: Tables):
         F.when(F.col("o_orderstatus") == "F", "Finaled: FINAL").otherwise("Issued").alias("permit_status"),
         F.when(k % 3 > 0, F.floor("o_totalprice").cast("double")).alias("permit_val"),
         F.when(k % 5 > 0, k % 100).alias("pcnt_complete"))
-    item = F.element_at(F.array(*[F.lit(i) for i in codes.PERMIT_ITEMS]), F.col("l_linenumber"))
-    detail = t.lineitem.filter("l_linenumber <= 4").select(
+    # Lines beyond the known items carry an item that no feature uses.
+    item = F.coalesce(F.get(F.array(*[F.lit(i) for i in codes.PERMIT_ITEMS]), F.col("l_linenumber") - 1), F.lit(0))
+    detail = t.lineitem.select(
         F.col("l_orderkey").alias("permit_nbr"), item.alias("permit_item"),
         F.concat(F.lit("$ "), _text(F.col("l_quantity").cast("int")), F.lit(" sf")).alias("item_value"))
     out = pl.assessor_permit_features(_years(t), permits, detail)
