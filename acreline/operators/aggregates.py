@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from acreline.functions.cleaning import ColumnLike, col
 from acreline.functions.codes import MAPE_FLOOR, RATE_NAME_PATTERN
-from acreline.operators.running import running
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -116,48 +115,50 @@ def mode_of(df: DataFrame, keys, c: str, order: Sequence[str]) -> DataFrame:
 
 
 def median_by(df: DataFrame, keys, c: str, out: str = "median",
-              large: bool = True, task_values: int = 100_000) -> DataFrame:
+              large: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated median per group.
 
     With `large=False` this is `percentile`, which holds a group's distinct
     values in one task: right for groups that are small by construction, such as
-    the years of one entity. Otherwise values are counted first, big groups are
-    cut into value ranges, and ranks come from a chunked running count. The cuts
-    come from a quantile sketch but only balance the work; the result is exact.
-    Groups with at most `task_values` distinct values stay whole.
+    the years of one entity. Otherwise a quantile sketch, whose rank error is at
+    most 1 / `accuracy`, gives each group a bracket that holds its median; a second
+    pass counts the values below and keeps only those inside, where the exact rank
+    is found. The plan is the same for every size.
     """
     keys = _keys(keys)
     if not large:
         return df.groupBy(*keys).agg(F.expr(f"percentile(`{c}`, 0.5)").alias(out))
-    counts = (df.filter(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_here")))
-    cuts = [i / 256 for i in range(1, 256)]
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("_here").alias("_n"), F.count(F.lit(1)).alias("_values"),
-        F.percentile_approx("_v", cuts, F.lit(10000)).alias("_cuts"))
+    values = df.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
+    shares = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
+    sketch = F.percentile_approx("_v", shares, F.lit(accuracy)).alias("_bracket")
+    brackets = values.groupBy(*keys).agg(sketch)
     if keys:
-        renamed = sizes.withColumnsRenamed({k: f"_size_{k}" for k in keys})
+        renamed = brackets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
         match = F.lit(True)
         for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_size_{k}"))
-        counts = counts.join(renamed, match).drop(*[f"_size_{k}" for k in keys])
+            match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        placed = values.join(renamed, match).drop(*[f"_of_{k}" for k in keys])
     else:
-        counts = counts.withColumns({s: sizes.select(s).scalar()
-                                     for s in ("_n", "_values", "_cuts")})
-    chunk = F.when(F.col("_values") > task_values,
-                   F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).otherwise(0)
-    counts = counts.withColumn("_range", chunk).drop("_cuts", "_values")
-    ranked = running(counts, keys, "_v", {"_upto": ("sum", "_here")},
-                     chunk=F.col("_range"))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+        placed = values.withColumn("_bracket", brackets.scalar())
+    low, high = F.col("_bracket")[0], F.col("_bracket")[1]
+    side = F.when(F.col("_v") < low, 0).when(F.col("_v") > high, 2).otherwise(1)
+    # One row for all values below, one for all above, and one per value inside.
+    counts = (placed.withColumn("_side", side)
+              .withColumn("_v", F.when(F.col("_side") == 1, F.col("_v")))
+              .groupBy(*keys, "_side", "_v").agg(F.count(F.lit(1)).alias("_here")))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = F.sum("_here").over(by.orderBy("_side", "_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_here").over(by)})
+    lower, upper = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
     start = F.col("_upto") - F.col("_here")
 
     def holds(rank):
         return (start < rank) & (rank <= F.col("_upto"))
 
     return ranked.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col("_v")))
-          + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(out))
+        ((F.max(F.when(holds(lower), F.col("_v")))
+          + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(out))
 
 
 def dominant(df: DataFrame, keys, cat: str, weight: str, min_share: float = 0.5) -> DataFrame:
