@@ -1,9 +1,10 @@
 """Quality classifier by compression: which dictionary shortens a text more?
 
 Two zstandard dictionaries are trained, one from texts labelled good, one from bad. A text is
-compressed with each; the difference of the two sizes over their sum, a number between -1
-and 1, becomes a probability by logistic calibration on labelled texts that the dictionaries
-have not seen.
+compressed with each, in blocks of a fixed size so that a long text does not outgrow the
+dictionaries; the difference of the two sizes over their sum, a number between -1 and 1, and
+how far the text shrinks at all become a probability by logistic calibration on labelled texts
+that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVEL = 3
+BLOCK = 512
 
 
 @dataclass(frozen=True)
 class CompressionModel:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    centre: tuple[float, ...] = (0.0, 0.0, 0.0)
+    scale: tuple[float, ...] = (1.0, 1.0, 1.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
 
 class Scorer:
-    """Both dictionaries, digested once per Python worker."""
+    """Both dictionaries, digested once per task."""
 
     def __init__(self, model: CompressionModel):
         self._model = model
@@ -41,33 +44,37 @@ class Scorer:
             self._both.append(zstandard.ZstdCompressor(
                 dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def difference(self, text: bytes) -> float:
-        """Above 0 when the good dictionary shortens the text more."""
-        good, bad = (len(c.compress(text)) for c in self._both)
-        return (bad - good) / (bad + good)
+    def features(self, text: bytes) -> tuple[float, float, float]:
+        """(difference, ratio, ratio squared); the first is above 0 when good fits better."""
+        blocks = [text[i:i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
+        good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self._both)
+        ratio = min(good, bad) / (len(text) + 20 * len(blocks))
+        return (bad - good) / (bad + good), ratio, ratio * ratio
 
     def score(self, text: bytes) -> float:
-        x = self._model.slope * self.difference(text) + self._model.offset
+        m = self._model
+        x = m.weights[-1] + sum(w * (f - c) / s for w, f, c, s in
+                                zip(m.weights, self.features(text), m.centre, m.scale))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a logistic regression in one variable, both classes weighing the same."""
-    if not len(x) or y.min() == y.max():
-        return 1.0, 0.0
-    scale = float(np.abs(x).mean()) or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], axis=1)
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3):
+    """(centre, scale, weights) of a logistic regression, both classes weighing the same."""
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    if y.min() == y.max():
+        return centre, scale, np.array([1.0] + [0.0] * x.shape[1])
+    a = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w = np.zeros(2)
+    penalty = np.array([ridge] * x.shape[1] + [1e-9])
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + ridge * np.array([w[0], 0])
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-9])
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty),
+                               a.T @ (weight * (p - y)) + penalty * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return centre, scale, w
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -105,13 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_by
         else:
             build[r["_y"]].append(bytes(r["_t"]))
     if not build[0] or not build[1]:
-        return CompressionModel(b"", b"", 0.0, 0.0)
+        return CompressionModel(b"", b"")
     good, bad = (_dictionary(build[y], dictionary_bytes) for y in (1, 0))
-    model = CompressionModel(good, bad, 1.0, 0.0)
-    scorer = Scorer(model)
-    x = np.array([scorer.difference(t) for t, _ in hold])
-    slope, offset = calibrate(x, np.array([y for _, y in hold]))
-    return CompressionModel(good, bad, slope, offset)
+    scorer = Scorer(CompressionModel(good, bad))
+    x = np.array([scorer.features(t) for t, _ in hold or [(build[1][0], 1)]])
+    fitted = calibrate(x, np.array([y for _, y in hold or [(b"", 1)]]))
+    return CompressionModel(good, bad, *(tuple(map(float, f)) for f in fitted))
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
