@@ -50,7 +50,8 @@ def portions(text: bytes, most: int = PORTION_BYTES) -> Iterator[bytes]:
         end = found.start() if found else len(text)
         yield text[at:end]
         at = end
-    yield text[at:] if at else text
+    if at < len(text) or not text:
+        yield text[at:] if at else text
 
 
 class WordEncoder:

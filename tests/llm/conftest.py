@@ -20,7 +20,7 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def awkward(spark):
     """NULLs, empty and blank texts, a very long one, repeated rows, clashing columns."""
-    long_text = "lorem ipsum dolor 4111 1111 1111 1111 sit amet " * 30_000
+    long_text = "lorem ipsum dolor sit amet " * 40_000 + "4111 1111 1111 1111 x " * 50
     texts = [None, "", " \n\t", "one", "One two three four five six seven", long_text,
              "mail a.b@mail.example.com now", "mail a.b@mail.example.com now", "naïve ½ 日本 <|endoftext|>"]
     rows = [(i, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else f"s{i % 2}", None, "x", 1.5, 7)

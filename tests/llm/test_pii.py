@@ -49,10 +49,10 @@ def test_what_is_not_valid_is_left(spark, text):
 
 
 def test_dates_are_permuted_one_to_one(spark):
-    days = spark.range(0, 20_000).select(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(0, 3000).select(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int"))
                                         .cast("string").alias("text"))
     got = [r["text"] for r in pii.pseudonymize(days, "k", counts=False).collect()]
-    assert len(set(got)) == 20_000 and all(1800 <= dt.date.fromisoformat(x).year < 2200 for x in got)
+    assert len(set(got)) == 3000 and all(1800 <= dt.date.fromisoformat(x).year < 2200 for x in got)
 
 
 def test_integers_and_texts_are_permuted_one_to_one(spark):
@@ -79,5 +79,5 @@ def test_awkward_rows(awkward, nothing):
     rows = pii.pseudonymize(awkward, "k").collect()
     assert len(rows) == awkward.count() and rows[0]["text"] is None and rows[0]["n_replaced"] == 0
     assert rows[6]["text"] == rows[7]["text"] == rows[9]["text"] != "mail a.b@mail.example.com now"
-    assert rows[5]["n_replaced"] == 30_000
+    assert rows[5]["n_replaced"] == 50
     assert pii.pseudonymize(nothing, "k").count() == 0
