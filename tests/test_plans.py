@@ -212,10 +212,10 @@ def test_specialty_name_beats_earlier_code_unless_interleaved(spark):
 
 
 def test_model_takes_as_many_trees_as_it_needs_and_survives_a_save(spark, tmp_path):
-    df = spark.range(3000).select(
+    df = spark.range(1500).coalesce(2).select(
         (F.col("id") % 5 + 2000).cast("int").alias("tax_yr"), (F.xxhash64("id") % 1000 / 100).alias("x"))
     df = df.withColumn("y", F.sin("x") * 3 + F.col("x"))
-    model = md.fit_model(df, "y", ["x"], folds=[2002], patience=10, step=0.1, depth=3)
+    model = md.fit_model(df, "y", ["x"], folds=[2002], patience=4, step=0.3, depth=2)
     spread = df.agg(F.stddev("y")).first()[0]
     assert model.n_trees > 20 and model.cv_rmse < 0.2 * spread
     again = md.FittedModel.load(model.save(str(tmp_path / "model")))
