@@ -134,7 +134,9 @@ def _with_blocks(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
     parts = parts.select("_source", "_block", "_start", (lo - F.col("_start")).alias("_at"),
                          (hi - lo).alias("_words"))
     times = taken.groupBy("_source", "_block").agg(F.count("*").alias("_times"))
-    return parts.join(times, ["_source", "_block"])
+    # Both sides grow with the corpus; the slots come from a small table, so their size is
+    # underestimated and must not decide for a broadcast.
+    return parts.join(times.hint("merge"), ["_source", "_block"])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2,
