@@ -232,8 +232,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(TABLE_BITS))]])
     variants = heads.select("n", F.explode(F.transform(
         masks, lambda m: F.col("key").bitwiseXOR(m))).alias("variant"))
-    met = (variants.groupBy("variant").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
-           .select(F.array_min("ns").alias("a"), F.explode("ns").alias("b")).filter("a < b"))
+    # The smallest of each bucket by a window: its sort spills, and no list is built.
+    least = F.min("n").over(Window.partitionBy("variant"))
+    met = variants.select(least.alias("a"), F.col("n").alias("b")).filter("a < b")
     pairs = same.union(met).distinct()
     bits = sigs.select(F.col("h").alias("_h"), F.col("s").alias("_s"))
     both = (pairs.join(bits, F.col("a") == F.col("_h")).withColumnRenamed("_s", "s_a").drop("_h")
