@@ -421,7 +421,7 @@ def sequential_forecast_with_models(t: Tables):
     usable = {n: (df, [c for c in cols if "delta" in n or "_lag" not in c])
               for n, (df, cols) in frames.items()}
     cuts = [r["cut_yr"] for r in md.rolling_year_folds(panel_.filter(F.col(_Y) <= 2001), n=2).collect()]
-    models = md.fit_delta_level(usable, targets, folds=cuts, patience=4, step=0.3, depth=4)
+    models = md.fit_delta_level(usable, targets, folds=cuts, patience=3, step=0.3, depth=2)
     scorers = {n: (lambda m: lambda df, out: md.score(df, m, out))(m) for n, m in models.items()}
     return fc.forecast_sequential(panel_, [2002, 2003, 2004], scorers, _published(t),
                                   features=["size", "c_acctbal"])
