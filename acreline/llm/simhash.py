@@ -219,7 +219,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     A single fingerprint within 2 bits finds near-equal texts only. Here every text has
     `tables` independent fingerprints of 32 bits, and texts meet if any two are within 2 bits.
     Pairs that met are screened by the whole signature (32 x `tables` bits) and then verified:
-    the Jaccard similarity of their sets of shingles must reach `similarity`.
+    the Jaccard similarity of their sets of shingles must reach `similarity`. First each text is
+    verified with the smallest of its buckets only, which settles families of near copies; then
+    all that met and are not in one group yet are verified pair by pair.
     """
     sigs = stored(signatures(docs, width, tables, text_col))
     shift = [(F.shiftrightunsigned(F.get("s", t // 2), TABLE_BITS * (t % 2)).bitwiseAND((1 << TABLE_BITS) - 1)
@@ -229,13 +231,61 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     heads = keys.groupBy("key").agg(F.min("h").alias("n"), F.count("*").alias("m"))
     same = (keys.join(heads.filter("m > 1").select("key", "n"), "key")
             .filter(F.col("h") != F.col("n")).select(F.col("n").alias("a"), F.col("h").alias("b")))
+    variants = heads.select("key", F.explode(variants_of("key")).alias("v"))
+    # Buckets by a window: its sort spills, and no list is built. Those of two keys and more stay.
+    bucket = Window.partitionBy("v")
+    buckets = stored(variants.select("v", "key", F.min("key").over(bucket).alias("lo"),
+                                     F.max("key").over(bucket).alias("hi")).filter("lo < hi").select("v", "key"))
+    least = F.min("n").over(bucket)
+    met = (buckets.join(heads.select("key", "n"), "key")
+           .select(least.alias("a"), F.col("n").alias("b")).filter("a < b"))
+    edges = stored(alike(docs, sigs, same.union(met).distinct(), width, similarity, tables, text_col))
+    # The edges to a third text may have failed where two of a bucket are alike.
+    rest = alike(docs, sigs, apart(sigs, keys, buckets, components(edges)), width, similarity, tables, text_col)
+    groups = components(edges.union(rest))
+    return (sigs.join(groups, sigs["h"] == groups["node"], "left")
+            .select("h", F.coalesce("root", "h").alias("root")))
+
+
+def variants_of(key: str) -> Column:
+    """The key and all keys that differ from it in one of the `TABLE_BITS` bits."""
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(TABLE_BITS))]])
-    variants = heads.select("n", F.explode(F.transform(
-        masks, lambda m: F.col("key").bitwiseXOR(m))).alias("variant"))
-    # The smallest of each bucket by a window: its sort spills, and no list is built.
-    least = F.min("n").over(Window.partitionBy("variant"))
-    met = variants.select(least.alias("a"), F.col("n").alias("b")).filter("a < b")
-    pairs = same.union(met).distinct()
+    return F.transform(masks, lambda m: F.col(key).bitwiseXOR(m))
+
+
+def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: all texts that meet in a bucket but are in different groups by `roots`.
+
+    Buckets within one group are settled. In the others the pairs of keys are made first, each
+    once (a key has at most 528 others within 2 bits), then those of their texts.
+    """
+    rooted = stored(sigs.join(roots, sigs["h"] == roots["node"], "left")
+                    .select("h", F.coalesce("root", "h").alias("root")))
+    texts = keys.join(rooted, "h").select("key", "h", "root")
+    spans = stored(texts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    variants = buckets.join(spans, "key").select("v", "key", "lo", "hi")
+    unsettled = (variants.groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                 .filter("lo < hi").select("v"))
+    variants = variants.join(unsettled, "v", "left_semi")
+    x, y = (variants.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "lo", "hi")])
+            for side in "xy")
+    # Keys that differ meet in two variants; the pair is taken in the smaller.
+    other = F.col("key_x").bitwiseXOR(F.col("key_y")).bitwiseXOR(F.col("v"))
+    met = (x.join(y, "v").filter((F.col("key_x") < F.col("key_y")) & (F.col("v") < other)
+                                 & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y")))
+           .select("key_x", "key_y"))
+    met = stored(met.union(spans.filter("lo < hi").select("key", "key")))
+    wanted = met.select("key_x").union(met.select("key_y")).distinct().toDF("key")
+    texts = stored(texts.join(wanted, "key", "left_semi"))
+    x, y = (texts.select(F.col("key").alias(f"key_{side}"), F.col("h").alias(f"h_{side}"),
+                         F.col("root").alias(f"root_{side}")) for side in "xy")
+    pairs = met.join(x, "key_x").join(y, "key_y").filter("root_x != root_y")
+    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+
+def alike(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, width: int, similarity: float,
+          tables: int, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles reach the Jaccard similarity."""
     bits = sigs.select(F.col("h").alias("_h"), F.col("s").alias("_s"))
     both = (pairs.join(bits, F.col("a") == F.col("_h")).withColumnRenamed("_s", "s_a").drop("_h")
             .join(bits, F.col("b") == F.col("_h")).withColumnRenamed("_s", "s_b").drop("_h"))
@@ -247,13 +297,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     sets = shingle_sets(docs, near.select("a").union(near.select("b")).distinct(), width, text_col)
     a, b = F.col("a_set"), F.col("b_set")
     both = F.size(F.array_intersect(a, b))
-    alike = both >= similarity * (F.size(a) + F.size(b) - both)
-    groups = components(
-        near.join(sets.select(F.col("h").alias("a"), F.col("set").alias("a_set")), "a")
-        .join(sets.select(F.col("h").alias("b"), F.col("set").alias("b_set")), "b")
-        .filter(alike).select("a", "b"))
-    return (sigs.join(groups, sigs["h"] == groups["node"], "left")
-            .select("h", F.coalesce("root", "h").alias("root")))
+    return (near.join(sets.select(F.col("h").alias("a"), F.col("set").alias("a_set")), "a")
+            .join(sets.select(F.col("h").alias("b"), F.col("set").alias("b_set")), "b")
+            .filter(both >= similarity * (F.size(a) + F.size(b) - both)).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 12,

@@ -114,6 +114,24 @@ def test_similar_texts_are_found_and_others_are_not(spark):
     assert all(i in kept and i + 1 in kept for i, j in pairs if j < 0.8)
 
 
+def test_near_pairs_inside_a_family_below_the_similarity(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(0, 300, 2):  # about 0.7 between members, about 0.9 within a pair
+        text = near(base, rng, 0.02)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(near(text, rng, 0.01)))]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    alike = [(a, b) for b in range(300) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = roots(range(300), alike)
+    assert len(set(group.values())) > 40
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["h"]: r["root"] for r in got.collect()}
+    hashes = [r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string")
+              .orderBy("doc_id").select(simhash.text_hash("text").alias("h")).collect()]
+    assert [i for i in range(0, 300, 2) if group[i] == group[i + 1] and got[hashes[i]] != got[hashes[i + 1]]] == []
+
+
 def test_one_row_of_each_group_stays(awkward, nothing, documents):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
