@@ -68,11 +68,12 @@ class WordEncoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self._ends[i] = token.endswith(_WORD_END)
+        self._added = {t["content"].encode().lower() for t in json.loads(tokenizer_json)["added_tokens"]}
         self._memo: dict[bytes, bytes] = {}
         self._tails: dict[bytes, bytes] = {b"": b""}
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; words are lower-cased in ASCII by the caller."""
+        """The ids of each word; the caller gives them as `words` does."""
         memo = self._memo
         new = list(set(words).difference(memo))
         if new:
@@ -123,6 +124,14 @@ class WordEncoder:
             at = end
         return out
 
+    def words(self, text: bytes) -> list[bytes]:
+        """Words in lower case, but as they are where an added token may be: these match the raw text."""
+        lower = text.lower()
+        if not any(a in lower for a in self._added):
+            return lower.split()
+        return [w if any(a in low for a in self._added) else low
+                for w, low in zip(text.split(), lower.split())]
+
     def texts(self, texts: list[bytes | None]) -> Iterator[Iterator[bytes]]:
         """For each text the ids of its portions; several short texts share one call."""
         group, size = [], 0
@@ -130,7 +139,7 @@ class WordEncoder:
             if text is not None and len(text) > PORTION_BYTES:
                 yield from self._group(group)
                 group, size = [], 0
-                yield (b"".join(self.ids_of(p.lower().split())) for p in portions(text))
+                yield (b"".join(self.ids_of(self.words(p))) for p in portions(text))
                 continue
             group.append(text)
             size += len(text or b"")
@@ -140,7 +149,7 @@ class WordEncoder:
         yield from self._group(group)
 
     def _group(self, group: list[bytes | None]) -> Iterator[Iterator[bytes]]:
-        words = [(t or b"").lower().split() for t in group]
+        words = [self.words(t or b"") for t in group]
         ids = self.ids_of([w for ws in words for w in ws])
         at = 0
         for ws in words:

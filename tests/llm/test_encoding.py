@@ -35,6 +35,16 @@ def test_words_give_the_librarys_ids(library, words, text):
     assert np.frombuffer(b"".join(ids), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "X<|endoftext|>Y <|StartOfText|>",
+                                  "<|startoftext|>Go<|STARTOFTEXT|>", "é<|endofText|>."])
+def test_added_tokens_in_other_case_are_ordinary_words(library, words, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    for t, n in ((text, 1), (text + "\n" + "Ab " * (encoding.PORTION_BYTES // 3 + 1), None)):
+        [ids] = words.texts([t.encode()])
+        got = np.frombuffer(b"".join(ids), "<u4").tolist()
+        assert got[:len(want)] == want and (n is None or len(got) == len(want))
+
+
 def test_long_texts_are_cut_at_white_space():
     text = b"ab cd\n" * 1000 + b"x" * 5000
     parts = list(encoding.portions(text, 100))
