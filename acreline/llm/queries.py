@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreline.llm import lm, mixing, packing, pii, quality, sharding, simhash, sketch, token_counts, topk
+from acreline.llm import (
+    language, lexical, lm, manifest, mixing, packing, pii, quality, sharding, simhash, sketch, token_counts, topk)
 
 TOKENIZER = "word_bpe_49k.json"
 #: The pseudonyms' key; a real one comes from the environment and is not kept in code.
@@ -77,7 +78,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_packing, op3_pii, op4_top_k, op5_lm_scores, op6_simhash, op7_mixing,
-    op8_sharding, op9_quality, op10_fingerprints)}
-ORACLE_SQL = {"op4_top_k": topk.TOP_K_SQL, "op10_fingerprints": sketch.FINGERPRINT_SQL}
+    op8_sharding, op9_quality, op10_fingerprints, op11_language, op12_manifest, op13_lexical_search)}
+ORACLE_SQL = {"op4_top_k": topk.TOP_K_SQL, "op10_fingerprints": sketch.FINGERPRINT_SQL,
+              "op12_manifest": manifest.MANIFEST_SQL, "op13_lexical_search": lexical.SEARCH_SQL}
