@@ -2,9 +2,10 @@
 
 The words of a source, document after document, form one stream that is packed into blocks
 of a fixed length. From each source's target follows how many block slots the mix has for it;
-the slots are dealt to output shards by a multinomial draw, a slot's number is mapped to a
-block through the source's own pseudo-random permutation of its block indices (one for each
-pass over the source), and blocks are joined by index. Only totals per source go to the driver.
+every output shard draws how many of its slots each source fills (multinomial), a slot's number is
+mapped to a block through the source's own pseudo-random permutation of its block indices (one
+for each pass over the source), and blocks are joined by index. Only totals per source go to the
+driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreline.llm.common import SPACE, WORD, chunk_of, exclusive_sum, stored
+from acreline.llm.common import SPACE, WORD, chunk_of, exclusive_sum, shuffle_partitions, stored
 
 SLOTS_AT_ONCE = 1 << 16
 _WORD_AND_SPACE = re.compile(f"{WORD}(?:{SPACE})?".encode())
@@ -87,25 +88,48 @@ def place(sized: DataFrame, source_col: str, weights, share, most):
     return sized.join(names, sized[source_col].eqNullSafe(names["_name"])).drop("_name"), sources
 
 
+def deal(counts: Sequence[int], shards: int, seed: int) -> np.ndarray:
+    """(shards x sources) slots: each shard draws its share of all slots from the sources.
+
+    A draw is multinomial by what the sources have in all; what a source has no more of is drawn from the
+    others, and the last shard takes what is left, so that the columns sum up to `counts`.
+    """
+    left = np.array(counts, np.int64)
+    rng = np.random.default_rng(_seed(seed, "shards"))
+    out = np.zeros((shards, len(left)), np.int64)
+    for shard in range(shards - 1):
+        need = int(left.sum()) // (shards - shard)
+        while need:
+            share = np.where(left > 0, np.array(counts, float), 0)
+            drawn = np.minimum(rng.multinomial(need, share / share.sum()), left)
+            out[shard] += drawn
+            left -= drawn
+            need -= int(drawn.sum())
+    out[shards - 1] = left
+    return out
+
+
 def slots(spark, sources, block: int, shards: int, seed: int) -> DataFrame:
     """(_source, _shard, _block): one row for each slot of the mix.
 
-    A source of B blocks gets round(target / mean block) slots, dealt to the output shards by
-    a multinomial draw. Slot s is block permutation(s mod B) of pass s div B.
+    A source of B blocks gets round(target / mean block) slots, which the output shards draw.
+    A source's slots are numbered through the shards; slot s is block permutation(s mod B) of
+    pass s div B.
     """
+    blocks = [-(-size // block) for _, _, size, _ in sources]
+    counts = [min(round(target * b / size), 10 ** 15) if size else 0
+              for b, (_, _, size, target) in zip(blocks, sources)]
+    ends = np.cumsum(deal(counts, shards, seed), axis=0)
     runs = []
-    for i, name, size, target in sources:
-        blocks = -(-size // block)
-        n = min(round(target * blocks / size), 10 ** 15) if size else 0
-        drawn = np.random.default_rng(_seed(seed, "shards", name)).multinomial(n, [1 / shards] * shards)
-        ends = np.cumsum(drawn).tolist()
-        runs += [(i, shard, lo, hi, blocks, _seed(seed, "order", name) >> 1)
-                 for shard, (lo, hi) in enumerate(zip([0, *ends], ends)) if hi > lo]
+    for (i, name, _, _), b, end in zip(sources, blocks, ends.T.tolist()):
+        runs += [(i, shard, lo, hi, b, _seed(seed, "order", name) >> 1)
+                 for shard, (lo, hi) in enumerate(zip([0, *end], end)) if hi > lo]
     table = spark.createDataFrame(
         runs, "_source int, _shard int, lo long, hi long, blocks long, key long")
+    # Few rows become many, so adaptive execution must not put them into one task.
     pieces = (table.withColumn("lo", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(SLOTS_AT_ONCE))))
               .withColumn("hi", F.least("hi", F.col("lo") + SLOTS_AT_ONCE))
-              .repartition("_source", "_shard", "lo"))
+              .repartition(shuffle_partitions(spark), "_source", "_shard", "lo"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +148,8 @@ def slots(spark, sources, block: int, shards: int, seed: int) -> DataFrame:
 def _with_blocks(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
     """Rows (_source, _start, _size) joined by index to the blocks that the mix takes of them.
 
-    Gives (_source, _start, _at, _words, _times): a run of words from word `_at` of the document.
+    Gives (_source, _start, _at, _words, _times, _first): a run of words from word `_at` of the document, how
+    often it is taken, and the first shard that takes it.
     """
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("_size") - 1) / block)
     parts = (rows.filter("_size > 0").select("_source", "_start", "_size", F.explode(
@@ -133,7 +158,7 @@ def _with_blocks(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
     hi = F.least(F.col("_start") + F.col("_size"), (F.col("_block") + 1) * block)
     parts = parts.select("_source", "_block", "_start", (lo - F.col("_start")).alias("_at"),
                          (hi - lo).alias("_words"))
-    times = taken.groupBy("_source", "_block").agg(F.count("*").alias("_times"))
+    times = taken.groupBy("_source", "_block").agg(F.count("*").alias("_times"), F.min("_shard").alias("_first"))
     # Both sides grow with the corpus; the slots come from a small table, so their size is
     # underestimated and must not decide for a broadcast.
     return parts.join(times.hint("merge"), ["_source", "_block"])
@@ -142,13 +167,14 @@ def _with_blocks(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2,
         block: int = 32, shards: int = 64, seed: int = 42, id_col: str = "doc_id",
         source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: (id, size, source_size, target, taken), in words.
+    """One row per document: (id, size, source_size, target, taken, shard), in words.
 
     `taken` counts what the mix takes of the document, repeats included: at most ceil(most)
     times its size. Sources by code point, NULL as a source of its own at the end, have the
     given weights, repeating, and share `share` times all words; a target stops at `most`
     times its source, the excess goes to the others. A source's sum of `taken` differs from
-    its target by about a block at most. NULL and blank texts have size and taken 0. Repeated
+    its target by about a block at most. `shard` is the first output shard that holds words of the
+    document, NULL if none does. NULL and blank texts have size and taken 0. Repeated
     rows count each; NULL ids stay. Other columns are not read. The same input gives the same.
     """
     spark = docs.sparkSession
@@ -160,13 +186,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rows = exclusive_sum(rows, ["_source"], chunk_of(spark, "_id", "_h"), ["_id", "_h", "_size"],
                          "_size", "_start")
     taken = _with_blocks(rows, slots(spark, sources, block, shards, seed), block)
-    sums = taken.groupBy("_source", "_start").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
-    sums = sums.select(F.col("_source").alias("_s"), F.col("_start").alias("_b"), "_taken")
+    sums = taken.groupBy("_source", "_start").agg(
+        F.sum(F.col("_words") * F.col("_times")).alias("_taken"), F.min("_first").alias("_first"))
+    sums = sums.select(F.col("_source").alias("_s"), F.col("_start").alias("_b"), "_taken", "_first")
     joined = rows.join(sums, (F.col("_size") > 0) & (rows["_source"] == sums["_s"])
                        & (rows["_start"] == sums["_b"]), "left")
     return joined.select(F.col("_id").alias(id_col), F.col("_size").alias("size"),
                          F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                         F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+                         F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.col("_first").alias("shard"))
 
 
 def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
@@ -181,19 +208,25 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     spark = docs.sparkSession
     inner = [f"_c{i}" for i in range(len(docs.columns))]
     name = dict(zip(docs.columns, inner))
-    base = docs.toDF(*inner).withColumns({
-        "_text": F.col(name[text_col]).cast("string"),
-        "_h": F.xxhash64(name[text_col])})
-    base = base.withColumn("_size", F.coalesce(
-        F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows, sources = place(base, name[source_col], weights, share, most)
-    rows = stored(exclusive_sum(rows.filter("_size > 0"), ["_source"], chunk_of(spark, name[id_col], "_h"),
-                                [name[id_col], "_h", "_size"], "_size", "_start"))
+    base = docs.toDF(*inner)
+    # A row's key: two hashes of all its columns, NULLs told apart. Streams and runs are made of keys and
+    # sizes; the rows themselves move once, to meet their runs.
+    marks = [x for c in inner for x in (F.col(c), F.col(c).isNull())]
+    base = base.withColumns({"_k": F.xxhash64(*marks), "_j": F.xxhash64(F.lit(seed), *marks)})
+    sized = stored(base.select("_k", "_j", F.col(name[id_col]).alias("_id"), F.xxhash64(
+        F.col(name[text_col]).cast("string")).alias("_h"), F.col(name[source_col]).alias("_from"), F.coalesce(F.regexp_count(
+        F.col(name[text_col]).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size")))
+    rows, sources = place(sized, "_from", weights, share, most)
+    rows = stored(exclusive_sum(rows.filter("_size > 0"), ["_source"], chunk_of(spark, "_id", "_h"),
+                                ["_id", "_h", "_size", "_k", "_j"], "_size", "_start"))
     taken = _with_blocks(rows, slots(spark, sources, block, shards, seed), block)
     runs = taken.groupBy("_source", "_start").agg(
         F.array_sort(F.collect_list(F.struct("_at", "_words", "_times"))).alias("_runs"))
-    runs = runs.select(F.col("_source").alias("_s"), F.col("_start").alias("_b"), "_runs")
-    joined = rows.join(runs, (rows["_source"] == runs["_s"]) & (rows["_start"] == runs["_b"]))
+    runs = rows.join(runs, ["_source", "_start"]).select("_k", "_j", "_runs")
+    # Equal rows are one row here, and each has runs of its own.
+    once = base.groupBy("_k", "_j").agg(F.first(F.struct(*inner)).alias("_row"))
+    joined = once.join(runs.hint("merge"), ["_k", "_j"]).select(
+        *[F.col(f"_row.{c}").alias(c) for c in inner], F.col(f"_row.{name[text_col]}").cast("string").alias("_text"), "_runs")
     position = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +246,7 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     schema = ", ".join(f"{i} {'string' if k == position else docs.schema[k].dataType.simpleString()}"
                        for k, i in enumerate(inner))
-    made = joined.select(*inner, "_text", "_runs").mapInArrow(cut, schema).toDF(*docs.columns)
+    made = joined.mapInArrow(cut, schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])

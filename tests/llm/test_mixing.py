@@ -51,6 +51,27 @@ def test_slots_take_every_block_once_before_any_twice(spark):
     assert sum(r["_source"] == 1 for r in got) == 1 and {r["_shard"] for r in got} == set(range(8))
 
 
+def test_shards_draw_their_slots():
+    counts = [5_000, 0, 1_234, 7, 1]
+    got = mixing.deal(counts, 16, 3)
+    assert got.sum(axis=0).tolist() == counts and (got >= 0).all()
+    sizes = got.sum(axis=1)
+    assert sizes.max() - sizes.min() <= 1
+    assert (got == mixing.deal(counts, 16, 3)).all() and (got != mixing.deal(counts, 16, 4)).any()
+    # A draw, not an even deal, and near its expectation.
+    share = got[:, 0] / sizes
+    assert share.std() > 0.005 and abs(share - 5_000 / 6_242).max() < 0.1
+    assert mixing.deal([3, 4], 1, 0).tolist() == [[3, 4]] and mixing.deal([0, 0], 3, 0).sum() == 0
+
+
+def test_equal_rows_each_have_their_share(spark):
+    rows = [(1, "a b c d e f g h", "x")] * 20 + [(2, "i j k", "x"), (None, "a b c d e f g h", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = sum(r["taken"] for r in mixing.mix(docs, block=4).collect())
+    made = mixing.mixed_texts(docs, block=4).collect()
+    assert sum(len(r["text"].split()) for r in made) == taken
+
+
 def test_texts_hold_the_words_that_are_taken(spark, documents):
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(documents).collect()}
     texts = mixing.mixed_texts(documents)

@@ -42,5 +42,5 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, awkward, nothing):
 
 def test_run_and_names(spark):
     assert cp.run(spark, SF).count() > 0
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert op1_token_counts(spark, SF).count() == 200
