@@ -1,28 +1,26 @@
 """Panel assembly: value history, change log, permits, exemptions, inspections.
 
-Every feature step aggregates its source to (entity, year) first and joins once.
-The entity-year tables are unique on their key, so the windows that follow run
-over one entity's years.
+Every feature step folds the panel to its entities, aggregates its sources to them by year, and
+joins on the entity (`fold`). The windows that follow run over one entity's years.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreline.functions import codes
-from acreline.functions.cleaning import (coalesce_present, digits_to_num, entity_key,
+from acreline.functions.cleaning import (coalesce_present, coerce_like, digits_to_num, entity_key,
                                          is_in, log1p_pos, log_pos, null_sum,
                                          null_tokens, to_int, yn_flag)
-from acreline.operators.aggregates import pivot_wide, sum0
+from acreline.operators.aggregates import pivot_wide
 from acreline.operators.filters import filter_codes, filter_years
-from acreline.operators.joins import (apply_changes, attach_drivers, expand_interval,
-                                      expand_snapshot, update_join)
+from acreline.operators.joins import attach_drivers, expand_snapshot
 from acreline.operators.sets import stack
-from acreline.operators.windows import (latest, locf, rolling_mean, rolling_sum,
-                                        years_since)
+from acreline.operators.windows import latest, locf, rolling_mean, rolling_sum, years_since
+from acreline.plans import fold
 
 KEY, YEAR = "parcel_id", "tax_yr"
 
@@ -55,52 +53,66 @@ def change_log(header: DataFrame, detail: DataFrame, attrs: Sequence[str]) -> Da
 def build_panel(snapshot: DataFrame, values: DataFrame, changes: DataFrame | None,
                 lo: int, hi: int, attrs: Mapping[str, str] = codes.CHANGE_ATTRIBUTES,
                 carry: str = "until_next") -> DataFrame:
-    """Entity-by-year grid with values, baseline facets, changes and logs."""
+    """Entity-by-year grid with values, baseline facets, changes and logs.
+
+    `values` has one row per entity and year. Values and changes are aggregated to the entity by
+    year and meet the snapshot there; the years are made last.
+    """
+    if carry not in ("until_next", "point"):
+        raise ValueError(f"carry must be 'until_next' or 'point', not {carry!r}")
     attrs = {a: c for a, c in attrs.items() if a != "area"}
     facets = [c for c in ("area", *attrs.values(), *codes.DISTANCE_COLUMNS) if c in snapshot.columns]
-    # The snapshot is repeated in place with its facets, so it is not joined to itself.
-    panel = expand_snapshot(snapshot.select(KEY, *facets).distinct(),
-                            range(lo, hi + 1), YEAR)
-    panel = panel.join(values.select(KEY, YEAR, "appr_land_val", "appr_imps_val"), [KEY, YEAR], "left")
-    if changes is not None:
+    types, years = dict(snapshot.dtypes), range(lo, hi + 1)
+    attrs = {a: c for a, c in attrs.items() if c in types}
+    amounts = ("appr_land_val", "appr_imps_val")
+    # Dealt by entity alone, so that the joins and windows below find their rows in place.
+    panel = snapshot.select(KEY, *facets).repartition(KEY).distinct()
+    panel = panel.join(fold.annual(values, years, {c: fold.greatest(F.col(c)) for c in amounts}), KEY, "left")
+    news = []
+    if changes is not None and attrs:
         # What was changed before the first year still holds in it.
         when = F.year("update_date")
         dated = changes.withColumn("eff_yr", F.greatest(when, F.lit(lo)) if carry == "until_next" else when)
-        dated = dated.filter(F.col("eff_yr").between(lo, hi))
-        panel = apply_changes(panel, dated, attrs, carry=carry,
-                              order=("update_date", "attribute_value"))
+        panel = panel.join(fold.last_changes(dated, years, attrs, ("update_date", "attribute_value")), KEY, "left")
+        news = [f"_changes_{c}" for c in attrs.values()]
+    spine = F.array(*[F.struct(F.lit(y).alias(YEAR), *[F.get(c, F.lit(i)).alias(c) for c in (*amounts, *news)])
+                      for i, y in enumerate(years)])
+    panel = panel.select(KEY, *facets, F.inline(spine))
+    history = (Window.partitionBy(KEY).orderBy(YEAR)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def updated(c: str) -> Column:
+        change = F.col(f"_changes_{c}")
+        new = coerce_like(change["_value"], types[c])
+        if carry == "until_next":
+            return F.coalesce(F.last(new, ignorenulls=True).over(history), F.col(c))
+        return F.last(F.when(change.isNotNull(), new).otherwise(F.col(c)), ignorenulls=True).over(history)
+
+    if news:
+        panel = panel.withColumns({c: updated(c) for c in attrs.values()}).drop(*news)
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    panel = panel.withColumn("total_assessed", null_sum("appr_land_val", "appr_imps_val"))
-    panel = panel.withColumns({c: positive(c) for c in
-                               ("appr_land_val", "appr_imps_val", "total_assessed")})
-    return panel.withColumns({f"log_{c}": log_pos(c) for c in
-                              ("appr_land_val", "appr_imps_val", "total_assessed")})
-
-
-def _attach(panel: DataFrame, annual: DataFrame, zero: Sequence[str]) -> DataFrame:
-    return (panel.drop(*[c for c in annual.columns if c not in (KEY, YEAR)])
-            .join(annual, [KEY, YEAR], "left").na.fill(0, subset=list(zero)))
+    panel = panel.select(KEY, YEAR, *facets, *amounts).withColumn("total_assessed", null_sum(*amounts))
+    panel = panel.withColumns({c: positive(c) for c in (*amounts, "total_assessed")})
+    return panel.withColumns({f"log_{c}": log_pos(c) for c in (*amounts, "total_assessed")})
 
 
 def permit_features(panel: DataFrame, permits: DataFrame, lines: DataFrame,
-                    dates: Sequence[str], year_offset: int = 0) -> DataFrame:
+                    dates: Sequence[str], years: Sequence[int], year_offset: int = 0) -> DataFrame:
     """Annual permit totals, 1/3/5-year sums and years since new construction.
 
     `permits`: parcel_id, record_number, date columns by priority, valuation,
-    units_added. `lines`: record_number, sqft.
+    units_added. `lines`: record_number, sqft. `years` are the consecutive years of the panel.
     """
     sqft = (lines.groupBy("record_number").agg(F.sum("sqft").alias("sqft_total"))
             .withColumn("sqft_total", F.nullif(F.col("sqft_total"), F.lit(0))))
     dated = permits.withColumn(YEAR, F.year(coalesce_present(permits, dates)) + year_offset)
     dated = dated.filter(F.col(KEY).isNotNull() & F.col(YEAR).isNotNull())
-    annual = dated.join(sqft, "record_number", "left").groupBy(KEY, YEAR).agg(
-        F.count(F.lit(1)).alias("permits_cnt"),
-        sum0("valuation").alias("permits_val_sum"),
-        sum0("sqft_total").alias("permits_sqft_sum"),
-        sum0("units_added").alias("units_added_sum"),
-        F.lit(1).alias("any_newconst_permit"))
-    out = _attach(panel, annual, ["permits_cnt", "permits_val_sum", "permits_sqft_sum",
-                                  "units_added_sum", "any_newconst_permit"])
+    annual = fold.annual(dated.join(sqft, "record_number", "left"), years, {
+        "permits_cnt": fold.times(), "permits_val_sum": fold.total(F.col("valuation")),
+        "permits_sqft_sum": fold.total(F.col("sqft_total")), "units_added_sum": fold.total(F.col("units_added"))})
+    out = fold.attach(panel, [annual], years, dict.fromkeys(
+        ("permits_cnt", "permits_val_sum", "permits_sqft_sum", "units_added_sum"), 0))
+    out = out.withColumn("any_newconst_permit", (F.col("permits_cnt") > 0).cast("int"))
     out = rolling_sum(out, KEY, YEAR, {
         "permits_last_1yr": ("permits_cnt", 1), "permits_last_3yr": ("permits_cnt", 3),
         "permits_last_5yr": ("permits_cnt", 5), "val_last_3yr": ("permits_val_sum", 3),
@@ -116,11 +128,12 @@ def permit_features(panel: DataFrame, permits: DataFrame, lines: DataFrame,
 
 
 def assessor_permit_features(panel: DataFrame, permits: DataFrame,
-                             detail: DataFrame) -> DataFrame:
+                             detail: DataFrame, years: Sequence[int]) -> DataFrame:
     """Permit features with item values, open and new flags, percent complete.
 
     `permits`: parcel_id, permit_nbr, issue_date, permit_type, permit_status,
     permit_val, pcnt_complete. `detail`: permit_nbr, permit_item, item_value.
+    `years` are the consecutive years of the panel.
     """
     items = detail.select("permit_nbr", to_int("permit_item").alias("item"),
                           digits_to_num("item_value").alias("num"))
@@ -129,19 +142,16 @@ def assessor_permit_features(panel: DataFrame, permits: DataFrame,
     wide = wide.withColumnsRenamed({str(k): v for k, v in codes.PERMIT_ITEMS.items()})
     kind, status = F.upper(F.trim("permit_type")), F.upper(F.trim("permit_status"))
     used = F.when(F.col("permit_val") > 0, F.col("permit_val")).otherwise(F.col("owner_val"))
-    annual = (permits.withColumn(YEAR, F.year("issue_date"))
-              .filter(F.col(KEY).isNotNull() & F.col(YEAR).isNotNull())
-              .join(wide, "permit_nbr", "left").groupBy(KEY, YEAR).agg(
-                  F.count(F.lit(1)).alias("kcap_cnt"),
-                  sum0(used).alias("kcap_val_sum"),
-                  sum0("permit_sqft").alias("kcap_sqft_sum"),
-                  sum0("permit_units").alias("kcap_units_sum"),
-                  F.max("pcnt_complete").alias("kcap_pct_max"),
-                  sum0((~status.rlike(codes.CLOSED_PERMIT)).cast("int")).alias("kcap_open_sum"),
-                  F.max(F.coalesce(kind.rlike(codes.NEW_PERMIT), F.lit(False)).cast("int"))
-                  .alias("kcap_new_flag")))
-    out = _attach(panel, annual, ["kcap_cnt", "kcap_val_sum", "kcap_sqft_sum",
-                                  "kcap_units_sum", "kcap_open_sum", "kcap_new_flag"])
+    dated = (permits.withColumn(YEAR, F.year("issue_date"))
+             .filter(F.col(KEY).isNotNull() & F.col(YEAR).isNotNull()).join(wide, "permit_nbr", "left"))
+    annual = fold.annual(dated, years, {
+        "kcap_cnt": fold.times(), "kcap_val_sum": fold.total(used),
+        "kcap_sqft_sum": fold.total(F.col("permit_sqft")), "kcap_units_sum": fold.total(F.col("permit_units")),
+        "kcap_pct_max": fold.greatest(F.col("pcnt_complete")),
+        "kcap_open_sum": fold.total((~status.rlike(codes.CLOSED_PERMIT)).cast("int")),
+        "kcap_new_flag": fold.greatest(F.coalesce(kind.rlike(codes.NEW_PERMIT), F.lit(False)).cast("int"))})
+    out = fold.attach(panel, [annual], years, dict.fromkeys(
+        ("kcap_cnt", "kcap_val_sum", "kcap_sqft_sum", "kcap_units_sum", "kcap_open_sum", "kcap_new_flag"), 0))
     out = rolling_sum(out, KEY, YEAR, {
         "kcap_permits_1yr": ("kcap_cnt", 1), "kcap_permits_3yr": ("kcap_cnt", 3),
         "kcap_permits_5yr": ("kcap_cnt", 5), "kcap_val_3yr": ("kcap_val_sum", 3),
@@ -162,29 +172,27 @@ def exemption_features(panel: DataFrame, applications: DataFrame, exemptions: Da
     """Approved applications, active exemptions and values that roll off.
 
     `applications`: parcel_id, approved, approved_date, received_date, est_cost.
-    `exemptions`: parcel_id, first_bill_yr, last_bill_yr, home_imp_val.
+    `exemptions`: parcel_id, first_bill_yr, last_bill_yr, home_imp_val. An exemption counts in
+    all years of its interval, which is not expanded for that.
     """
+    years = range(lo, hi + 1)
     approved = is_in(F.upper(F.trim("approved")), ("Y", "1", "T"))
     when_ = F.year(F.coalesce("approved_date", "received_date"))
-    apps = (applications.filter(approved).withColumn(YEAR, when_)
-            .filter(F.col(YEAR).isNotNull()).groupBy(KEY, YEAR)
-            .agg(F.count(F.lit(1)).alias("hi_app_cnt"), sum0("est_cost").alias("hi_est_cost")))
+    apps = fold.annual(applications.filter(approved), years, {
+        "hi_app_cnt": fold.times(), "hi_est_cost": fold.total(F.col("est_cost"))}, when_)
     valid = exemptions.filter(F.col("first_bill_yr").isNotNull()
                               & (F.col("last_bill_yr") >= F.col("first_bill_yr"))
                               & (F.col("home_imp_val") > 0))
-    active = (expand_interval(valid, "first_bill_yr", "last_bill_yr", lo, hi)
-              .groupBy(KEY, YEAR).agg(sum0("home_imp_val").alias("hi_exempt_val_active"),
-                                      F.lit(1).alias("hi_exempt_active")))
-    rolled = (valid.withColumn(YEAR, F.col("last_bill_yr") + 1)
-              .filter(F.col(YEAR).between(lo, hi))
-              .groupBy(KEY, YEAR).agg(sum0("home_imp_val").alias("hi_rolloff_cur_val")))
-    ever = valid.select(KEY).distinct().withColumn("hi_ever", F.lit(1))
-    out = panel
-    for part in (apps, active, rolled):
-        out = out.join(part, [KEY, YEAR], "left")
-    out = out.join(ever, KEY, "left").na.fill(0, subset=[
-        "hi_app_cnt", "hi_est_cost", "hi_exempt_active", "hi_exempt_val_active",
-        "hi_rolloff_cur_val", "hi_ever"])
+    first, last, value = (F.col(c) for c in ("first_bill_yr", "last_bill_yr", "home_imp_val"))
+    # One aggregate: the years in which an exemption is active, and the one after its last.
+    active = lambda y: (first <= y) & (last >= y)
+    exempt = valid.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+        F.array(*[F.sum(F.when(active(y), value)) for y in years]).alias("hi_exempt_val_active"),
+        F.array(*[F.max(active(y).cast("int")) for y in years]).alias("hi_exempt_active"),
+        F.array(*[F.sum(F.when(last + 1 == y, value)) for y in years]).alias("hi_rolloff_cur_val"),
+        F.max(F.lit(1)).alias("hi_ever"))
+    out = fold.attach(panel, [apps, exempt], years, dict.fromkeys(
+        ("hi_app_cnt", "hi_est_cost", "hi_exempt_active", "hi_exempt_val_active", "hi_rolloff_cur_val", "hi_ever"), 0))
     out = rolling_sum(out, KEY, YEAR, {"hi_app_cnt_3yr": ("hi_app_cnt", 3),
                                        "hi_est_cost_3yr": ("hi_est_cost", 3)})
     w = Window.partitionBy(KEY).orderBy(YEAR)
@@ -201,6 +209,7 @@ def inspection_features(panel: DataFrame, violations: DataFrame, matches: DataFr
 
     `violations`: inspection_id, estab_id, inspection_date, score, violation_type,
     result, closed, grade. `matches`: estab_id, parcel_id (from `two_pass_match`).
+    Establishments are summed up by year before they move to their entity.
     """
     one = matches.filter(F.col(KEY).isNotNull()).groupBy("estab_id").agg(F.min(KEY).alias(KEY))
     has = lambda c, word: F.coalesce(F.lower(F.col(c)).contains(word), F.lit(False))
@@ -211,17 +220,22 @@ def inspection_features(panel: DataFrame, violations: DataFrame, matches: DataFr
         F.max(has("result", "unsat").cast("int")).alias("unsat"),
         F.max(yn_flag("closed", ("TRUE", "YES", "Y", "1"))).alias("closed"),
         F.avg("grade").alias("grade"))
-    annual = (inspections.join(one, "estab_id", "inner")
-              .groupBy(KEY, (F.col("insp_yr") + year_offset).alias(YEAR)).agg(
-                  F.count_distinct("estab_id").alias("hlth_n_estab"),
-                  F.count(F.lit(1)).alias("hlth_n_insp"),
-                  F.avg("score").alias("hlth_score_mean"), F.max("score").alias("hlth_score_max"),
-                  F.avg("red").alias("hlth_red_share"), F.avg("unsat").alias("hlth_unsat_share"),
-                  F.sum("closed").alias("hlth_closed_n"), F.avg("grade").alias("hlth_grade_mean")))
+    means = {"hlth_score_mean": "score", "hlth_red_share": "red", "hlth_unsat_share": "unsat",
+             "hlth_grade_mean": "grade"}
+    per_estab = (inspections.join(one, "estab_id", "inner")
+                 .groupBy("estab_id", KEY, (F.col("insp_yr") + year_offset).alias(YEAR)).agg(
+                     F.count(F.lit(1)).alias("_n"), F.max("score").alias("_max"), F.sum("closed").alias("_closed"),
+                     *[x for c in means.values() for x in (F.sum(c).alias(f"_{c}"), F.count(c).alias(f"_n_{c}"))]))
+    # Dealt by entity: all that follows stays in place.
+    annual = per_estab.repartition(KEY).groupBy(KEY, YEAR).agg(
+        F.count(F.lit(1)).alias("hlth_n_estab"), F.sum("_n").alias("hlth_n_insp"),
+        F.max("_max").alias("hlth_score_max"), F.sum("_closed").alias("hlth_closed_n"),
+        *[F.try_divide(F.sum(f"_{c}"), F.sum(f"_n_{c}")).alias(name) for name, c in means.items()])
     annual = rolling_mean(annual, KEY, YEAR, {"hlth_score_mean_3yr": ("hlth_score_mean", 3)})
     annual = annual.withColumn("hlth_has_data", F.lit(1))
     cols = [c for c in annual.columns if c not in (KEY, YEAR)]
-    out = update_join(panel.drop(*cols), annual, [KEY, YEAR], cols)
+    folded = fold.fold(panel.drop(*cols)).join(fold.by_year(annual, "_annual", cols), KEY, "left")
+    out = fold.unfold(folded, lambda r: {c: F.try_element_at(F.col("_annual"), r[YEAR])[c] for c in cols})
     return locf(out, KEY, YEAR, cols) if carry else out
 
 

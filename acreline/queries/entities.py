@@ -199,7 +199,7 @@ def permit_features(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("record_number"),
                               F.when(F.col("l_returnflag") == "A", money("l_quantity"))
                               .otherwise(F.lit(0).cast("decimal(18,2)")).alias("sqft"))
-    out = pl.permit_features(_years(t), permits, lines, ["occupancy", "finished", "issued"])
+    out = pl.permit_features(_years(t), permits, lines, ["occupancy", "finished", "issued"], range(1995, 2002))
     return out.select("parcel_id", "tax_yr", "permits_last_1yr", "permits_last_3yr", "permits_last_5yr",
                       *[dbl(c, c) for c in ("val_last_3yr", "val_last_5yr", "sqft_last_3yr")], "units_last_3yr",
                       "years_since_newconst", "any_newconst", dbl("log_val_last_3yr", "log_val_last_3yr", 9))
@@ -231,7 +231,7 @@ def assessor_permit_features(t: Tables):
     detail = t.lineitem.select(
         F.col("l_orderkey").alias("permit_nbr"), item.alias("permit_item"),
         F.concat(F.lit("$ "), _text(F.col("l_quantity").cast("int")), F.lit(" sf")).alias("item_value"))
-    out = pl.assessor_permit_features(_years(t), permits, detail)
+    out = pl.assessor_permit_features(_years(t), permits, detail, range(1995, 2002))
     return out.select("parcel_id", "tax_yr", "kcap_permits_3yr", dbl("kcap_val_3yr", "kcap_val_3yr"),
                       dbl("kcap_sqft_3yr", "kcap_sqft_3yr"), "kcap_open_sum", "kcap_pct_complete_max",
                       "kcap_years_since_permit", "any_newconst")

@@ -64,10 +64,12 @@ def level_frame(t: Tables):
 
 @query("J04", f"""
 WITH {PARTS_SQL}, x AS (SELECT parcel_id, tax_yr, ln(CAST(appr_land_val AS DOUBLE)) AS l, ln(CAST(appr_imps_val AS DOUBLE)) AS i FROM parts),
-d AS (SELECT *, l - lag(l) {_W} AS dl, i - lag(i) {_W} AS di FROM x)
-SELECT name, n AS n_rows, CAST(3 AS INT) AS n_features FROM (
-  SELECT 'land_delta' AS name, COUNT(CASE WHEN abs(dl) <= 1 THEN 1 END) AS n FROM d UNION ALL SELECT 'land_level', COUNT(l) FROM d
-  UNION ALL SELECT 'impr_delta', COUNT(CASE WHEN abs(di) <= 1 THEN 1 END) FROM d UNION ALL SELECT 'impr_level', COUNT(i) FROM d) WHERE n > 100""")
+d AS (SELECT *, lag(l) {_W} AS l1, lag(l, 2) {_W} AS l2, lag(i) {_W} AS i1, lag(i, 2) {_W} AS i2 FROM x),
+f AS (SELECT unnest([parcel_id % 50, 1, CASE WHEN parcel_id < 2 THEN parcel_id END, l1, l2, i1, i2]::DOUBLE[]) AS v, unnest(range(7)) AS k FROM d),
+kept AS (SELECT CAST(COUNT(*) AS INT) AS n_features FROM (SELECT k FROM f GROUP BY k HAVING COUNT(v) >= 50 AND MIN(v) < MAX(v)))
+SELECT name, n AS n_rows, n_features FROM (
+  SELECT 'land_delta' AS name, COUNT(CASE WHEN abs(l - l1) <= 1 THEN 1 END) AS n FROM d UNION ALL SELECT 'land_level', COUNT(l) FROM d
+  UNION ALL SELECT 'impr_delta', COUNT(CASE WHEN abs(i - i1) <= 1 THEN 1 END) FROM d UNION ALL SELECT 'impr_level', COUNT(i) FROM d) CROSS JOIN kept WHERE n > 100""")
 def subgroup_frames(t: Tables):
     rows = parts(t).withColumns({"size": F.col(_K) % 50, "constant": F.lit(1),
                                  "rare": F.when(F.col(_K) < 2, F.col(_K))})
