@@ -166,11 +166,37 @@ def expand_interval(df: DataFrame, start: str, end: str, lo: int, hi: int,
 
 def attach_drivers(panel: DataFrame, drivers: DataFrame, prefix: str | None = None,
                    on: str = "tax_yr") -> DataFrame:
-    """Join a year-keyed driver table after dropping stale driver columns."""
+    """Join a year-keyed driver table after dropping stale driver columns.
+
+    A year holds a large share of a panel, so the panel is not dealt by it: see `lookup_join`.
+    """
     if prefix:
         panel = drop_like(panel, f"^{prefix}")
     panel = panel.drop(*[c for c in drivers.columns if c != on])
-    return panel.join(drivers, on, "left")
+    return lookup_join(panel, drivers, on)
+
+
+#: Rows up to which a lookup table is sent to every task.
+LOOKUP_ROWS = 100_000
+
+
+def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], spread: Sequence[str] = (),
+                most_rows: int = LOOKUP_ROWS, salts: int = 64) -> DataFrame:
+    """Left join with a table of few keys, each of which may stand in a large share of `df`.
+
+    The table is measured by reading it, and sent to every task if it has at most `most_rows` rows:
+    `df` stays where it is. A larger one is repeated under `salts` numbers, and the rows of a key are
+    spread over these by a hash of `spread` (all columns by default), so that no key fills one task.
+    """
+    on = _as_list(on)
+    rows = table.limit(most_rows + 1).collect()
+    if len(rows) <= most_rows:
+        local = df.sparkSession.createDataFrame(rows, table.schema)
+        return df.join(F.broadcast(local), on, "left")
+    spread = list(spread) or [c for c, t in df.dtypes if not t.startswith("map")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    return salted.join(table.withColumn("_salt", F.explode(numbers)), [*on, "_salt"], "left").drop("_salt")
 
 
 def lag_join(df: DataFrame, prev: DataFrame, on: str, cols: Sequence[str],

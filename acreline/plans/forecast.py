@@ -19,6 +19,7 @@ from acreline.functions import codes
 from acreline.functions.cleaning import clamp, log_pos, null_sum, to_int
 from acreline.functions.labels import code_label, first_match
 from acreline.operators.aggregates import median_by, sum0, weighted_mean
+from acreline.operators.joins import lookup_join
 from acreline.operators.windows import dlog, first_row, growth
 
 KEY, YEAR = "parcel_id", "tax_yr"
@@ -55,13 +56,31 @@ def _one_rate(rates: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
         *keys, F.log1p("pct_change").alias(out))
 
 
+def rate_paths(rates: DataFrame, key: str, out: str, year: str = YEAR) -> DataFrame:
+    """(key, out): an area's published log rates as an array of (year, rate), by year."""
+    return (_one_rate(rates, [key, year], "rate").groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(year).alias("year"), "rate"))).alias(out)))
+
+
+def rate_in(path: str, year: Column) -> Column:
+    """The rate of the year itself."""
+    return F.get(F.filter(path, lambda x: x["year"] == year), F.lit(0))["rate"]
+
+
+def rate_before(path: str, year: Column) -> Column:
+    """The rate of the latest year before."""
+    earlier = F.filter(path, lambda x: x["year"] < year)
+    return F.get(earlier, F.size(earlier) - 1)["rate"]
+
+
 def route_rates(df: DataFrame, rates: DataFrame, options: ForecastOptions = ForecastOptions(),
                 last_year: int | None = None, year: str = YEAR) -> DataFrame:
     """Add `dlog_actual` and `rate_source` from published rates.
 
     Specialty rates come first; geographic ones apply to the others only, unless
     the scope is "all". Specialty entities without a rate follow the policy. A
-    report for assessment year A moves tax year A to A + 1.
+    report for assessment year A moves tax year A to A + 1. Every area's rates are one array
+    over the years, looked up by area; the panel is not dealt by area or year.
     """
     if options.specialty_policy not in ("model", "hold", "prior"):
         raise ValueError(f"unknown specialty policy {options.specialty_policy!r}")
@@ -69,28 +88,17 @@ def route_rates(df: DataFrame, rates: DataFrame, options: ForecastOptions = Fore
                   .withColumn(year, F.col("assessment_yr") + 1))
     spec = population.filter(F.col("report_kind") == "specialty")
     geo = population.filter((F.col("report_kind") == "geo") & (F.col("prop_type") == "com"))
-    out = (df.withColumn("_area", to_int("area"))
-           .join(_one_rate(spec, ["spec_area", year], "_spec"), ["spec_area", year], "left")
-           .join(_one_rate(geo.withColumnRenamed("area", "_area"), ["_area", year], "_geo"),
-                 ["_area", year], "left"))
+    out = lookup_join(df.withColumn("_area", to_int("area")), rate_paths(spec, "spec_area", "_spec", year), "spec_area")
+    out = lookup_join(out, rate_paths(geo.withColumnRenamed("area", "_area"), "_area", "_geo", year), "_area")
     is_spec = F.coalesce(F.col("spec_area") > 0, F.lit(False))
     geo_ok = F.lit(True) if options.geo_scope == "all" else ~is_spec
-    rules = [(F.col("_spec"), "specialty_report"),
-             (F.when(geo_ok, F.col("_geo")), "geo_report")]
+    rules = [(rate_in("_spec", F.col(year)), "specialty_report"),
+             (F.when(geo_ok, rate_in("_geo", F.col(year))), "geo_report")]
     if options.specialty_policy == "hold":
         rules.append((F.when(is_spec, F.lit(0.0)), "specialty_hold_flat"))
     elif options.specialty_policy == "prior":
-        if last_year is None:
-            last_year = df.agg(F.max(year)).first()[0]
-        # Give every rate the later years it could stand in for; the newest wins.
-        later = (spec.filter(F.col("assessment_yr") + 2 <= last_year)
-                 .withColumn(year, F.explode(F.sequence(F.col("assessment_yr") + 2,
-                                                        F.lit(last_year)))))
-        prior = first_row(later.filter(F.col("pct_change") > -1), ["spec_area", year],
-                          [F.desc("assessment_yr"), "source_file", "pct_change"])
-        out = out.join(prior.select("spec_area", year, F.log1p("pct_change").alias("_prior")),
-                       ["spec_area", year], "left")
-        rules.append((F.when(is_spec, F.col("_prior")), "specialty_prior_year"))
+        rules.append((F.when(is_spec & (F.lit(True) if last_year is None else F.col(year) <= last_year),
+                             rate_before("_spec", F.col(year))), "specialty_prior_year"))
     return out.select(
         *df.columns, F.coalesce(*[r for r, _ in rules]).alias("dlog_actual"),
         first_match([(r.isNotNull(), s) for r, s in rules]).alias("rate_source"))
@@ -100,9 +108,9 @@ def area_anchor(df: DataFrame, rates: DataFrame, year: str = YEAR) -> DataFrame:
     """Residential area rate (population basis) as a log change."""
     res = (rates.filter((F.col("prop_type") == "res") & (F.col("basis") == "population"))
            .withColumn(year, F.col("assessment_yr") + 1).withColumnRenamed("area", "_area"))
-    return (df.withColumn("_area", to_int("area"))
-            .join(_one_rate(res, ["_area", year], "dlog_actual"), ["_area", year], "left")
-            .drop("_area"))
+    paths = rate_paths(res, "_area", "_path", year)
+    return (lookup_join(df.withColumn("_area", to_int("area")), paths, "_area")
+            .select(*df.columns, rate_in("_path", F.col(year)).alias("dlog_actual")))
 
 
 def rate_coverage(df: DataFrame, prior_value: str, year: str = YEAR) -> DataFrame:
@@ -148,7 +156,8 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
                         rates: DataFrame | None = None,
                         options: ForecastOptions = ForecastOptions(),
                         features: Sequence[str] = (), land_col: str = "appr_land_val",
-                        imps_col: str = "appr_imps_val", keys: Sequence[str] = (KEY,)) -> DataFrame:
+                        imps_col: str = "appr_imps_val", keys: Sequence[str] = (KEY,),
+                        scenario: str | None = None) -> DataFrame:
     """Forecast land and improvements year by year for consecutive `years`.
 
     `panel` holds the history and the future rows (see `extend_panel`), with
@@ -159,8 +168,9 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
     which are predictions of the years before. A published rate goes before the delta
     model, the delta model before the level model. `keys` name one path: with several
     scenarios in the panel they are parcel_id and scenario, and each scenario has its
-    own history rows. The result has one row per path and year, with the method of
-    each part.
+    own history rows. With `scenario` only the future rows differ by that column and all paths of an
+    entity start from one history (see `extend_panel`). The result has one row per path and year,
+    with the method of each part.
     """
     years = sorted(int(y) for y in years)
     if years != list(range(years[0], years[-1] + 1)):
@@ -189,18 +199,32 @@ def forecast_sequential(panel: DataFrame, years: Sequence[int], scorers: Mapping
         log_at(imps_col, last_obs).alias("_imps1"),
         log_at(imps_col, last_obs - 1).alias("_imps2"),
         F.max(F.when(past, F.col(imps_col))).alias("_max_imps"),
-        F.max(F.when(past, F.col(land_col))).alias("_max_land"),
-        *[F.max(F.when(F.col(YEAR) == y, F.struct(*carried))).alias(f"_y{y}") for y in years]]
-    wide = rows.groupBy(*keys).agg(*aggs)
+        F.max(F.when(past, F.col(land_col))).alias("_max_land")]
+    by_year = [F.max(F.when(F.col(YEAR) == y, F.struct(*carried))).alias(f"_y{y}") for y in years]
+    has_impr = "impr_delta" in scorers or "impr_level" in scorers
+    use_ratio = not has_impr and "land_delta" in scorers
+    if use_ratio:
+        usable = past & (F.col(land_col) > 0) & F.col(imps_col).isNotNull()
+        aggs.append(F.percentile(F.when(usable, F.col(imps_col).cast("double") / F.col(land_col).cast("double")),
+                                 F.lit(0.5)).alias("_ratio"))
+    if scenario is None:
+        wide = rows.groupBy(*keys).agg(*aggs, *by_year)
+    else:
+        # The future of an entity is its years and scenarios; the rows of one scenario become one path.
+        ahead = F.collect_list(F.when(~past, F.struct(F.col(scenario).alias("_s"), F.col(YEAR).alias("_y"),
+                                                      F.struct(*carried).alias("_at"))))
+        wide = rows.groupBy(*keys).agg(*aggs, ahead.alias("_ahead"))
+        wide = wide.withColumn(scenario, F.explode(F.array_distinct(F.transform("_ahead", lambda r: r["_s"]))))
+        here = lambda y: F.filter("_ahead", lambda r: r["_s"].eqNullSafe(F.col(scenario)) & (r["_y"] == y))
+        wide = wide.withColumns({f"_y{y}": F.get(here(y), F.lit(0))["_at"] for y in years}).drop("_ahead")
+        keys = [*keys, scenario]
     land_only = (F.col("_max_land") > 0) & (F.coalesce("_max_imps", F.lit(0)) <= 0)
     wide = wide.withColumn("_gated", F.coalesce(land_only, F.lit(False))
                            if options.land_only_gate else F.lit(False))
-    has_impr = "impr_delta" in scorers or "impr_level" in scorers
-    use_ratio = not has_impr and "land_delta" in scorers
     if use_ratio:
-        history = panel.filter(past).withColumns({"appr_land_val": F.col(land_col),
-                                                  "appr_imps_val": F.col(imps_col)})
-        wide = wide.join(ratio_fallback(history), KEY, "left")
+        # Every path has its own median in the fold; paths without one take the median of those.
+        overall = median_by(wide, [], "_ratio", "global_ratio").scalar()
+        wide = wide.withColumn("ratio", F.coalesce("_ratio", overall)).drop("_ratio")
 
     null = F.lit(None).cast("double")
     for y in years:
@@ -320,14 +344,14 @@ def residual_forecast(df: DataFrame, rate: DataFrame, start: int,
                                & (F.col("basis") == "population"))
         geo = (geo.withColumn(year, F.col("assessment_yr") + 1)
                .withColumn("_area", to_int("area")))
-        out = (out.withColumn("_area", to_int("area"))
-               .join(_one_rate(geo, ["_area", year], "_geo"), ["_area", year], "left"))
+        out = lookup_join(out.withColumn("_area", to_int("area")), rate_paths(geo, "_area", "_path", year), "_area")
+        out = out.withColumn("_geo", rate_in("_path", F.col(year)))
         if geo_scope != "all":
             is_spec = F.coalesce(F.col("spec_area") > 0, F.lit(False))
             out = out.withColumn("_geo", F.when(~is_spec, F.col("_geo")))
     else:
         out = out.withColumn("_geo", null)
-    out = out.join(rate.select(year, "dlog_other", "basis"), year, "left")
+    out = lookup_join(out, rate.select(year, "dlog_other", "basis"), year)
     step = F.when(future, F.coalesce("_geo", "dlog_other", F.lit(0.0))).otherwise(F.lit(0.0))
     source = (F.when(F.col("_geo").isNotNull(), "geo_report")
               .when(future & F.col("dlog_other").isNotNull(), F.col("basis"))

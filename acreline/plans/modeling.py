@@ -408,14 +408,15 @@ def retrofit_carry(panel: DataFrame, cols: Sequence[str], key: str = KEY,
 def extend_panel(history: DataFrame, years: Sequence[int], drivers: DataFrame | None = None,
                  state: str = "last_row", targets: Sequence[str] = (),
                  advance: Sequence[str] = (), last_year: int | None = None, key: str = KEY,
-                 year: str = YEAR, overlay: bool = False) -> DataFrame:
+                 year: str = YEAR, overlay: bool = False, scenario: str | None = None) -> DataFrame:
     """History and one row per entity and future year.
 
     The state is each entity's last row, or its row in the last year
     (`state="last_year"`). Targets are NULL, `advance` columns grow by the years
     since the last year of the history (found in the plan unless it is given),
     drivers replace their old columns. With `overlay` a driver that is NULL keeps the
-    entity's last value.
+    entity's last value. With `scenario`, a column of the drivers, a future year has a row for each of
+    its scenarios; the history is kept once, with a NULL scenario (see `forecast_sequential`).
     """
     if state not in ("last_row", "last_year"):
         raise ValueError(f"state must be 'last_row' or 'last_year', not {state!r}")
@@ -430,7 +431,15 @@ def extend_panel(history: DataFrame, years: Sequence[int], drivers: DataFrame |
     if drivers is not None:
         old = {c: f"_old_{c}" for c in drivers.columns if overlay and c != year and c in future.columns}
         future = future.withColumns({v: F.col(c) for c, v in old.items()})
-        future = attach_drivers(future, drivers, on=year)
+        if scenario is None:
+            future = attach_drivers(future, drivers, on=year)
+        else:
+            # One row per year with its scenarios in an array, made rows last.
+            cols = [c for c in drivers.columns if c != year]
+            paths = drivers.groupBy(year).agg(F.array_sort(F.collect_list(F.struct(
+                scenario, *[c for c in cols if c != scenario]))).alias("_paths"))
+            future = attach_drivers(future.drop(*cols), paths, on=year)
+            future = future.select("*", F.inline_outer("_paths")).drop("_paths")
         future = future.withColumns({c: F.coalesce(c, v) for c, v in old.items()}).drop(*old.values())
     return stack([history, future])
 

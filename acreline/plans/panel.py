@@ -15,7 +15,6 @@ from acreline.functions import codes
 from acreline.functions.cleaning import (coalesce_present, coerce_like, digits_to_num, entity_key,
                                          is_in, log1p_pos, log_pos, null_sum,
                                          null_tokens, to_int, yn_flag)
-from acreline.operators.aggregates import pivot_wide
 from acreline.operators.filters import filter_codes, filter_years
 from acreline.operators.joins import attach_drivers, expand_snapshot
 from acreline.operators.sets import stack
@@ -137,9 +136,9 @@ def assessor_permit_features(panel: DataFrame, permits: DataFrame,
     """
     items = detail.select("permit_nbr", to_int("permit_item").alias("item"),
                           digits_to_num("item_value").alias("num"))
-    wide = pivot_wide(items.filter(F.col("num").isNotNull()), "permit_nbr", "item", "num",
-                      list(codes.PERMIT_ITEMS))
-    wide = wide.withColumnsRenamed({str(k): v for k, v in codes.PERMIT_ITEMS.items()})
+    # A pivot would deal the lines twice, by permit and item first.
+    wide = items.filter(F.col("num").isNotNull()).groupBy("permit_nbr").agg(
+        *[F.sum(F.when(F.col("item") == k, F.col("num"))).alias(v) for k, v in codes.PERMIT_ITEMS.items()])
     kind, status = F.upper(F.trim("permit_type")), F.upper(F.trim("permit_status"))
     used = F.when(F.col("permit_val") > 0, F.col("permit_val")).otherwise(F.col("owner_val"))
     dated = (permits.withColumn(YEAR, F.year("issue_date"))

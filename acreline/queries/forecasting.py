@@ -8,6 +8,7 @@ from acreline.functions import codes
 from acreline.operators.joins import expand_snapshot
 from acreline.plans import forecast as fc
 from acreline.plans import modeling as md
+from acreline.plans import reconcile as rc
 from acreline.queries.base import (GRID_SQL, PANEL_SQL, PARTS_SQL, Tables, dbl, grid, money, panel,
                                    parts, query, sql_codes)
 from acreline.queries.reconciling import with_segment
@@ -394,6 +395,49 @@ def _forecast_panel(t: Tables):
                            last_year=2001)
 
 
+_PATHS = (("baseline", 1.0), ("optimistic", 1.5), ("pessimistic", 0.5))
+
+
+def _drivers(t: Tables):
+    """Share of the orders seven years before, by scenario."""
+    per_year = t.orders.groupBy((F.year("o_orderdate") + 7).alias(_Y)).agg(F.count(F.lit(1)).alias("n"))
+    paths = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(f).alias("_f")) for s, f in _PATHS])
+    each = per_year.withColumn("_all", t.orders.agg(F.count(F.lit(1))).scalar()).select("*", F.inline(paths))
+    return each.select(_Y, "scenario", (F.col("n") / F.col("_all") * F.col("_f")).alias("mkt"))
+
+
+@query("J13 J14 J34", f"""
+WITH RECURSIVE {PARTS_SQL},
+d AS (SELECT year(o_orderdate) + 7 AS y, sc, COUNT(*) / (SELECT COUNT(*) FROM orders)::DOUBLE * any_value(f) AS mkt FROM orders
+  CROSS JOIN (VALUES {", ".join(f"('{s}', {f}::DOUBLE)" for s, f in _PATHS)}) x(sc, f) GROUP BY 1, 2),
+h AS (SELECT parcel_id, tax_yr, ln(CAST(appr_land_val AS DOUBLE)) AS l, CASE WHEN parcel_id % 10 = 0 THEN NULL ELSE ln(CAST(appr_imps_val AS DOUBLE)) END AS i FROM parts),
+e AS (SELECT parcel_id, MAX(CASE WHEN tax_yr = 2001 THEN l END) AS l, MAX(CASE WHEN tax_yr = 2001 THEN i END) AS i, COUNT(i) = 0 AND COUNT(l) > 0 AS gate FROM h GROUP BY 1),
+f AS (SELECT parcel_id, sc, 2001 AS y, l, i, gate, parcel_id % 7 AS size FROM e CROSS JOIN (SELECT DISTINCT sc FROM d)
+  UNION ALL SELECT parcel_id, f.sc, f.y + 1, COALESCE(l + {_clip('0.002 * size + mkt')}, 10 + 0.1 * size),
+    COALESCE(i + {_clip('0.05 * size - mkt')}, CASE WHEN NOT gate THEN 9 + 0.1 * size END), gate, size
+  FROM f JOIN d ON d.sc = f.sc AND d.y = f.y + 1 WHERE f.y < 2004),
+v AS (SELECT y, sc, SUM(exp(l) + CASE WHEN gate THEN 0 ELSE exp(i) END) AS t FROM f WHERE y > 2001 GROUP BY 1, 2),
+w AS (SELECT CAST(y AS INT) AS tax_yr, {", ".join(f"MAX(CASE WHEN sc = '{s}' THEN t END) AS {s}" for s, _ in _PATHS)} FROM v GROUP BY 1)
+SELECT tax_yr, round(baseline, 2) AS baseline, round(optimistic, 2) AS optimistic, round(pessimistic, 2) AS pessimistic,
+  round(optimistic - baseline, 2) AS diff_optimistic_vs_baseline, round(pessimistic - baseline, 2) AS diff_pessimistic_vs_baseline FROM w""")
+def scenario_forecast(t: Tables):
+    """History once, three scenarios of a driver from the extension to the summary."""
+    future, mkt, size = [2002, 2003, 2004], F.col("mkt"), F.col("size")
+    k = F.col(_K)
+    history = (parts(t).withColumn("appr_imps_val", F.when(k % 10 > 0, F.col("appr_imps_val")))
+               .withColumns({"size": k % 7}))
+    rows = md.extend_panel(history, future, _drivers(t), targets=["appr_land_val", "appr_imps_val"],
+                           last_year=2001, scenario="scenario")
+    level = _scorers()
+    scorers = {"land_delta": lambda df, out: df.withColumn(out, 0.002 * size + mkt),
+               "impr_delta": lambda df, out: df.withColumn(out, 0.05 * size - mkt),
+               "land_level": level["land_level"], "impr_level": level["impr_level"]}
+    paths = fc.forecast_sequential(rows, future, scorers, options=fc.ForecastOptions(cap=_CAP),
+                                   features=["size", "mkt"], scenario="scenario")
+    out = rc.scenario_summary(paths, "pred_total_assessed", [s for s, _ in _PATHS])
+    return out.select(_Y, *[dbl(c, c, 2) for c in out.columns if c != _Y])
+
+
 @query("J14 J16 E18", f"""
 WITH RECURSIVE {PARTS_SQL}, {_RATES_SQL},
 h AS (SELECT parcel_id, tax_yr, ln(CAST(appr_land_val AS DOUBLE)) AS l, CASE WHEN parcel_id % 10 = 0 THEN NULL ELSE ln(CAST(appr_imps_val AS DOUBLE)) END AS i FROM parts),

@@ -264,3 +264,86 @@ def test_changes_before_the_first_year_hold(spark):
     got = {c: [r["zone"] for r in pp.build_panel(snapshot, values, changes, 2000, 2002, {"zone": "zone"}, carry=c)
                .orderBy("tax_yr").collect()] for c in ("until_next", "point")}
     assert got == {"until_next": ["1998", "2001", "2001"], "point": ["old", "2001", "old"]}
+
+
+def test_scenarios_share_one_history(spark):
+    history = spark.createDataFrame([("a", 2024, 100.0, 10.0), ("a", 2025, 100.0, 10.0), ("b", 2025, 50.0, None)],
+                                    "parcel_id string, tax_yr int, appr_land_val double, appr_imps_val double")
+    drivers = spark.createDataFrame([(y, s, x) for y in (2026, 2027) for s, x in (("low", 0.0), ("high", 0.1))],
+                                    "tax_yr int, scenario string, bump double")
+    rows = md.extend_panel(history, [2026, 2027], drivers, targets=["appr_land_val", "appr_imps_val"], scenario="scenario")
+    assert rows.count() == 3 + 2 * 2 * 2 and rows.filter("scenario IS NULL").count() == 3
+    bump = lambda df, out: df.withColumn(out, F.col("bump"))
+    got = fc.forecast_sequential(rows, [2026, 2027], {"land_delta": bump, "impr_delta": bump}, features=["bump"],
+                                 scenario="scenario").collect()
+    assert {(r["parcel_id"], r["scenario"], r["tax_yr"]): round(r["pred_total_assessed"], 6) for r in got} == {
+        (p, s, y): round(v * math.exp(x * n), 6) for p, v in (("a", 110.0), ("b", 50.0))
+        for s, x in (("low", 0.0), ("high", 0.1)) for n, y in ((1, 2026), (2, 2027))}
+
+
+# -- plans: how often rows are dealt anew -------------------------------------------------
+
+@pytest.fixture
+def plain_plans(spark):
+    """No broadcast by size, no adaptive execution."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def exchanges(df):
+    """Hash and range exchanges of the physical plan, each with what it deals by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange ")[1].split(", ENSURE")[0].split(", REPART")[0] for line in plan.splitlines()
+            if "Exchange " in line and "Broadcast" not in line and "Reused" not in line]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name, most", [
+    # the panel once; each source once, and once more where it is first joined on a key of its own
+    ("permit_features", 4), ("assessor_permit_features", 4), ("exemption_features", 3), ("inspection_features", 6),
+    ("assembled_panel", 6)])
+def test_panel_steps_deal_rows_once(spark, plain_plans, name, most):
+    from acreline.queries import REGISTRY
+    found = exchanges(REGISTRY[name](spark, SF))
+    assert len(found) <= most, found
+    # Nothing is dealt by entity and year but the raw values of the assembled panel.
+    both = [x for x in found if "tax_yr" in x]
+    assert len(both) <= (name == "assembled_panel"), both
+
+
+@pytest.mark.parametrize("name", ["routed_rates", "routed_rates_prior", "area_anchors", "attach_drivers"])
+def test_lookups_leave_the_panel_in_place(spark, plain_plans, name):
+    from acreline.queries import REGISTRY
+    found = exchanges(REGISTRY[name](spark, SF))
+    assert not any("area" in x or "tax_yr" in x for x in found), found
+
+
+def test_large_lookups_are_salted(spark):
+    from acreline.operators.joins import lookup_join
+    left = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 > 0, 1).otherwise((F.col("id") % 50).cast("int")).alias("k"))
+    table = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    small, large = lookup_join(left, table, "k"), lookup_join(left, table, "k", most_rows=10, salts=4)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.select(*small.columns).collect()))
+    assert small.count() == 1000 and small.filter("v IS NULL").count() > 0
+    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fold_and_unfold(spark):
+    from acreline.plans import fold
+    panel = spark.createDataFrame([("a", 2001, 1), ("a", 2003, 3), ("b", 2002, 2)], "parcel_id string, tax_yr int, v int")
+    source = spark.createDataFrame([("a", 2001, 5), ("a", 2001, 6), ("a", 1990, 7), ("b", 2003, 8), (None, 2001, 9), ("z", 2001, 1)],
+                                   "parcel_id string, tax_yr int, x int")
+    years = range(2001, 2004)
+    annual = fold.annual(source, years, {"n": fold.times(), "s": fold.total(F.col("x")), "m": fold.greatest(F.col("x"))},
+                         whole={"all": F.sum("x")})
+    got = {(r["parcel_id"], r["tax_yr"]): r.asDict() for r in fold.attach(panel, [annual], years, {"s": 0}).collect()}
+    assert len(got) == 3
+    assert got["a", 2001] == {"parcel_id": "a", "tax_yr": 2001, "v": 1, "n": 2, "s": 11, "m": 6, "all": 18}
+    assert got["a", 2003] == {"parcel_id": "a", "tax_yr": 2003, "v": 3, "n": 0, "s": 0, "m": None, "all": 18}
+    assert got["b", 2002] == {"parcel_id": "b", "tax_yr": 2002, "v": 2, "n": 0, "s": 0, "m": None, "all": 8}
