@@ -21,6 +21,8 @@ KEEP_BYTES = 64
 KEEP_WORDS = 400_000
 #: Text is taken in portions of about so many bytes.
 PORTION_BYTES = 4 << 20
+#: Short texts are encoded together up to so many bytes.
+GROUP_BYTES = 1 << 20
 
 # ASCII punctuation but the apostrophe. After a letter the tokenizer's own pattern always cuts
 # before a run of these, so a word's letters and its tail are encoded apart.
@@ -143,7 +145,7 @@ class WordEncoder:
                 continue
             group.append(text)
             size += len(text or b"")
-            if size >= PORTION_BYTES:
+            if size >= GROUP_BYTES:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)

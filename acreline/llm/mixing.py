@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from acreline.llm.common import SPACE, WORD, chunk_of, exclusive_sum, shuffle_partitions, stored
 
 SLOTS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 256
 _WORD_AND_SPACE = re.compile(f"{WORD}(?:{SPACE})?".encode())
 
 
@@ -230,19 +231,21 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     position = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, new = [], []
-            texts = batch.column(len(inner)).cast(pa.binary())
-            for i, (text, runs) in enumerate(zip(texts, batch.column(len(inner) + 1).to_pylist())):
-                words = _WORD_AND_SPACE.findall(text.as_py())
-                for nth in range(1, max(r["_times"] for r in runs) + 1):
-                    row.append(i)
-                    new.append(b"".join(w for r in runs if r["_times"] >= nth
-                                        for w in words[r["_at"]:r["_at"] + r["_words"]]))
-            at = pa.array(row, pa.int64())
-            columns = [batch.column(k).take(at) for k in range(len(inner))]
-            columns[position] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=inner)
+        for whole in batches:
+            # A few rows at a time: lists of words and runs take many times the text's bytes.
+            for lo in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                row, new = [], []
+                for i, (text, runs) in enumerate(zip(batch.column(len(inner)), batch.column(len(inner) + 1))):
+                    words, runs = _WORD_AND_SPACE.findall(text.as_py().encode()), runs.as_py()
+                    for nth in range(1, max(r["_times"] for r in runs) + 1):
+                        row.append(i)
+                        new.append(b"".join(w for r in runs if r["_times"] >= nth
+                                            for w in words[r["_at"]:r["_at"] + r["_words"]]))
+                at = pa.array(row, pa.int64())
+                columns = [batch.column(k).take(at) for k in range(len(inner))]
+                columns[position] = pa.array(new, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=inner)
 
     schema = ", ".join(f"{i} {'string' if k == position else docs.schema[k].dataType.simpleString()}"
                        for k, i in enumerate(inner))

@@ -291,9 +291,9 @@ def alike(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, width: int, simila
             .join(bits, F.col("b") == F.col("_h")).withColumnRenamed("_s", "s_b").drop("_h"))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                          F.lit(0), lambda a, x: a + x)
-    # The mean share of differing bits at the similarity asked for, and two deviations.
+    # The mean share of differing bits at the similarity asked for, and three deviations.
     angle, bits = acos(2 * similarity / (1 + similarity)) / pi, TABLE_BITS * tables
-    near = stored(both.filter(differ <= angle * bits + 2 * sqrt(angle * (1 - angle) * bits)).select("a", "b"))
+    near = stored(both.filter(differ <= angle * bits + 3 * sqrt(angle * (1 - angle) * bits)).select("a", "b"))
     sets = shingle_sets(docs, near.select("a").union(near.select("b")).distinct(), width, text_col)
     a, b = F.col("a_set"), F.col("b_set")
     both = F.size(F.array_intersect(a, b))
