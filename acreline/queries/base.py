@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ class Tables:
         return table
 
 
+    @cached_property
+    def years(self) -> range:
+        """The years of the orders, from the first to the last."""
+        lo, hi = self.orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+        return range(lo, hi + 1)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -106,10 +114,12 @@ def parts(t: Tables) -> DataFrame:
             .agg(F.sum("land").alias("appr_land_val"), F.sum("imps").alias("appr_imps_val")))
 
 
-GRID_SQL = """grid AS (
+YEARS_SQL = """(SELECT CAST(unnest(range(MIN(year(o_orderdate)), MAX(year(o_orderdate)) + 1)) AS INT) AS y FROM orders)"""
+
+GRID_SQL = f"""grid AS (
   SELECT k.parcel_id, CAST(y.y AS INT) AS tax_yr, p.v
   FROM (SELECT DISTINCT o_custkey AS parcel_id FROM orders) k
-  CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y) y
+  CROSS JOIN {YEARS_SQL} y
   LEFT JOIN panel p ON p.parcel_id = k.parcel_id AND p.tax_yr = y.y)"""
 
 
@@ -117,7 +127,7 @@ def grid(t: Tables) -> DataFrame:
     """Every customer in every year; value NULL in years without orders."""
     from acreline.operators.joins import cross_grid
     keys = t.orders.select(F.col("o_custkey").alias("parcel_id"))
-    return cross_grid(keys, "parcel_id", 1995, 2001).join(
+    return cross_grid(keys, "parcel_id", t.years[0], t.years[-1]).join(
         panel(t), ["parcel_id", "tax_yr"], "left")
 
 

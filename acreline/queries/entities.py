@@ -10,7 +10,7 @@ from acreline.operators.joins import cross_grid
 from acreline.plans import classify as cl
 from acreline.plans import panel as pl
 from acreline.plans import snapshots as sn
-from acreline.queries.base import (PANEL_SQL, PARTS_SQL, Tables, dbl, money, panel,
+from acreline.queries.base import (PANEL_SQL, PARTS_SQL, YEARS_SQL, Tables, dbl, money, panel,
                                    parts, query, sql_codes, sql_groups, sql_list, sql_ranges)
 from acreline.queries.cleaning import KEYWORD_SQL, NORMAL_SQL, TEXT_EXPR, _USE118, _ZONE, _ZONING
 from acreline.queries.joining import _CHANGES_SQL, _HIST
@@ -74,8 +74,8 @@ b AS (SELECT parcel_id, COUNT(*) AS n_comm_bldgs, SUM(q * 10) AS g, SUM(q * 9) A
 s AS (SELECT parcel_id, COUNT(*) AS n_sections, COUNT(DISTINCT use_code) AS nu, SUM(q) AS sg,
   {", ".join(f"SUM(CASE WHEN bucket = '{u}' THEN q ELSE 0 END) AS {u}" for u in _SHARES)},
   SUM(q * (8 + p % 5)) / SUM(q) AS height
-  FROM (SELECT *, {sql_ranges('use_code', codes.USE_BUCKETS, "'unknown'")} AS bucket FROM li WHERE nbr < 6) GROUP BY 1),
-f AS (SELECT parcel_id, SUM(CASE WHEN p % 20 = 1 THEN q ELSE 0 END) AS garage, SUM(q) AS tot FROM li WHERE p % 3 = 0 GROUP BY 1)
+  FROM (SELECT *, {sql_ranges('use_code', codes.USE_BUCKETS, "'unknown'")} AS bucket FROM (SELECT * REPLACE (CASE WHEN nbr < 6 THEN parcel_id ELSE -parcel_id END AS parcel_id) FROM li)) GROUP BY 1),
+f AS (SELECT parcel_id, SUM(CASE WHEN p % 20 = 1 THEN q ELSE 0 END) AS garage, SUM(q) AS tot FROM (SELECT * REPLACE (CASE WHEN p % 3 = 0 THEN parcel_id ELSE -parcel_id END AS parcel_id) FROM li) GROUP BY 1)
 SELECT parcel_id, n_comm_bldgs, CAST(g AS BIGINT) AS total_gross_sqft, CAST(st AS BIGINT) AS max_nbr_stories, use_code AS predominant_use,
   round(age, 6) AS avg_age_comm, CAST(spr AS INT) AS has_sprinklers, COALESCE(n_sections, 0) AS n_sections, COALESCE(nu, 0) AS n_distinct_uses,
   round(COALESCE(height, 0), 6) AS avg_story_height, CAST(COALESCE(garage, 0) AS BIGINT) AS parking_garage_sqft, CAST(COALESCE(tot, 0) AS BIGINT) AS total_feature_sqft,
@@ -95,12 +95,14 @@ def commercial_snapshot(t: Tables):
         F.when(p % 90 > 0, 1940 + p % 90).otherwise(0).alias("yr_built"), F.lit(0).alias("eff_yr"),
         F.when(F.col("l_suppkey") % 2 == 0, "Y").otherwise("N").alias("sprinklers"),
         F.lit("N").alias("elevators"), F.lit(100.0).alias("pcnt_complete"))
-    sections = t.lineitem.filter("l_linenumber < 6").select(
-        F.col("l_orderkey").alias("parcel_id"), use.alias("section_use"), q.alias("gross_sqft"),
+    # Rows without a building have a key of their own.
+    own = lambda known: F.when(known, F.col("l_orderkey")).otherwise(-F.col("l_orderkey")).alias("parcel_id")
+    sections = t.lineitem.select(
+        own(nbr < 6), use.alias("section_use"), q.alias("gross_sqft"),
         q.alias("net_sqft"), (8 + p % 5).alias("story_height"))
     kind = F.when(p % 20 == 1, 751).otherwise(763)
-    features = t.lineitem.filter("l_partkey % 3 = 0").select(
-        F.col("l_orderkey").alias("parcel_id"), kind.alias("feature_type"), q.alias("gross_sqft"))
+    features = t.lineitem.select(
+        own(p % 3 == 0), kind.alias("feature_type"), q.alias("gross_sqft"))
     out = sn.commercial_snapshot(buildings, sections, features, 2026)
     return out.select(
         "parcel_id", "n_comm_bldgs", "total_gross_sqft", "max_nbr_stories", "predominant_use",
@@ -120,7 +122,7 @@ def _key(a, b):
 @query("I03", f"""
 WITH u AS (SELECT o_orderkey, o_custkey, {_KEY.format(a='o_custkey', b='o_orderkey % 10000')} AS parcel_id,
     CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 2000 ELSE 0 END AS sq, o_orderkey % 12 AS fl FROM orders),
-c AS (SELECT c_custkey, CASE WHEN c_custkey % 12 > 0 THEN c_custkey % 12 END AS ct, c_custkey % 1500 AS av, c_custkey % 15 AS st, c_custkey % 90 AS n FROM customer WHERE c_custkey % 10 > 0)
+c AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey ELSE -1 - c_custkey END AS c_custkey, CASE WHEN c_custkey % 12 > 0 THEN c_custkey % 12 END AS ct, c_custkey % 1500 AS av, c_custkey % 15 AS st, c_custkey % 90 AS n FROM customer)
 SELECT o_orderkey, parcel_id, eff AS effective_unit_sqft, {sql_ranges('eff', codes.UNIT_SIZE_TIERS)} AS unit_size_tier,
   CAST(CASE WHEN st > 0 THEN CAST(fl = st AS INT) END AS INT) AS is_penthouse, CAST(COALESCE(st >= 8, FALSE) AS INT) AS is_highrise,
   CAST(COALESCE(n >= 50, FALSE) AS INT) AS is_large_complex, {sql_codes('ct', codes.CONDO_SEGMENTS, "'Other Condo'")} AS condo_segment,
@@ -132,8 +134,8 @@ def condo_snapshot(t: Tables):
     units = t.orders.select(
         k, _key(F.col("o_custkey"), k % 10000).alias("parcel_id"),
         F.when(k % 3 > 0, k % 2000).otherwise(0).alias("unit_sqft"), (k % 12).alias("unit_floor"))
-    complexes = t.customer.filter("c_custkey % 10 > 0").select(
-        F.lpad(_text(c), 6, "0").alias("major"), F.when(c % 12 > 0, c % 12).alias("complex_type"),
+    complexes = t.customer.select(
+        F.concat(F.when(c % 10 == 0, "none").otherwise(""), F.lpad(_text(c), 6, "0")).alias("major"), F.when(c % 12 > 0, c % 12).alias("complex_type"),
         (c % 1500).alias("avg_unit_size"), (c % 15).alias("nbr_stories_cplx"), (c % 90).alias("nbr_units"),
         F.lit(5).alias("pcnt_with_view"), F.lit(True).alias("has_elevators"), F.lit(True).alias("has_security"),
         F.lit(False).alias("has_fireplace"), F.lit(1).alias("laundry_type"), F.lit(2).alias("project_appeal"),
@@ -162,18 +164,18 @@ def assembled_panel(t: Tables):
     # The order key breaks ties between changes of one day.
     stamped = changes.withColumn("update_date", F.col("update_date") + F.make_interval(
         secs=F.col("o_orderkey").cast("decimal(18,6)") / 1000000))
-    out = pl.build_panel(snapshot, parts(t), stamped, 1995, 2001, names)
+    out = pl.build_panel(snapshot, parts(t), stamped, t.years[0], t.years[-1], names)
     return out.select("parcel_id", "tax_yr", "nuisance_score", "current_zoning_3",
                       *[dbl(c, c) for c in ("appr_land_val", "appr_imps_val", "total_assessed")],
                       dbl("log_appr_land_val", "log_appr_land_val", 9))
 
 
 def _years(t: Tables):
-    return cross_grid(t.orders.select(F.col("o_custkey").alias("parcel_id")), "parcel_id", 1995, 2001)
+    return cross_grid(t.orders.select(F.col("o_custkey").alias("parcel_id")), "parcel_id", t.years[0], t.years[-1])
 
 
-_YEARS_SQL = """spine AS (SELECT parcel_id, CAST(y AS INT) AS tax_yr FROM (SELECT DISTINCT o_custkey AS parcel_id FROM orders)
-  CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y))"""
+_YEARS_SQL = f"""spine AS (SELECT parcel_id, y AS tax_yr FROM (SELECT DISTINCT o_custkey AS parcel_id FROM orders)
+  CROSS JOIN {YEARS_SQL})"""
 
 
 @query("I05", f"""
@@ -199,7 +201,7 @@ def permit_features(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("record_number"),
                               F.when(F.col("l_returnflag") == "A", money("l_quantity"))
                               .otherwise(F.lit(0).cast("decimal(18,2)")).alias("sqft"))
-    out = pl.permit_features(_years(t), permits, lines, ["occupancy", "finished", "issued"], range(1995, 2002))
+    out = pl.permit_features(_years(t), permits, lines, ["occupancy", "finished", "issued"], t.years)
     return out.select("parcel_id", "tax_yr", "permits_last_1yr", "permits_last_3yr", "permits_last_5yr",
                       *[dbl(c, c) for c in ("val_last_3yr", "val_last_5yr", "sqft_last_3yr")], "units_last_3yr",
                       "years_since_newconst", "any_newconst", dbl("log_val_last_3yr", "log_val_last_3yr", 9))
@@ -231,7 +233,7 @@ def assessor_permit_features(t: Tables):
     detail = t.lineitem.select(
         F.col("l_orderkey").alias("permit_nbr"), item.alias("permit_item"),
         F.concat(F.lit("$ "), _text(F.col("l_quantity").cast("int")), F.lit(" sf")).alias("item_value"))
-    out = pl.assessor_permit_features(_years(t), permits, detail, range(1995, 2002))
+    out = pl.assessor_permit_features(_years(t), permits, detail, t.years)
     return out.select("parcel_id", "tax_yr", "kcap_permits_3yr", dbl("kcap_val_3yr", "kcap_val_3yr"),
                       dbl("kcap_sqft_3yr", "kcap_sqft_3yr"), "kcap_open_sum", "kcap_pct_complete_max",
                       "kcap_years_since_permit", "any_newconst")
@@ -261,7 +263,7 @@ def exemption_features(t: Tables):
     exemptions = t.orders.select(F.col("o_custkey").alias("parcel_id"), y.alias("first_bill_yr"),
                                  (y + k % 4 - 1).cast("int").alias("last_bill_yr"),
                                  money("o_totalprice").alias("home_imp_val"))
-    out = pl.exemption_features(_years(t), applications, exemptions, 1995, 2001)
+    out = pl.exemption_features(_years(t), applications, exemptions, t.years[0], t.years[-1])
     return out.select("parcel_id", "tax_yr", "hi_app_cnt_3yr", dbl("hi_est_cost_3yr", "hi_est_cost_3yr"),
                       "hi_exempt_active", *[dbl(c, c) for c in ("hi_exempt_val_active", "hi_rolloff_cur_val",
                                                               "hi_rolloff_next_val")], "hi_ever",
@@ -304,11 +306,11 @@ WITH d AS (SELECT user_id AS parcel_id, event_id % 500 AS event_id, event_type A
   FROM events WHERE event_type IN ('click', 'error')),
 l AS (SELECT *, row_number() OVER (PARTITION BY parcel_id, event_id, attribute ORDER BY update_date DESC, attribute_value DESC) AS rn FROM d)
 SELECT l.parcel_id, l.event_id, attribute, attribute_value, h.n AS n_events FROM l LEFT JOIN (
-  SELECT user_id, event_id % 500 AS e, COUNT(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2) h ON h.user_id = parcel_id AND h.e = l.event_id WHERE rn = 1""")
+  SELECT user_id, event_id % 500 + CASE WHEN event_id % 3 = 0 THEN 1000 ELSE 0 END AS e, COUNT(*) AS n FROM events GROUP BY 1, 2) h ON h.user_id = parcel_id AND h.e = l.event_id WHERE rn = 1""")
 def change_log(t: Tables):
     k = F.col("event_id")
-    header = t.events.filter("event_id % 3 > 0").groupBy(F.col("user_id").alias("parcel_id"),
-                                                          (k % 500).alias("event_id")).agg(
+    header = t.events.groupBy(F.col("user_id").alias("parcel_id"),
+                              (k % 500 + F.when(k % 3 == 0, 1000).otherwise(0)).alias("event_id")).agg(
         F.count(F.lit(1)).alias("n_events"))
     detail = t.events.select(
         F.col("user_id").alias("parcel_id"), (k % 500).alias("event_id"), F.lit(1).alias("component_id"),
@@ -370,11 +372,12 @@ _OWNER = "c_name || CASE c_custkey % 4 WHEN 0 THEN ' LLC' WHEN 1 THEN ' Trust' E
 
 @query("I11", """
 SELECT s_suppkey AS parcel_id, CAST(COALESCE(l, 0) AS INT) AS is_llc, CAST(COALESCE(e, 0) AS INT) AS is_entity FROM supplier LEFT JOIN (
-  SELECT c_custkey // 10 AS k, MAX(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) AS l, MAX(CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE 0 END) AS e
-  FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) ON k = s_suppkey""")
+  SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey // 10 ELSE -c_custkey END AS k, MAX(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) AS l, MAX(CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE 0 END) AS e
+  FROM customer GROUP BY 1) ON k = s_suppkey""")
 def owner_flags(t: Tables):
-    accounts = t.customer.filter("c_custkey % 3 = 0").select(
-        F.floor(F.col("c_custkey") / 10).alias("parcel_id"), F.expr(_OWNER).alias("taxpayer_name"))
+    k = F.col("c_custkey")
+    accounts = t.customer.select(
+        F.when(k % 3 == 0, F.floor(k / 10)).otherwise(-k).alias("parcel_id"), F.expr(_OWNER).alias("taxpayer_name"))
     return cl.owner_flags(accounts, t.supplier.select(F.col("s_suppkey").alias("parcel_id")))
 
 
@@ -410,11 +413,11 @@ _SECTION = "CAST(CASE WHEN l_suppkey % 3 = 0 THEN 250 ELSE 300 + l_suppkey * 13
 _CLASS_SQL = f"""
 par AS (SELECT p_partkey AS parcel_id, {_PU} AS u, upper(trim({_ZONE})) AS z, {_ZONE} AS zone, {NORMAL_SQL.format(x=TEXT_EXPR)} AS w FROM part),
 ln AS (SELECT l_partkey AS parcel_id, {_SECTION} AS u, CAST(l_quantity AS INT) AS q, l_orderkey FROM lineitem),
-sec AS (SELECT parcel_id, c, SUM(q) AS w FROM (SELECT parcel_id, q, {_USE118} AS c FROM ln WHERE l_orderkey % 2 = 0) WHERE c IS NOT NULL AND q > 0 GROUP BY 1, 2),
+sec AS (SELECT parcel_id, c, SUM(q) AS w FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN parcel_id ELSE -parcel_id END AS parcel_id, q, {_USE118} AS c FROM ln) WHERE c IS NOT NULL AND q > 0 GROUP BY 1, 2),
 dom AS (SELECT * FROM (SELECT parcel_id, c, w / CAST(SUM(w) OVER (PARTITION BY parcel_id) AS DOUBLE) AS share,
           row_number() OVER (PARTITION BY parcel_id ORDER BY w DESC, c) AS rn FROM sec) WHERE rn = 1 AND share >= 0.5),
 big AS (SELECT parcel_id, b, {_USE118.replace('u ', 'b ')} AS c FROM (SELECT parcel_id, u AS b, row_number() OVER (PARTITION BY parcel_id ORDER BY q DESC, u) AS rn
-          FROM ln WHERE l_orderkey % 5 = 1) WHERE rn = 1),
+          FROM (SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 1 THEN parcel_id ELSE -parcel_id END AS parcel_id) FROM ln)) WHERE rn = 1),
 kw AS (SELECT parcel_id, {KEYWORD_SQL} AS c FROM par),
 t AS (SELECT p.parcel_id, COALESCE(u IN ({sql_list(codes.VACANT_USES)}), FALSE) AS vac, COALESCE(u IN ({sql_list(codes.PARKING_USES)}), FALSE) AS park, u,
     CASE {sql_groups('u', codes.SUBGROUP_USES)} END AS t1, dom.c AS t2, share, big.c AS t3, b, kw.c AS t4, {_ZONING} AS t5, zone
@@ -432,10 +435,12 @@ def _classified(t: Tables):
                             F.expr(_ZONE).alias("current_zoning"), F.expr(TEXT_EXPR).alias("property_name"))
     lines = t.lineitem.select(F.col("l_partkey").alias("parcel_id"), F.expr(_SECTION).alias("use"),
                               F.col("l_quantity").cast("int").alias("q"), "l_orderkey")
-    sections = lines.filter("l_orderkey % 2 = 0").select(
-        "parcel_id", F.col("use").alias("section_use"), F.col("q").alias("gross_sqft"))
-    buildings = lines.filter("l_orderkey % 5 = 1").select(
-        "parcel_id", F.col("use").alias("predominant_use"), F.col("q").alias("bldg_gross_sqft"))
+    # Lines of no known parcel have a key of their own.
+    own = lambda known: F.when(known, F.col("parcel_id")).otherwise(-F.col("parcel_id")).alias("parcel_id")
+    sections = lines.select(
+        own(F.col("l_orderkey") % 2 == 0), F.col("use").alias("section_use"), F.col("q").alias("gross_sqft"))
+    buildings = lines.select(
+        own(F.col("l_orderkey") % 5 == 1), F.col("use").alias("predominant_use"), F.col("q").alias("bldg_gross_sqft"))
     return cl.classify_waterfall(parcels, sections, buildings, max_tier=5)
 
 

@@ -511,8 +511,8 @@ def residual_rates(t: Tables):
 
 @query("J22", f"""
 WITH {PANEL_SQL}, {PARTS_SQL}, {_GROWTH_SQL}, {_RATES_SQL},
-rate AS (SELECT tax_yr + 6 AS tax_yr, least(greatest(SUM(dlog * CAST(lav AS DOUBLE)) / SUM(CAST(lav AS DOUBLE)), -0.15), 0.15) AS d,
-    CASE WHEN abs(SUM(dlog * CAST(lav AS DOUBLE)) / SUM(CAST(lav AS DOUBLE))) > 0.15 THEN 'value_weighted_com_capped' ELSE 'value_weighted_com' END AS basis FROM gr WHERE tax_yr < 1998 GROUP BY 1),
+rate AS (SELECT tax_yr + 2 AS tax_yr, least(greatest(SUM(dlog * CAST(lav AS DOUBLE)) / SUM(CAST(lav AS DOUBLE)), -0.15), 0.15) AS d,
+    CASE WHEN abs(SUM(dlog * CAST(lav AS DOUBLE)) / SUM(CAST(lav AS DOUBLE))) > 0.15 THEN 'value_weighted_com_capped' ELSE 'value_weighted_com' END AS basis FROM gr GROUP BY 1),
 g AS (SELECT c_custkey AS parcel_id, c_nationkey AS area, CAST(c_custkey % 3 AS INT) AS spec, CAST(y AS INT) AS tax_yr, CASE WHEN c_custkey % 4 > 0 THEN CAST(appr_land_val AS DOUBLE) END AS l,
     CASE WHEN c_custkey % 4 > 1 THEN CAST(appr_imps_val AS DOUBLE) END AS i, CASE WHEN c_custkey % 8 = 0 THEN CAST(appr_land_val AS DOUBLE) END AS tot
   FROM customer CROSS JOIN (SELECT unnest(range(1999, 2005)) AS y) LEFT JOIN parts p ON p.parcel_id = c_custkey AND p.tax_yr = y),
@@ -533,7 +533,7 @@ def residual_forecast(t: Tables):
     panel_ = panel_.select(_K, "area", "spec_area", _Y, F.when(key % 4 > 0, land).alias("appr_land_val"),
                            F.when(key % 4 > 1, imps).alias("appr_imps_val"),
                            F.when(key % 8 == 0, land).alias("total_assessed"))
-    rate = fc.residual_rate(_growth(t).filter("tax_yr < 1998")).withColumn(_Y, F.col(_Y) + 6)
+    rate = fc.residual_rate(_growth(t)).withColumn(_Y, F.col(_Y) + 2)
     out = fc.residual_forecast(panel_, rate, 2002, _published(t))
     return out.select(_K, _Y, "co_rate_source", *[dbl(c, c, 4) for c in (
         "pred_appr_land_val", "pred_appr_imps_val", "pred_total_assessed")])

@@ -41,11 +41,11 @@ def csv_sink(t: Tables):
     return back.withColumn("v", to_num("v"))
 
 
-@query("A04", f"WITH {PANEL_SQL} SELECT parcel_id, CAST(v AS DOUBLE) AS v, 'baseline' AS scenario, tax_yr FROM panel WHERE tax_yr >= 2000")
+@query("A04", f"WITH {PANEL_SQL} SELECT parcel_id, CAST(v AS DOUBLE) AS v, 'baseline' AS scenario, tax_yr FROM panel")
 def parquet_sink(t: Tables):
     tagged = panel(t).select("parcel_id", dbl("v", "v"), F.lit("baseline").alias("scenario"), "tax_yr")
     path = ex.write_table(tagged, ex.run_path(t.spark, "panel"), partition_by=["scenario", "tax_yr"])
-    return t.spark.read.parquet(path).filter(F.col("tax_yr") >= 2000)
+    return t.spark.read.parquet(path)
 
 
 @query("A05", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acreline.operators import joins as j
 from acreline.operators import sets
-from acreline.queries.base import (GRID_SQL, PANEL_SQL, Tables, dbl, grid, panel,
+from acreline.queries.base import (GRID_SQL, PANEL_SQL, YEARS_SQL, Tables, dbl, grid, panel,
                                    query)
 
 
@@ -145,13 +145,14 @@ def many_join(t: Tables):
 
 @query("D13", """
 SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 6, '0') || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS parcel_id,
-       c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 > 0""")
+       c_name FROM orders LEFT JOIN customer ON o_custkey = CASE WHEN c_custkey % 5 > 0 THEN c_custkey ELSE -1 - c_custkey END""")
 def prefix_join(t: Tables):
     units = t.orders.select("o_orderkey", F.concat(
         F.lpad(F.col("o_custkey").cast("string"), 6, "0"),
         F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("parcel_id"))
-    parents = t.customer.filter("c_custkey % 5 > 0").select(
-        F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("major"), "c_name")
+    k = F.col("c_custkey")
+    parents = t.customer.select(F.concat(F.when(k % 5 == 0, "none").otherwise(""),
+                                         F.lpad(k.cast("string"), 6, "0")).alias("major"), "c_name")
     return j.prefix_join(units, parents)
 
 
@@ -164,7 +165,7 @@ ev AS (SELECT o_custkey AS parcel_id, CAST(year(o_orderdate) AS INT) AS eff_yr,
 lastch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parcel_id, eff_yr, attribute
              ORDER BY d DESC, k DESC) AS rn FROM ev WHERE attribute IN ('1-URGENT', '5-LOW')) WHERE rn = 1),
 base AS (SELECT c_custkey AS parcel_id, CAST(y AS INT) AS tax_yr, CAST(c_acctbal AS DOUBLE) AS urgent,
-                c_mktsegment AS low FROM customer CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y)),
+                c_mktsegment AS low FROM customer CROSS JOIN {YEARS_SQL}),
 j AS (SELECT b.*, u.parcel_id IS NOT NULL AS has_u, CAST(u.val AS DOUBLE) AS nu, l.parcel_id IS NOT NULL AS has_l, l.val AS nl
   FROM base b LEFT JOIN lastch u ON u.parcel_id = b.parcel_id AND u.eff_yr = b.tax_yr AND u.attribute = '1-URGENT'
   LEFT JOIN lastch l ON l.parcel_id = b.parcel_id AND l.eff_yr = b.tax_yr AND l.attribute = '5-LOW')"""
@@ -174,7 +175,7 @@ _HIST = "OVER (PARTITION BY parcel_id ORDER BY tax_yr ROWS UNBOUNDED PRECEDING)"
 def _changes(t: Tables):
     base = j.expand_snapshot(t.customer.select(
         F.col("c_custkey").alias("parcel_id"), F.col("c_acctbal").alias("urgent"),
-        F.col("c_mktsegment").alias("low")), range(1995, 2002))
+        F.col("c_mktsegment").alias("low")), t.years)
     value = F.when(F.col("o_orderkey") % 7 > 0,
                    F.floor("o_totalprice").cast("long").cast("string"))
     changes = t.orders.select(
@@ -236,12 +237,12 @@ def two_pass_match(t: Tables):
 
 
 @query("D17", f"""
-WITH {PANEL_SQL}, d AS (SELECT tax_yr, SUM(v) AS total, COUNT(*) AS n FROM panel WHERE tax_yr > 1995 GROUP BY 1)
+WITH {PANEL_SQL}, d AS (SELECT tax_yr + 1 AS tax_yr, SUM(v) AS total, COUNT(*) AS n FROM panel GROUP BY 1)
 SELECT parcel_id, p.tax_yr, CAST(p.v AS DOUBLE) AS v, CAST(total AS DOUBLE) AS mkt_total, n AS mkt_n
 FROM panel p LEFT JOIN d ON d.tax_yr = p.tax_yr""")
 def attach_drivers(t: Tables):
     p = panel(t)
-    drivers = p.filter("tax_yr > 1995").groupBy("tax_yr").agg(
+    drivers = p.groupBy((F.col("tax_yr") + 1).alias("tax_yr")).agg(
         dbl(F.sum("v"), "mkt_total"), F.count(F.lit(1)).alias("mkt_n"))
     stale = p.select("parcel_id", "tax_yr", dbl("v", "v"), F.lit(0).alias("mkt_stale"))
     return j.attach_drivers(stale, drivers, prefix="mkt_")
@@ -282,9 +283,10 @@ def stacked_tables(t: Tables):
 
 @query("G03", """
 SELECT c_mktsegment, COUNT(*) AS n, MIN(c_custkey) AS first_key FROM customer
-WHERE c_mktsegment IN ('BUILDING', 'FURNITURE') GROUP BY 1""")
+WHERE c_mktsegment IS NOT NULL GROUP BY 1""")
 def split_by_segment(t: Tables):
-    found = sets.split_by(t.customer, "c_mktsegment", ["BUILDING", "FURNITURE"])
+    names = [r[0] for r in t.customer.select("c_mktsegment").distinct().collect() if r[0] is not None]
+    found = sets.split_by(t.customer, "c_mktsegment", sorted(names))
     return sets.stack([part.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key")) for part in found.values()])
 

@@ -82,20 +82,21 @@ def december_snapshot(t: Tables):
         "n_lag6", "n_lag12", "n_lag6_y1", "n_lag12_delta")])
 
 
-_MACRO = ("1-URGENT", "5-LOW")
+_MACRO = {"1-URGENT": "1_urgent", "2-HIGH": "2_high", "3-MEDIUM": "3_medium", "4-NOT SPECIFIED": "4_not_specified",
+          "5-LOW": "5_low"}
 
 
 @query("H06", f"""
 WITH {QUARTERS_SQL}, a AS (SELECT yr AS tax_yr, sub, SUM(n) AS n FROM q GROUP BY 1, 2),
-w AS (SELECT tax_yr, CAST(SUM(CASE WHEN sub = '1-URGENT' THEN n END) AS DOUBLE) AS u, CAST(SUM(CASE WHEN sub = '5-LOW' THEN n END) AS DOUBLE) AS l FROM a GROUP BY 1)
-SELECT tax_yr, lag(u, 1) OVER o AS econ_1_urgent_lvl_lag1, lag(l, 2) OVER o AS econ_5_low_lvl_lag2,
-       lag(u * 2, 1) OVER o AS econ_1_urgent_yoy_lag1 FROM w WINDOW o AS (ORDER BY tax_yr)""")
+w AS (SELECT tax_yr, {", ".join(f"CAST(SUM(CASE WHEN sub = '{k}' THEN n END) AS DOUBLE) AS n_{v}" for k, v in _MACRO.items())} FROM a GROUP BY 1)
+SELECT tax_yr, {", ".join(f"lag(n_{v}, 1) OVER o AS econ_{v}_lvl_lag1" for v in _MACRO.values())}, lag(n_5_low, 2) OVER o AS econ_5_low_lvl_lag2,
+       lag(n_1_urgent * 2, 1) OVER o AS econ_1_urgent_yoy_lag1 FROM w WINDOW o AS (ORDER BY tax_yr)""")
 def macro_panel(t: Tables):
     a = quarters(t).groupBy(F.col("yr").alias("tax_yr"), F.col("sub").alias("var")).agg(
-        F.sum("n").cast("double").alias("lvl")).filter(F.col("var").isin(*_MACRO))
+        F.sum("n").cast("double").alias("lvl"))
     deltas = a.select("tax_yr", "var", (F.col("lvl") * 2).alias("delta"))
-    return se.macro_panel(a, deltas, ["1_urgent", "5_low"], keep=[
-        "econ_1_urgent_lvl_lag1", "econ_5_low_lvl_lag2", "econ_1_urgent_yoy_lag1", "econ_absent"])
+    return se.macro_panel(a, deltas, list(_MACRO.values()), keep=[
+        *[f"econ_{v}_lvl_lag1" for v in _MACRO.values()], "econ_5_low_lvl_lag2", "econ_1_urgent_yoy_lag1", "econ_absent"])
 
 
 # Quarterly construction series: all orders by quarter; scenario levels from 2000 on.

@@ -159,6 +159,10 @@ def stock_and_flow(t: Tables):
         "c_mktsegment", _Y, dbl("stock", "stock", 6))
 
 
+#: One column each in the wide series.
+_WIDE = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query("J33", f"""
 WITH RECURSIVE {PANEL_SQL}, {_SEG_SQL}, {MATCHED_SQL}, {_ANCHOR}, {_RATES_SQL}, {_COMPOUND_SQL},
 l AS (SELECT track AS "group", tax_yr, CAST(v AS DOUBLE) AS av, 'certified' AS basis FROM seg WHERE tax_yr < 2001
@@ -179,10 +183,9 @@ def _series(t: Tables):
 @query("J33", f"""
 WITH RECURSIVE {PANEL_SQL}, {_SEG_SQL}, {MATCHED_SQL}, {_ANCHOR}, {_RATES_SQL}, {_COMPOUND_SQL},
 l AS (SELECT track AS g, tax_yr, CAST(v AS DOUBLE) AS av FROM seg WHERE tax_yr < 2001 UNION ALL SELECT c_mktsegment, tax_yr, cert_av FROM fc WHERE scenario = 'baseline')
-SELECT tax_yr, round(SUM(CASE WHEN g = 'BUILDING' THEN av END), 2) AS building, round(SUM(CASE WHEN g = 'MACHINERY' THEN av END), 2) AS machinery FROM l GROUP BY 1""")
+SELECT tax_yr, {", ".join(f"round(SUM(CASE WHEN g = '{g}' THEN av END), 2) AS {g.lower()}" for g in _WIDE)} FROM l GROUP BY 1""")
 def value_series_wide(t: Tables):
-    wide = rc.series_wide(_series(t), ["BUILDING", "MACHINERY"])
-    return wide.select(_Y, dbl("BUILDING", "building", 2), dbl("MACHINERY", "machinery", 2))
+    return rc.series_wide(_series(t), _WIDE).select(_Y, *[dbl(g, g.lower(), 2) for g in _WIDE])
 
 
 @query("J34", f"""

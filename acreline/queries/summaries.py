@@ -215,11 +215,14 @@ def error_metrics(t: Tables):
 SELECT o_orderpriority AS grp, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value, COUNT(*) AS n, 'open' AS source
 FROM orders WHERE o_orderstatus = 'O' GROUP BY 1
 UNION ALL SELECT o_orderpriority, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), COUNT(*), 'filled'
-FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
+UNION ALL SELECT o_orderpriority, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), COUNT(*), 'partial'
+FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 1""")
 def group_totals(t: Tables):
-    side = lambda s: t.orders.filter(F.col("o_orderstatus") == s).select(
-        F.col("o_orderpriority").alias("grp"), money("o_totalprice").alias("x"))
-    out = ag.group_totals({"open": side("O"), "filled": side("F")}, "grp", "x")
+    status = F.col("o_orderstatus")
+    side = lambda kept: t.orders.filter(kept).select(F.col("o_orderpriority").alias("grp"), money("o_totalprice").alias("x"))
+    out = ag.group_totals({"open": side(status == "O"), "filled": side(status == "F"),
+                           "partial": side(~status.isin("O", "F"))}, "grp", "x")
     return out.withColumn("value", F.col("value").cast("double"))
 
 
