@@ -114,43 +114,48 @@ def mode_of(df: DataFrame, keys, c: str, order: Sequence[str]) -> DataFrame:
         *keys, F.col("best.value").alias(c), (-F.col("best.neg")).alias("n"))
 
 
-def median_by(df: DataFrame, keys, c: str, out: str = "median",
-              large: bool = True, accuracy: int = 10_000) -> DataFrame:
+def median_by(df: DataFrame, keys, c: str, out: str = "median", large: bool = True,
+              accuracy: int = 10_000, slack: float = 3, ways: int = 32) -> DataFrame:
     """Exact interpolated median per group.
 
     With `large=False` this is `percentile`, which holds a group's distinct
     values in one task: right for groups that are small by construction, such as
     the years of one entity. Otherwise a quantile sketch, whose rank error is at
-    most 1 / `accuracy`, gives each group a bracket that holds its median; a second
-    pass counts the values below and keeps only those inside, where the exact rank
-    is found. The plan is the same for every size.
+    most 1 / `accuracy`, gives each group a bracket around its median, cut into `ways` ranges. A
+    second pass counts the values by range, and the values themselves only inside the bracket. The
+    ranges' counts say which of them holds the median, and only its values are ranked: no task
+    ranks a whole bracket. A median outside its bracket, which the sketch rules out, is an error.
+    The plan is the same for every size.
     """
     keys = _keys(keys)
     if not large:
         return df.groupBy(*keys).agg(F.expr(f"percentile(`{c}`, 0.5)").alias(out))
     values = df.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-    shares = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
-    sketch = F.percentile_approx("_v", shares, F.lit(accuracy)).alias("_bracket")
-    brackets = values.groupBy(*keys).agg(sketch)
-    if keys:
-        renamed = brackets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-        placed = values.join(renamed, match).drop(*[f"_of_{k}" for k in keys])
-    else:
-        placed = values.withColumn("_bracket", brackets.scalar())
-    low, high = F.col("_bracket")[0], F.col("_bracket")[1]
-    side = F.when(F.col("_v") < low, 0).when(F.col("_v") > high, 2).otherwise(1)
+    shares = [min(max(0.5 + slack / accuracy * (2 * i / ways - 1), 0.0), 1.0) for i in range(ways + 1)]
+    sketch = F.percentile_approx("_v", shares, F.lit(accuracy)).alias("_cuts")
+    cuts = values.groupBy(*keys).agg(sketch)
+    placed = _with_keys(values, cuts, keys) if keys else values.withColumn("_cuts", cuts.scalar())
+    low, high = F.get("_cuts", F.lit(0)), F.get("_cuts", F.lit(ways))
+    # Range 0 lies below the first cut, the last one above the last; what is inside falls between two cuts.
+    last = ways + 2
+    inside = F.size(F.filter("_cuts", lambda x: x <= F.col("_v")))
+    side = F.when(F.col("_v") < low, 0).when(F.col("_v") > high, last).otherwise(inside)
     # One row for all values below, one for all above, and one per value inside.
-    counts = (placed.withColumn("_side", side)
-              .withColumn("_v", F.when(F.col("_side") == 1, F.col("_v")))
-              .groupBy(*keys, "_side", "_v").agg(F.count(F.lit(1)).alias("_here")))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("_here").over(by.orderBy("_side", "_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_here").over(by)})
+    counts = (placed.withColumn("_range", side)
+              .withColumn("_v", F.when(F.col("_range").between(1, last - 1), F.col("_v")))
+              .groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_here")))
+    sizes = counts.groupBy(*keys, "_range").agg(F.sum("_here").alias("_size"))
+    # A few ranges per group.
+    group = Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_n": F.sum("_size").over(group),
+                               "_before": F.sum("_size").over(group.orderBy("_range")) - F.col("_size")})
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    held = sizes.filter((F.col("_before") < upper) & (F.col("_before") + F.col("_size") >= lower))
+    held = held.withColumn("_before", F.when(F.col("_range").isin(0, last), F.raise_error(
+        F.lit("the median lies outside its bracket; raise slack"))).otherwise(F.col("_before")))
+    upto = F.sum("_here").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    ranked = _with_keys(counts, held, [*keys, "_range"]).withColumn("_upto", F.col("_before") + upto)
     start = F.col("_upto") - F.col("_here")
 
     def holds(rank):
@@ -161,6 +166,80 @@ def median_by(df: DataFrame, keys, c: str, out: str = "median",
           + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(out))
 
 
+def _with_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their group's columns; NULL keys form a group."""
+    renamed = groups.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return df.join(renamed, match).drop(*[f"_of_{k}" for k in keys])
+
+
+def medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000, slack: float = 3,
+            most: int = 100_000) -> dict[str, float | None]:
+    """Exact interpolated medians of many columns at once; None where a column has no value.
+
+    One aggregate brackets all of them by a sketch. A second one counts what lies below and on the
+    ends of each bracket and brings the values between them, of which there are few. A column so
+    long that these would be more than `most` first has its bracket narrowed by a sketch of the
+    inside, one that was missed gets a wider one: each such round is one more aggregate for all
+    columns that are still open. Rows are never unpivoted.
+    """
+    value = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    found: dict[str, float | None] = {}
+
+    def around(share: float, width: float) -> list[float]:
+        return [min(max(share - width, 0.0), 1.0), min(max(share + width, 0.0), 1.0)]
+
+    def aggregate(aggs: Mapping[str, Column]) -> dict:
+        return df.agg(*[a.alias(f"m{i}") for i, a in enumerate(aggs.values())]).first().asDict(True)
+
+    open_ = {c: F.struct(F.count(v).alias("n"), F.percentile_approx(
+        v, around(0.5, slack / accuracy), F.lit(accuracy)).alias("ends")) for c, v in value.items()}
+    rows = dict(zip(open_, aggregate(open_).values())) if open_ else {}
+    state = {c: (r["n"], *r["ends"]) for c, r in rows.items() if r["n"]}
+    found |= {c: None for c, r in rows.items() if not r["n"]}
+    # How many values a bracket may hold, by what the sketch promises.
+    expected = {c: 2 * (slack + 1) / accuracy * n for c, (n, _, _) in state.items()}
+    widen, room = slack, 1000 // accuracy + 1
+    while state:
+        aggs = {}
+        for c, (n, low, high) in state.items():
+            v = value[c]
+            within = F.when((v > low) & (v < high), v)
+            inner = (F.collect_list(within) if expected[c] <= most
+                     else F.percentile_approx(within, [i / 1000 for i in range(1001)], F.lit(accuracy)))
+            aggs[c] = F.struct(F.count_if(v < low).alias("below"), F.count_if(v == low).alias("low"),
+                               F.count(within).alias("inside"), F.count_if(v == high).alias("high"), inner.alias("values"))
+        again = {}
+        for (c, (n, low, high)), r in zip(state.items(), aggregate(aggs).values()):
+            ranks = ((n + 1) // 2, n // 2 + 1)
+            start, end = r["below"] + r["low"], r["below"] + r["low"] + r["inside"]
+            last = end + (r["high"] if high > low else 0)
+            if ranks[0] <= r["below"] or ranks[1] > last:  # missed: everything but the far ends
+                widen = 10 * max(widen, 1)
+                share = min(widen / accuracy, 0.5)
+                ends = df.agg(F.percentile_approx(value[c], around(0.5, share), F.lit(accuracy))).first()[0]
+                again[c], expected[c] = (n, *ends), 2 * share * n
+                continue
+            def at(rank):
+                if rank <= start:
+                    return low
+                return sorted(r["values"])[rank - start - 1] if rank <= end else high
+            if expected[c] <= most or not any(start < k <= end for k in ranks):
+                found[c] = (at(ranks[0]) + at(ranks[1])) / 2
+                continue
+            # Narrow by the inside's own quantiles, with room for the sketch's error on either side.
+            first, final = (int((k - start) / r["inside"] * 1000) for k in ranks)
+            ends = (r["values"][first - room] if first >= room else low,
+                    r["values"][final + 1 + room] if final + 1 + room <= 1000 else high)
+            again[c] = (n, *ends)
+            # A bracket that does not shrink is brought whole.
+            expected[c] = r["inside"] * (2 * room + 2) / 1000 if ends != (low, high) else 0
+        state = again
+    return {c: found[c] for c in cols}
+
+
 def dominant(df: DataFrame, keys, cat: str, weight: str, min_share: float = 0.5) -> DataFrame:
     """Category with the largest weight per group if its share is large enough."""
     keys = _keys(keys)

@@ -1,11 +1,12 @@
 """Data-quality checks. Each returns the offending rows.
 
-`strict=True` raises instead when there is one; it asks for a single row only.
+No check starts a job. With `strict=True` the returned frame has no rows, or fails the action that
+runs it; `guarded` lets checks ride along with the write of the data they are about.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,24 @@ from acreline.operators.windows import growth
 
 
 def _report(bad: DataFrame, strict: bool, message: str) -> DataFrame:
-    if strict and not bad.limit(1).isEmpty():
-        raise ValueError(message)
-    return bad
+    if not strict:
+        return bad
+    error = F.raise_error(F.lit(message)).cast("boolean")
+    # One row is enough, and no filter is moved below a limit, where other rows would meet it.
+    first = F.col(f"`{bad.columns[0]}`")
+    return bad.limit(1).filter(F.when(first.isNull() | first.isNotNull(), error))
+
+
+def guarded(df: DataFrame, checks: Mapping[str, DataFrame]) -> DataFrame:
+    """`df`, whose evaluation fails with a check's name if that check has an offending row.
+
+    Each check is asked for one row, within the action that writes or reads `df`. An empty `df` asks none.
+    """
+    out = df
+    for name, bad in checks.items():
+        found = bad.limit(1).agg(F.count(F.lit(1))).scalar()
+        out = out.filter(F.when(found > 0, F.raise_error(F.lit(name)).cast("boolean")).otherwise(F.lit(True)))
+    return out
 
 
 def check_tie(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right: str,

@@ -63,12 +63,17 @@ def decode_many(df: DataFrame, lookup: DataFrame, types: Mapping[str, int],
 # -- keyed joins -------------------------------------------------------------
 
 def left_join_unique(left: DataFrame, right: DataFrame, on, validate: bool = True) -> DataFrame:
-    """Left join that refuses a right side with repeated keys."""
+    """Left join that refuses a right side with repeated keys.
+
+    The check is part of the plan and fails the action that runs it: keys are counted where the join
+    has brought them together anyway. NULL keys never match and are not counted.
+    """
     on = _as_list(on)
     if validate:
-        repeated = right.groupBy(*on).count().filter("count > 1").limit(1)
-        if not repeated.isEmpty():
-            raise ValueError(f"right side has repeated keys on {on}")
+        times = F.count(F.lit(1)).over(Window.partitionBy(*on))
+        error = F.raise_error(F.lit(f"right side has repeated keys on {on}")).cast("boolean")
+        right = (right.dropna(subset=on).withColumn("_times", times)
+                 .filter(F.when(F.col("_times") > 1, error).otherwise(F.lit(True))).drop("_times"))
     return left.join(right, on, "left")
 
 

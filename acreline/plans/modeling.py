@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from acreline.functions import codes
 from acreline.functions.cleaning import log_pos
 from acreline.functions.labels import first_match
-from acreline.operators.aggregates import error_metrics, median_by
+from acreline.operators.aggregates import error_metrics, medians
 from acreline.operators.filters import drop_like, drop_null
 from acreline.operators.joins import attach_drivers, expand_snapshot
 from acreline.operators.sets import stack
@@ -165,7 +165,8 @@ def subgroup_frames(panel: DataFrame, features: Sequence[str], key: str = KEY,
     """Delta and level frames for land and improvements of one subgroup.
 
     Wild changes (|dlog| above `cap`) are trimmed, features need enough known and
-    more than one distinct value, and frames with too few rows are skipped.
+    more than one distinct value, and frames with too few rows are skipped. The lagged rows are kept;
+    one aggregate over them gives the features' statistics and all sizes, and the frames are filters.
     """
     w = Window.partitionBy(key).orderBy(year)
     logs = {"land": log_pos("appr_land_val"), "impr": log_pos("appr_imps_val")}
@@ -176,26 +177,28 @@ def subgroup_frames(panel: DataFrame, features: Sequence[str], key: str = KEY,
                              for k, c in lags.items() for n in (1, 2)})
     base = base.withColumns({f"dlog_{k}": F.col(f"log_{k}") - F.col(f"{c}_lag1")
                              for k, c in lags.items()})
+    # Statistics, sizes and frames all read these rows, so they are computed once.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = {}
     for k in logs:
         wanted[f"{k}_delta"] = (f"dlog_{k}", F.abs(f"dlog_{k}") <= cap)
         wanted[f"{k}_level"] = (f"log_{k}", F.col(f"log_{k}").isNotNull())
     lagged = [*features, *[f"{c}_lag{n}" for c in lags.values() for n in (1, 2)]]
-    used = kept_features(screen_features(base, lagged, max_null=1.0, min_known=min_known))
-    sizes = base.agg(*[F.sum(F.coalesce(mask, F.lit(False)).cast("int")).alias(n)
-                       for n, (_, mask) in wanted.items()]).first().asDict()
+    value = {c: F.col(c).cast("double") for c in lagged}
+    row = base.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"_of_{c}")
+                     for c, v in value.items()],
+                   *[F.count_if(mask).alias(f"_rows_{n}") for n, (_, mask) in wanted.items()]).first().asDict(True)
+    known = {c: row[f"_of_{c}"] for c in lagged}
+    used = sorted(c for c, s in known.items() if s["n"] >= max(min_known, 1) and s["lo"] != s["hi"])
     return {n: (base.filter(mask).select(key, year, target, *used), used)
-            for n, (target, mask) in wanted.items() if (sizes[n] or 0) > min_rows}
+            for n, (target, mask) in wanted.items() if row[f"_rows_{n}"] > min_rows}
 
 
 # -- imputing and levels -----------------------------------------------------
 
 def fit_imputer(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
-    """Exact training medians of the numeric features."""
-    long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
-        [], list(numeric), "feature", "value")
-    return {r[0]: r[1] for r in median_by(long, "feature", "value").collect()
-            if r[1] is not None}
+    """Exact training medians of the numeric features; none for a feature without values."""
+    return {c: m for c, m in medians(train, numeric).items() if m is not None}
 
 
 def apply_imputer(df: DataFrame, medians: Mapping[str, float],

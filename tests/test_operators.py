@@ -19,6 +19,17 @@ def skewed(spark):
     return spark.range(6000).select(k.alias("k"), F.col("id").alias("n"), v.alias("v")).cache()
 
 
+def job_count(spark, action):
+    """How many jobs an action starts."""
+    group = f"count-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
 @pytest.mark.parametrize("fn", ["sum", "max", "min", "last", "first"])
 def test_chunked_scan_equals_window(skewed, fn):
     spec = {"out": (fn, "v")}
@@ -46,6 +57,53 @@ def test_median_is_exact_on_skewed_groups(skewed, accuracy):
     assert whole == statistics.median([x for g in groups.values() for x in g])
 
 
+def test_a_missed_bracket_is_an_error_and_no_rank_is_in_one_task(spark, skewed):
+    # Without slack and with a coarse sketch the bracket is one value, beside the median.
+    uneven = spark.range(4001).select((F.col("id") * F.col("id")).alias("v"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        for accuracy in (3, 5, 7, 9):
+            ag.median_by(uneven, [], "v", accuracy=accuracy, slack=0).collect()
+    plan = ag.median_by(skewed, [], "v")._jdf.queryExecution().executedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "Window " in line and "_here" in line and "_v" in line]
+    assert ranks and all("[_range" in line.split("windowspecdefinition(")[1][:30] or "_range" in line for line in ranks)
+
+
+def columns_of(spark, rows):
+    """Fifty columns: ties, gaps, one value, none, skew."""
+    x = F.xxhash64("id", F.lit(1)) % 1000
+    cols = [F.when(x % (k + 1) > 0, (x * (k + 3)) % (7 * k + 11)).cast("double").alias(f"c{k}") for k in range(46)]
+    return spark.range(rows).select(*cols, F.lit(None).cast("int").alias("none"), F.lit(5).alias("one"),
+                                    F.when(F.col("id") == 3, 1.5).alias("single"), F.exp(x / 10.0).alias("steep"))
+
+
+@pytest.mark.parametrize("options", [{}, {"accuracy": 50}, {"accuracy": 100, "most": 20}, {"accuracy": 50, "slack": 0, "most": 20}])
+def test_medians_of_fifty_columns(spark, options):
+    df = columns_of(spark, 701).coalesce(1).cache()
+    got = ag.medians(df, df.columns, **options)
+    for c in df.columns:
+        known = [r[0] for r in df.select(c).dropna().collect()]
+        assert got[c] == (statistics.median(known) if known else None), c
+    df.unpersist()
+
+
+def test_medians_take_two_aggregates_and_no_unpivot(spark):
+    df = columns_of(spark, 2000).repartition(3)
+    plans = []
+    whole = type(df).agg
+
+    def seen(self, *aggs):
+        out = whole(self, *aggs)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    type(df).agg = seen
+    try:
+        assert len(ag.medians(df, df.columns)) == 50
+    finally:
+        type(df).agg = whole
+    assert len(plans) == 2 and not any(x in p for p in plans for x in ("Expand", "Generate", "Join"))
+
+
 def test_years_since_with_and_without_chunks(skewed):
     flagged = skewed.withColumn("flag", (F.col("v") > 900).cast("int"))
     a = wn.years_since(flagged, "k", "n", "flag").select("n", "years_since").collect()
@@ -105,8 +163,12 @@ def test_update_overwrites_with_null_and_fill_does_not(spark):
 def test_left_join_unique_rejects_repeated_keys(spark):
     left = spark.createDataFrame([(1,)], "k int")
     right = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    with pytest.raises(ValueError):
-        j.left_join_unique(left, right, "k")
+    jobs = job_count(spark, lambda: j.left_join_unique(left, right, "k"))
+    assert jobs == 0  # the check is part of the plan
+    with pytest.raises(Exception, match="repeated keys"):
+        j.left_join_unique(left, right, "k").collect()
+    many = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "k int, v string")
+    assert [r["v"] for r in j.left_join_unique(left, many, "k").collect()] == ["c"]
 
 
 def test_ambiguous_keys_are_not_matched(spark):
@@ -154,6 +216,21 @@ def test_overlap_and_stack(spark):
 def test_strict_checks_raise(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     assert ck.check_unique(df, ["k"]).collect()[0]["n"] == 2
-    with pytest.raises(ValueError):
-        ck.check_unique(df, ["k"], strict=True)
+    assert job_count(spark, lambda: ck.check_unique(df, ["k"], strict=True)) == 0
+    with pytest.raises(Exception, match="duplicate keys"):
+        ck.check_unique(df, ["k"], strict=True).collect()
     assert ck.check_unique(df.distinct(), ["k"], strict=True).isEmpty()
+
+
+def test_checks_ride_along_with_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v double")
+    checks = lambda d: {"keys repeat": ck.check_unique(d, ["k"]), "v is unknown": d.filter("v IS NULL")}
+    good = df.dropna()
+    assert job_count(spark, lambda: ck.guarded(good, checks(good))) == 0
+    ck.guarded(good, checks(good)).write.parquet(str(tmp_path / "good"))
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
+    with pytest.raises(Exception, match="v is unknown"):
+        ck.guarded(df, checks(df)).write.parquet(str(tmp_path / "bad"))
+    twice = good.union(good)
+    with pytest.raises(Exception, match="keys repeat"):
+        ck.guarded(twice, checks(twice)).collect()
