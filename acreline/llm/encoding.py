@@ -22,7 +22,7 @@ KEEP_WORDS = 400_000
 #: Text is taken in portions of about so many bytes.
 PORTION_BYTES = 4 << 20
 #: Short texts are encoded together up to so many bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
 
 # ASCII punctuation but the apostrophe. After a letter the tokenizer's own pattern always cuts
 # before a run of these, so a word's letters and its tail are encoded apart.
@@ -134,7 +134,7 @@ class WordEncoder:
         return [w if any(a in low for a in self._added) else low
                 for w, low in zip(text.split(), lower.split())]
 
-    def texts(self, texts: list[bytes | None]) -> Iterator[Iterator[bytes]]:
+    def texts(self, texts: list[bytes | None], group_bytes: int = GROUP_BYTES) -> Iterator[Iterator[bytes]]:
         """For each text the ids of its portions; several short texts share one call."""
         group, size = [], 0
         for text in texts:
@@ -145,7 +145,7 @@ class WordEncoder:
                 continue
             group.append(text)
             size += len(text or b"")
-            if size >= GROUP_BYTES:
+            if size >= group_bytes:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)

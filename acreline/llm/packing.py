@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreline.llm.common import exclusive_sum, shuffle_partitions, stored
-from acreline.llm.encoding import encoder, read_tokenizer
+from acreline.llm.encoding import GROUP_BYTES, encoder, read_tokenizer
 
 #: Third lengths tried with each first length when triples are enumerated. Others are left
 #: to the pass over residuals, which takes all lengths.
@@ -31,7 +31,8 @@ NNLS_ROUNDS = 300
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
-               id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+               group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pieces of at most `window` ids: (id, start, length, ids_crc32, doc_tokens[, ids]).
 
     A NULL or empty text is the end id alone.
@@ -45,7 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, parts in enumerate(encode.texts(texts)):
+            for i, parts in enumerate(encode.texts(texts, group_bytes)):
                 raw = b"".join([*parts, end])
                 for at in range(0, len(raw), step):
                     piece = raw[at:at + step]
@@ -155,16 +156,18 @@ def _places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.n
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+         group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     Every id lies in exactly one piece; the pieces of a sequence are gapless from offset 0
     and hold at most `window` ids. NULL and empty texts are packed as their end id. Repeated
     rows are packed once each; NULL ids stay NULL. No rows in: no rows out. Other columns are
-    not read. `with_ids` carries the ids themselves (see `sequences`).
+    not read. `with_ids` carries the ids themselves (see `sequences`). Texts are encoded `group_bytes`
+    at a time: fewer bytes need less memory and more time.
     """
     spark = docs.sparkSession
-    pieces = stored(cut_pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids))
+    pieces = stored(cut_pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids, group_bytes))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").agg(F.count("*")).collect():
         histogram[length] = n

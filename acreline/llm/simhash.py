@@ -59,13 +59,13 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def signature(text: bytes | None, width: int, words: int) -> list[int]:
-    """`words` independent 64-bit SimHashes of the set of shingles, from remixed hashes."""
+    """`words` independent 64-bit SimHashes of the set of shingles, from remixed hashes, then its size."""
     hashes, out = np.unique(shingle_hashes(text, width)), []
     for k in range(words):
         mixed = (hashes ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         out.append(majority(mixed ^ (mixed >> np.uint64(29))))
-    return out
+    return [*out, len(hashes)]
 
 
 def simhash(docs: DataFrame, width: int = 5, id_col: str = "doc_id",
@@ -176,12 +176,12 @@ TABLE_BITS = 32
 
 
 def signatures(docs: DataFrame, width: int, tables: int, text_col: str) -> DataFrame:
-    """(h, s): a hash of every distinct text and its signature, two tables in each number."""
-    numbers = [f"s{i}" for i in range(tables // 2)]
+    """(h, s, n): a hash of every distinct text, its signature, two tables in each number, and its shingles."""
+    numbers = [*[f"s{i}" for i in range(tables // 2)], "n"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([signature(t.as_py(), width, len(numbers))
+            found = np.array([signature(t.as_py(), width, tables // 2)
                               for t in batch.column(1).cast(pa.binary())], dtype="<u8").view("<i8")
             found = found.reshape(-1, len(numbers))
             yield pa.RecordBatch.from_arrays(
@@ -191,7 +191,20 @@ def signatures(docs: DataFrame, width: int, tables: int, text_col: str) -> DataF
     rows = docs.select(text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
     each = rows.mapInArrow(hashed, ", ".join(["h long", *(f"{n} long" for n in numbers)]))
     return (each.groupBy("h").agg(*[F.first(n).alias(n) for n in numbers])
-            .select("h", F.array(*numbers).alias("s")))
+            .select("h", F.array(*numbers[:-1]).alias("s"), "n"))
+
+
+def may_be_alike(similarity: float, tables: int, a: str, b: str) -> Column:
+    """Whether texts (s_a, n_a) and (s_b, n_b) can reach the similarity.
+
+    Set sizes further apart than it allows rule it out; so do signatures that differ in more than the mean
+    share of bits at the similarity and three deviations.
+    """
+    differ = F.aggregate(F.zip_with(f"s_{a}", f"s_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda total, x: total + x)
+    angle, bits = acos(2 * similarity / (1 + similarity)) / pi, TABLE_BITS * tables
+    sizes = F.least(f"n_{a}", f"n_{b}") >= similarity * F.greatest(f"n_{a}", f"n_{b}")
+    return sizes & (differ <= angle * bits + 3 * sqrt(angle * (1 - angle) * bits))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -239,9 +252,10 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     least = F.min("n").over(bucket)
     met = (buckets.join(heads.select("key", "n"), "key")
            .select(least.alias("a"), F.col("n").alias("b")).filter("a < b"))
-    edges = stored(alike(docs, sigs, same.union(met).distinct(), width, similarity, tables, text_col))
+    heads = screened(same.union(met).distinct(), sigs, similarity, tables)
+    edges = stored(alike(docs, heads, width, similarity, text_col))
     # The edges to a third text may have failed where two of a bucket are alike.
-    rest = alike(docs, sigs, apart(sigs, keys, buckets, components(edges)), width, similarity, tables, text_col)
+    rest = alike(docs, apart(sigs, keys, buckets, components(edges), similarity, tables), width, similarity, text_col)
     groups = components(edges.union(rest))
     return (sigs.join(groups, sigs["h"] == groups["node"], "left")
             .select("h", F.coalesce("root", "h").alias("root")))
@@ -253,14 +267,15 @@ def variants_of(key: str) -> Column:
     return F.transform(masks, lambda m: F.col(key).bitwiseXOR(m))
 
 
-def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: all texts that meet in a bucket but are in different groups by `roots`.
+def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame, similarity: float,
+          tables: int) -> DataFrame:
+    """(a, b), a < b: all texts that meet in a bucket, are in different groups by `roots` and may be alike.
 
     Buckets within one group are settled. In the others the pairs of keys are made first, each
-    once (a key has at most 528 others within 2 bits), then those of their texts.
+    once (a key has at most 528 others within 2 bits); their texts are screened where they meet.
     """
     rooted = stored(sigs.join(roots, sigs["h"] == roots["node"], "left")
-                    .select("h", F.coalesce("root", "h").alias("root")))
+                    .select("h", F.coalesce("root", "h").alias("root"), "s", "n"))
     texts = keys.join(rooted, "h").select("key", "h", "root")
     spans = stored(texts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
     variants = buckets.join(spans, "key").select("v", "key", "lo", "hi")
@@ -276,24 +291,23 @@ def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame
            .select("key_x", "key_y"))
     met = stored(met.union(spans.filter("lo < hi").select("key", "key")))
     wanted = met.select("key_x").union(met.select("key_y")).distinct().toDF("key")
-    texts = stored(texts.join(wanted, "key", "left_semi"))
-    x, y = (texts.select(F.col("key").alias(f"key_{side}"), F.col("h").alias(f"h_{side}"),
-                         F.col("root").alias(f"root_{side}")) for side in "xy")
-    pairs = met.join(x, "key_x").join(y, "key_y").filter("root_x != root_y")
+    texts = stored(texts.join(wanted, "key", "left_semi").join(rooted.select("h", "s", "n"), "h"))
+    x, y = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in texts.columns]) for side in "xy")
+    near = (F.col("_key_y") == F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & may_be_alike(similarity, tables, "x", "y")
+    pairs = met.withColumnRenamed("key_y", "_key_y").join(x, "key_x").join(y, near)
     return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
 
 
-def alike(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, width: int, similarity: float,
-          tables: int, text_col: str) -> DataFrame:
+def screened(pairs: DataFrame, sigs: DataFrame, similarity: float, tables: int) -> DataFrame:
+    """The pairs (a, b) that may be alike by their signatures and sizes."""
+    a, b = (sigs.select(*[F.col(c).alias(f"{c}_{side}") for c in ("h", "s", "n")]) for side in "ab")
+    return (pairs.join(a, F.col("a") == F.col("h_a"))
+            .join(b, (F.col("b") == F.col("h_b")) & may_be_alike(similarity, tables, "a", "b")).select("a", "b"))
+
+
+def alike(docs: DataFrame, near: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles reach the Jaccard similarity."""
-    bits = sigs.select(F.col("h").alias("_h"), F.col("s").alias("_s"))
-    both = (pairs.join(bits, F.col("a") == F.col("_h")).withColumnRenamed("_s", "s_a").drop("_h")
-            .join(bits, F.col("b") == F.col("_h")).withColumnRenamed("_s", "s_b").drop("_h"))
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                         F.lit(0), lambda a, x: a + x)
-    # The mean share of differing bits at the similarity asked for, and three deviations.
-    angle, bits = acos(2 * similarity / (1 + similarity)) / pi, TABLE_BITS * tables
-    near = stored(both.filter(differ <= angle * bits + 3 * sqrt(angle * (1 - angle) * bits)).select("a", "b"))
+    near = stored(near)
     sets = shingle_sets(docs, near.select("a").union(near.select("b")).distinct(), width, text_col)
     a, b = F.col("a_set"), F.col("b_set")
     both = F.size(F.array_intersect(a, b))
