@@ -7,15 +7,17 @@ no NULLs, so features are imputed first and predicted changes are clamped later.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from acreline.functions import codes
 from acreline.functions.cleaning import log_pos
@@ -255,75 +257,134 @@ _MODEL_SCHEMA = ("target string, numeric array<string>, categorical array<string
                  "medians map<string,double>, cv_rmse double, n_trees int")
 
 
-def _pipeline(numeric, categorical, target, trees, weight, step, depth, min_leaf) -> Pipeline:
-    indexed = [f"{c}_index" for c in categorical]
-    stages = [StringIndexer(inputCols=list(categorical), outputCols=indexed,
-                            handleInvalid="keep")] if categorical else []
-    assembler = VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features")
-    gbt = GBTRegressor(labelCol=target, maxIter=trees, stepSize=step, subsamplingRate=0.8,
-                       featureSubsetStrategy="0.8", seed=123, maxBins=256, maxDepth=depth,
-                       minInstancesPerNode=min_leaf)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[*stages, assembler, gbt])
+@dataclass(frozen=True)
+class _Boosting:
+    """Settings of the trees, and the steps before them."""
+
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
+    target: str
+    weight: str | None
+    step: float
+    depth: int
+    min_leaf: int
+    #: Trees that are added to an ensemble at once; the first of them is not shrunk by `step`.
+    chunk: int
+
+    def before(self, train: DataFrame) -> PipelineModel:
+        """Level codes and the feature vector."""
+        indexed = [f"{c}_index" for c in self.categorical]
+        stages = [StringIndexer(inputCols=list(self.categorical), outputCols=indexed,
+                                handleInvalid="keep")] if self.categorical else []
+        return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*self.numeric, *indexed],
+                                                         outputCol="features")]).fit(train)
+
+    def trees(self, n: int, out: str = "_part") -> GBTRegressor:
+        gbt = GBTRegressor(labelCol=_LEFT, predictionCol=out, maxIter=n, stepSize=self.step, subsamplingRate=0.8,
+                           featureSubsetStrategy="0.8", seed=123, maxBins=256, maxDepth=self.depth,
+                           minInstancesPerNode=self.min_leaf)
+        return gbt.setWeightCol(self.weight) if self.weight else gbt
 
+    def ready(self, before: PipelineModel, rows: DataFrame) -> DataFrame:
+        """Features, weight and what is left to explain: at first the target itself."""
+        cols = ["features", F.col(self.target).cast("double").alias(_LEFT)]
+        return before.transform(rows).select(*cols, *([self.weight] if self.weight else []))
 
-def _best_size(train: DataFrame, later: DataFrame, make: Callable[[int], Pipeline],
-               target: str, patience: int, max_trees: int) -> tuple[int, float]:
+
+_LEFT = "_left"  # the residual that the next trees are fitted to
+
+
+def _explained(rows: DataFrame, booster) -> DataFrame:
+    """The residuals after a booster's trees, kept for the next ones."""
+    after = booster.transform(rows)
+    return (after.withColumn(_LEFT, F.col(_LEFT) - F.col(booster.getPredictionCol())).select(*rows.columns)
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _best_size(train: DataFrame, later: DataFrame, boosting: _Boosting, patience: int,
+               max_trees: int) -> tuple[int, float]:
     """Trees with the least squared error on the later rows, and the root of that error.
 
-    The fit is long enough when `patience` trees after the best one bring nothing; else it
-    is made twice as long.
+    The ensemble grows by a chunk of trees fitted to the residuals of those before, so no tree is
+    fitted twice; it is long enough when `patience` trees after the best one bring nothing.
     """
-    trees = min(max_trees, 2 * patience)
+    before = boosting.before(train)
+    left, ahead = (boosting.ready(before, rows).persist(StorageLevel.MEMORY_AND_DISK) for rows in (train, later))
+    errors: list[float] = []
     while True:
-        fitted = make(trees).fit(train)
-        *before, booster = fitted.stages
-        for stage in before:
-            later_features = stage.transform(later if stage is before[0] else later_features)
-        errors = booster.evaluateEachIteration(later_features, "squared")
+        booster = boosting.trees(min(boosting.chunk, max_trees - len(errors))).fit(left)
+        errors += booster.evaluateEachIteration(ahead, "squared")
         best = min(range(len(errors)), key=errors.__getitem__)
-        if best + 1 + patience <= trees or trees >= max_trees:
+        enough = best + 1 + patience <= len(errors) or len(errors) >= max_trees
+        grown = None if enough else [_explained(rows, booster) for rows in (left, ahead)]
+        if enough:
+            left.unpersist()
+            ahead.unpersist()
             return best + 1, errors[best] ** 0.5
-        trees = min(max_trees, 2 * trees)
+        for row in grown:
+            row.count()  # before the rows they come from are let go
+        left.unpersist()
+        ahead.unpersist()
+        left, ahead = grown
+
+
+def _fit_trees(rows: DataFrame, boosting: _Boosting, trees: int) -> PipelineModel:
+    """A pipeline of `trees` trees, grown by the same chunks as in the search for their number."""
+    before = boosting.before(rows)
+    left, parts = boosting.ready(before, rows).persist(StorageLevel.MEMORY_AND_DISK), []
+    while trees > 0:
+        parts.append(boosting.trees(min(boosting.chunk, trees), f"_part{len(parts)}").fit(left))
+        trees -= boosting.chunk
+        if trees > 0:
+            grown = _explained(left, parts[-1])
+            grown.count()
+            left.unpersist()
+            left = grown
+    left.unpersist()
+    total = " + ".join(f"_part{i}" for i in range(len(parts)))
+    return PipelineModel([*before.stages, *parts,
+                          SQLTransformer(statement=f"SELECT *, {total} AS prediction FROM __THIS__")])
 
 
 def fit_model(frame: DataFrame, target: str, numeric: Sequence[str],
               categorical: Sequence[str] = (), folds: Sequence[int] = (), year: str = YEAR,
               max_trees: int = 2000, patience: int = 50, step: float = 0.05, depth: int = 6,
-              min_leaf: int = 50, weight: str | None = None) -> FittedModel:
+              min_leaf: int = 50, weight: str | None = None, parallelism: int = 5) -> FittedModel:
     """Cross-validated size, then one fit of the mean size on all rows.
 
     `folds` are cut years: each fold trains up to its cut, medians and levels included, and
     takes the size with the least error on the later years, sought until `patience` further
-    trees bring nothing. Without folds the size is `max_trees`.
+    trees bring nothing. Without folds the size is `max_trees`. Up to `parallelism` folds are
+    searched at the same time; they share nothing but the frame.
     """
     categorical = tuple(categorical)
     # Every fold and every tree reads the frame again, so it is kept while fitting.
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    scores, sizes = [], []
-    for cut in folds:
+
+    def settings(known: Sequence[str]) -> _Boosting:
+        return _Boosting(tuple(known), categorical, target, weight, step, depth, min_leaf,
+                         max(20, patience + patience // 5))
+
+    def search(cut: int) -> tuple[int, float] | None:
         early, late = (frame.filter(c) for c in (F.col(year) <= cut, F.col(year) > cut))
-        medians = fit_imputer(early, numeric)
-        known = [c for c in numeric if c in medians]
+        medians_ = fit_imputer(early, numeric)
+        known = [c for c in numeric if c in medians_]
         if not known or late.isEmpty():
-            continue
-        train = apply_imputer(early, medians, categorical).persist(StorageLevel.MEMORY_AND_DISK)
-        size, error = _best_size(
-            train, apply_imputer(late, medians, categorical),
-            lambda n, known=known: _pipeline(known, categorical, target, n, weight, step, depth, min_leaf),
-            target, patience, max_trees)
-        train.unpersist()
-        sizes.append(size)
-        scores.append(error)
-    medians = fit_imputer(frame, numeric)
-    known = tuple(c for c in numeric if c in medians)
-    trees = max(1, round(sum(sizes) / len(sizes))) if sizes else max_trees
-    final = _pipeline(known, categorical, target, trees, weight, step, depth, min_leaf).fit(
-        apply_imputer(frame, medians, categorical))
+            return None
+        return _best_size(apply_imputer(early, medians_, categorical), apply_imputer(late, medians_, categorical),
+                          settings(known), patience, max_trees)
+
+    found = []
+    if folds:
+        with ThreadPoolExecutor(min(parallelism, len(folds))) as pool:
+            found = [r for r in pool.map(inheritable_thread_target(frame.sparkSession)(search), folds) if r]
+    medians_ = fit_imputer(frame, numeric)
+    known = tuple(c for c in numeric if c in medians_)
+    trees = max(1, round(sum(n for n, _ in found) / len(found))) if found else max_trees
+    final = _fit_trees(apply_imputer(frame, medians_, categorical), settings(known), trees)
     frame.unpersist()
-    return FittedModel(final, target, known, categorical, medians,
-                       sum(scores) / len(scores) if scores else None, trees)
+    return FittedModel(final, target, known, categorical, medians_,
+                       sum(e for _, e in found) / len(found) if found else None, trees)
 
 
 def fit_delta_level(frames: Mapping[str, tuple[DataFrame, Sequence[str]]],
@@ -349,7 +410,8 @@ def score(df: DataFrame, model: FittedModel, out: str = "prediction",
     base = df.withColumns({f"_keep_{c}": F.col(c) for c in model.numeric + model.categorical
                            if c in df.columns})
     ready = apply_imputer(base.withColumns(absent), model.medians, model.categorical)
-    scored = model.pipeline.transform(ready.drop("prediction", "features"))
+    scored = model.pipeline.transform(ready.drop("prediction", "features", *[
+        c for c in ready.columns if c.startswith("_part")]))
     restored = [F.col(f"_keep_{c}").alias(c) if f"_keep_{c}" in base.columns else F.col(c)
                 for c in keep]
     return scored.select(*restored, F.col("prediction").alias(out))
@@ -359,7 +421,10 @@ def importance_by_family(model: FittedModel, spark, families=codes.IMPORTANCE_FA
                          top: int = 5) -> tuple[DataFrame, DataFrame]:
     """Gain by feature family, and the top features of each family."""
     names = [*model.numeric, *model.categorical]
-    gains = model.pipeline.stages[-1].featureImportances.toArray()
+    # Parts of an ensemble weigh by their trees; together the gains are 1.
+    parts = [s for s in model.pipeline.stages if hasattr(s, "featureImportances")]
+    sizes = [p.getNumTrees for p in parts]
+    gains = sum(p.featureImportances.toArray() * n for p, n in zip(parts, sizes)) / sum(sizes)
     table = spark.createDataFrame(list(zip(names, map(float, gains))),
                                   "feature string, gain double")
     table = table.withColumn("family", first_match(

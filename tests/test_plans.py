@@ -224,6 +224,19 @@ def test_model_takes_as_many_trees_as_it_needs_and_survives_a_save(spark, tmp_pa
     assert both[0] == both[1]
 
 
+def test_an_ensemble_grows_in_chunks_until_it_needs_no_more(spark):
+    df = spark.range(1200).coalesce(1).select(
+        (F.col("id") % 4 + 2000).cast("int").alias("tax_yr"), (F.xxhash64("id") % 1000 / 100).alias("x"))
+    df = df.withColumn("y", F.sin(F.col("x") * 3) * 3 + F.col("x"))
+    grown = md.fit_model(df, "y", ["x"], folds=[2002], patience=20, depth=2, min_leaf=5, max_trees=120)
+    short = md.fit_model(df, "y", ["x"], folds=[2002], patience=20, depth=2, min_leaf=5, max_trees=10)
+    assert grown.n_trees > 100 and short.n_trees == 10 and grown.cv_rmse < 0.5 * short.cv_rmse
+    parts = [s for s in grown.pipeline.stages if hasattr(s, "featureImportances")]
+    assert sum(p.getNumTrees for p in parts) == grown.n_trees and len(parts) > 3
+    error = md.score(df, grown).agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0]
+    assert error < 1.2 * grown.cv_rmse
+
+
 def forecast_rows(spark, rows):
     return spark.createDataFrame(
         rows, "parcel_id string, tax_yr int, scenario string, appr_land_val double, appr_imps_val double, bump double")
