@@ -6,7 +6,7 @@ word falls by its ending into a tail bucket. Outputs are grouped into classes;
     P(word | context) = P(class | context) P(output | class, context) P(word | output),
 
 where the first two are softmaxes over weights summed from hashed context features (n-grams
-of the previous outputs and skips over them), and the last is 1 for a frequent word and the
+of the previous words and skips over them), and the last is 1 for a frequent word and the
 smoothed unigram share within its bucket otherwise, so the whole sums to 1. The weights start
 at the unigram model and are trained by distributed gradient updates: in each round every task
 takes a share of the training documents, starts from the broadcast weights, makes its updates
@@ -35,7 +35,7 @@ from acreline.llm.encoding import PORTION_BYTES, portions
 CLASSES = 16
 OUTPUTS = CLASSES * CLASSES
 TAILS = 96
-START = OUTPUTS  # stands before a text
+START = 0  # stands before a text; words follow from 1 on
 CLASS_ROWS = 1 << 14
 WORD_ROWS = 1 << 17
 FEATURES = 5
@@ -100,12 +100,13 @@ def start_weights(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return cls, word
 
 
-def features(outs: np.ndarray) -> np.ndarray:
+def features(words: np.ndarray) -> np.ndarray:
     """Hashed contexts (FEATURES x n) of each token of a padded run: constant, three skips, a bigram."""
-    a, b, c = (np.concatenate([np.full(k, START), outs[:-k]]).astype(np.uint64) for k in (1, 2, 3))
-    mixed = [np.zeros(len(outs), np.uint64)]
-    for kind, value in ((1, a), (2, b), (3, c), (4, a * np.uint64(OUTPUTS + 1) + b)):
-        h = (value + np.uint64(kind << 20)) * np.uint64(0x9E3779B97F4A7C15)
+    a, b, c = (np.concatenate([np.full(k, START), words[:-k]]).astype(np.uint64) for k in (1, 2, 3))
+    mixed = [np.zeros(len(words), np.uint64)]
+    for kind, value in ((1, a), (2, b), (3, c), (4, a * np.uint64(0xD6E8FEB86659FD93) + b)):
+        h = (value + (np.uint64(kind) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed.append((h >> np.uint64(20)) | np.uint64(1))
     return np.stack(mixed)
 
@@ -119,19 +120,28 @@ def _rows(mixed: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return in_class, in_word
 
 
-def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z = z + weights[r]
-    z = z - z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
+_ONES = np.ones((CLASSES, 1), "f4")
 
 
-def log_probabilities(weights, outs: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """log10 P(output | context) of the tokens at positions `real` of a padded run."""
-    mixed = features(outs)[:, real]
-    cls, word = np.divmod(outs[real], CLASSES)
+def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
+    # The maximum of each row by halves: a reduction along so short an axis costs far more.
+    top = z
+    while top.shape[1] > 1:
+        half = top.shape[1] // 2
+        top = np.maximum(top[:, :half], top[:, half:])
+    z -= top
+    np.exp(z, out=z)
+    z /= z @ _ONES
+    return z
+
+
+def log_probabilities(weights, outs: np.ndarray, words: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """log10 P(output | context) of tokens: `outs` at positions `real` of a padded run of words."""
+    mixed = features(words)[:, real]
+    cls, word = np.divmod(outs, CLASSES)
     at = np.arange(len(cls))
     in_class, in_word = _rows(mixed, cls)
     p = _softmax(weights[0], in_class)[at, cls] * _softmax(weights[1], in_word)[at, word]
@@ -145,20 +155,25 @@ class Trainer:
         self.weights = [w.copy() for w in weights]
         self.past = [np.full(len(w), 1.0, "f4") for w in weights]
 
-    def step(self, outs: np.ndarray, real: np.ndarray) -> None:
-        mixed = features(outs)[:, real]
-        cls, word = np.divmod(outs[real], CLASSES)
+    def step(self, outs: np.ndarray, words: np.ndarray, real: np.ndarray) -> None:
+        mixed = features(words)[:, real]
+        cls, word = np.divmod(outs, CLASSES)
         at = np.arange(len(cls))
         for k, (rows, target) in enumerate(zip(_rows(mixed, cls), (cls, word))):
-            g = -_softmax(self.weights[k], rows)
+            g = _softmax(self.weights[k], rows)
+            np.negative(g, out=g)
             g[at, target] += 1
-            for r in rows:
-                order = np.argsort(r, kind="stable")
-                first = np.flatnonzero(np.diff(r[order], prepend=-1))
-                total = np.add.reduceat(g[order], first, axis=0)
-                row = r[order][first]
-                self.past[k][row] += (total * total).sum(axis=1)
-                self.weights[k][row] += RATE * total / np.sqrt(self.past[k][row])[:, None]
+            # One sort brings the tokens of every weight row together, for all features at once.
+            flat = rows.astype(np.int32).ravel()
+            order = np.argsort(flat)
+            row, token = flat[order], order % len(cls)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            row = row[first]
+            total = np.add.reduceat(g.take(token, axis=0), first, axis=0)
+            past = self.past[k][row] + np.einsum("ij,ij->i", total, total)
+            self.past[k][row] = past
+            total *= (RATE / np.sqrt(past))[:, None]
+            self.weights[k][row] += total
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -215,14 +230,17 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, n, output, out_count, out_types, tokens, types)
 
 
-def _outputs(v: Vocabulary, index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known index or -1, outputs, positions of unknown words)."""
+def _outputs(v: Vocabulary, index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(known index or -1, outputs, numbers of the words as contexts, positions of unknown words)."""
     at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
     rare = np.flatnonzero(at < 0)
     outs = v.output[at] if len(v.output) else np.zeros(len(words), np.int64)
+    context = at + 1
     if len(rare):
         outs[rare] = [OUTPUTS - TAILS + bucket_of(words[i]) for i in rare.tolist()]
-    return at, outs, rare
+        # Words beyond the known ones are contexts by their own hash.
+        context[rare] = [(1 << 32) + zlib.crc32(words[i]) for i in rare.tolist()]
+    return at, outs, context, rare
 
 
 def _runs(texts: Iterator[bytes | None], most: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
@@ -245,13 +263,13 @@ def _runs(texts: Iterator[bytes | None], most: int) -> Iterator[tuple[list[bytes
         yield words, pieces
 
 
-def _padded(outs: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Outputs with three starts after each end, after the three outputs `before`."""
+def _padded(words: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with three starts after each end, after the three words `before`."""
     shift = np.concatenate([[0], np.cumsum(ends)[:-1]]) * 3 + 3
-    real = np.arange(len(outs)) + shift
-    run = np.full(len(outs) + 3 * int(ends.sum()) + 3, START)
+    real = np.arange(len(words)) + shift
+    run = np.full(len(words) + 3 * int(ends.sum()) + 3, START, np.int64)
     run[:3] = before
-    run[real] = outs
+    run[real] = words
     return run, real
 
 
@@ -278,12 +296,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, r
             for batch in batches:
                 column = (t.as_py() for t in batch.column(0).cast(pa.binary()))
                 for words, _ in _runs(column, BATCH_TOKENS):
-                    _, outs, _ = _outputs(v, index, words)
-                    ends = np.fromiter((w == END for w in words), bool, len(words))
+                    at, outs, context, _ = _outputs(v, index, words)
+                    ends = at == index.get(END, -2)  # one of the known words: every text has one
                     for lo in range(0, len(words), BATCH_TOKENS):
                         part = slice(lo, lo + BATCH_TOKENS)
-                        run, real = _padded(outs[part], ends[part], before)
-                        trainer.step(run, real)
+                        run, real = _padded(context[part], ends[part], before)
+                        trainer.step(outs[part], run, real)
                         before = run[-3:]
                     tokens += len(words)
             if tokens:
@@ -351,7 +369,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             before = np.full(3, START)
             texts = (t.as_py() for t in batch.column(2).cast(pa.binary()))
             for words, pieces in _runs(texts, SCORED_TOKENS):
-                at, outs, rare = _outputs(v, index, words)
+                at, outs, context, rare = _outputs(v, index, words)
                 ends = np.zeros(len(words), bool)
                 doc = np.repeat([p[0] if p[0] >= 0 else -1 - p[0] for p in pieces], [p[1] for p in pieces])
                 last = np.cumsum([p[1] for p in pieces]) - 1
@@ -359,8 +377,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
                 logs = np.empty(len(words))
                 for lo in range(0, len(words), SCORED_TOKENS):
                     part = slice(lo, lo + SCORED_TOKENS)
-                    run, real = _padded(outs[part], ends[part], before)
-                    logs[part] = log_probabilities(weights, run, real)
+                    run, real = _padded(context[part], ends[part], before)
+                    logs[part] = log_probabilities(weights, outs[part], run, real)
                     before = run[-3:]
                 seen = at >= 0
                 plain = np.zeros(len(words))

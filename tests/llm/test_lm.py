@@ -55,11 +55,10 @@ def test_probabilities_sum_to_one(spark, documents):
     counts = lm.count_words(documents.select("text"))
     v = lm.learn_vocabulary(counts)
     weights = lm.train(documents, v, "doc_id", "text", rounds=1)
-    context = np.array([lm.START] * 3 + [3, 9])
+    context = np.array([lm.START] * 3 + [3, 9, 0])
     total = 0.0
     for o in range(lm.OUTPUTS):
-        run = np.concatenate([context, [o]])
-        total += 10 ** lm.log_probabilities(weights, run, np.array([5]))[0]
+        total += 10 ** lm.log_probabilities(weights, np.array([o]), context, np.array([5]))[0]
     assert abs(total - 1) < 1e-4
     # Within a bucket: its words and one unseen word.
     for b in range(lm.TAILS):
@@ -68,6 +67,34 @@ def test_probabilities_sum_to_one(spark, documents):
         assert abs((10 ** own).sum() + 10 ** unseen - 1) < 1e-9
 
 
+def test_one_step_is_the_gradient_of_the_definition():
+    """A batch in plain Python: softmax by class and within it, summed gradients, shrinking steps."""
+    rng = np.random.default_rng(4)
+    outs, words = rng.integers(0, lm.OUTPUTS, 30), rng.integers(1, 9, 33)
+    real = np.arange(3, 33)
+    start = (rng.normal(size=(lm.CLASS_ROWS, lm.CLASSES)).astype("f4"), rng.normal(size=(lm.WORD_ROWS, lm.CLASSES)).astype("f4"))
+    trainer = lm.Trainer(start)
+    trainer.step(outs, words, real)
+    cls, word = outs // lm.CLASSES, outs % lm.CLASSES
+    logs = lm.log_probabilities(start, outs, words, real)
+    for k, (rows, target) in enumerate(zip(lm._rows(lm.features(words)[:, real], cls), (cls, word))):
+        sums, p = {}, []
+        for t in range(30):
+            z = start[k][rows[:, t]].astype(float).sum(axis=0)
+            e = np.exp(z - z.max())
+            p.append(e / e.sum())
+            g = -p[-1]
+            g[target[t]] += 1
+            for r in rows[:, t].tolist():
+                sums[r] = sums.get(r, 0) + g
+        want = start[k].astype(float).copy()
+        for r, g in sums.items():
+            want[r] += lm.RATE * g / np.sqrt(1 + (g * g).sum())
+        np.testing.assert_allclose(trainer.weights[k], want, atol=2e-5)
+        logs -= np.log10([p[t][target[t]] for t in range(30)])
+    np.testing.assert_allclose(logs, 0, atol=1e-5)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     got = lm.score(awkward).collect()
