@@ -27,6 +27,7 @@ from acreline.operators.filters import drop_like, drop_null
 from acreline.operators.joins import attach_drivers, expand_snapshot
 from acreline.operators.sets import stack
 from acreline.operators.windows import fill_both, growth, last_row, top_n
+from acreline.sources.published import current, publish
 
 KEY, YEAR = "parcel_id", "tax_yr"
 
@@ -246,6 +247,18 @@ class FittedModel:
         spark.createDataFrame([row], _MODEL_SCHEMA).write.mode("overwrite").parquet(f"{path}/model")
         return path
 
+    def publish(self, root: str) -> str:
+        """Save as the newest version below `root`."""
+        return publish(SparkSession.active(), root, self.save).path
+
+    @staticmethod
+    def latest(root: str) -> FittedModel:
+        """The version that was published last."""
+        version = current(SparkSession.active(), root)
+        if version is None:
+            raise ValueError(f"no model is published below {root}")
+        return FittedModel.load(version.path)
+
     @staticmethod
     def load(path: str) -> FittedModel:
         row = SparkSession.active().read.parquet(f"{path}/model").first()

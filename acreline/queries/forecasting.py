@@ -12,6 +12,7 @@ from acreline.plans import reconcile as rc
 from acreline.queries.base import (GRID_SQL, PANEL_SQL, PARTS_SQL, Tables, dbl, grid, money, panel,
                                    parts, query, sql_codes)
 from acreline.queries.reconciling import with_segment
+from acreline.sources.extracts import run_path
 
 _K, _Y = "parcel_id", "tax_yr"
 
@@ -489,7 +490,11 @@ def sequential_forecast_with_models(t: Tables):
     usable = {n: (df, [c for c in cols if "delta" in n or "_lag" not in c])
               for n, (df, cols) in frames.items()}
     cuts = [r["cut_yr"] for r in md.rolling_year_folds(panel_.filter(F.col(_Y) <= 2001)).collect()]
-    models = md.fit_delta_level(usable, targets, folds=cuts)
+    # The forecast reads the models that the training published.
+    root = run_path(t.spark, "models")
+    for name, model in md.fit_delta_level(usable, targets, folds=cuts).items():
+        model.publish(f"{root}/{name}")
+    models = {name: md.FittedModel.latest(f"{root}/{name}") for name in usable}
     scorers = {n: (lambda m: lambda df, out: md.score(df, m, out))(m) for n, m in models.items()}
     return fc.forecast_sequential(panel_, [2002, 2003, 2004], scorers, _published(t),
                                   features=["size", "c_acctbal"])

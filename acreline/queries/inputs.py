@@ -8,6 +8,7 @@ from acreline.functions import codes
 from acreline.functions.cleaning import to_num
 from acreline.queries.base import PANEL_SQL, Tables, dbl, panel, query
 from acreline.sources import extracts as ex
+from acreline.sources import published as pb
 from acreline.sources import report_text as rt
 from acreline.sources import tables as tb
 
@@ -65,9 +66,9 @@ def materialized_stage(t: Tables):
     path = ex.run_path(t.spark, "stage")
     make = lambda: t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     source = [f"{t.path}/orders.parquet"]
-    ex.materialize(make, path, source, spark=t.spark)
-    # The second call finds the stage newer than its source and reads it.
-    return ex.materialize(lambda: make().filter("n < 0"), path, source, spark=t.spark)
+    pb.materialize(make, path, source, spark=t.spark)
+    # The second call finds the stage made from the same source and reads it.
+    return pb.materialize(lambda: make().filter("n < 0"), path, source, spark=t.spark)
 
 
 _SUBGROUP_ROWS = ", ".join(f"({c}, '{k}')" for k, v in codes.SUBGROUP_USES.items() for c in v)

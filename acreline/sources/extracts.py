@@ -9,12 +9,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from urllib.parse import unquote
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreline.functions.cleaning import slug_name
+from acreline.sources.published import Storage
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own below the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    Storage(spark, path).remove_at_exit(path)
+    return path
 
 
 def read_extract(spark: SparkSession, path: str, na: Sequence[str] = ("", "NA", " "),
@@ -104,7 +107,7 @@ def read_latest(spark: SparkSession, root: str, scenario: str | None = None,
     is pruned to the newest one.
     """
     table = spark.read.parquet(root)
-    parts = _partitions(table, root, [c for c in ("scenario", run_col) if c in table.columns])
+    parts = _partitions(spark, root, [c for c in ("scenario", run_col) if c in table.columns])
     own = [p for p in parts if scenario is not None and p.get("scenario") == scenario]
     runs = [p[run_col] for p in own or parts if p.get(run_col) is not None]
     if not runs:
@@ -117,39 +120,14 @@ def read_latest(spark: SparkSession, root: str, scenario: str | None = None,
     return newest.filter(F.col("scenario") == scenario) if own else newest
 
 
-def _partitions(table: DataFrame, root: str, names: Sequence[str]) -> list[dict[str, str]]:
-    """Partition values in the paths of a table's files."""
-    found = []
-    for path in table.inputFiles():
-        keys = dict(part.split("=", 1) for part in path.split("/") if "=" in part)
-        found.append({n: unquote(keys[n]) for n in names if n in keys})
+def _partitions(spark: SparkSession, root: str, names: Sequence[str]) -> list[dict[str, str]]:
+    """Partition values of a table's folders, level by level; no file is listed."""
+    storage, open_, found = Storage(spark, root), [(root, {})], []
+    while open_:
+        path, keys = open_.pop()
+        below = [n for n in storage.names(path) if "=" in n and not n.startswith(("_", "."))]
+        if not below or set(names) <= set(keys):
+            found.append({n: keys[n] for n in names if n in keys})
+            continue
+        open_ += [(f"{path}/{n}", keys | {n.split("=", 1)[0]: unquote(n.split("=", 1)[1])}) for n in below]
     return found
-
-
-def _modified(spark: SparkSession, path: str, marker: str = ""):
-    """When a path was last written, or None if it (or its success marker) is not there."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = jvm.org.apache.hadoop.fs.Path(target, marker) if marker else target
-    if not files.exists(done):
-        return None
-    status = files.getFileStatus(done)
-    if marker or status.isFile():
-        return status.getModificationTime()
-    return max([status.getModificationTime(), *(f.getModificationTime() for f in files.listStatus(target))])
-
-
-def materialize(make: Callable[[], DataFrame], path: str, sources: Sequence[str] = (),
-                force: bool = False, spark: SparkSession | None = None) -> DataFrame:
-    """Reuse a written stage unless it is missing, unfinished, forced or older than a source.
-
-    A stage counts as written by its `_SUCCESS` marker, so one that broke off is made again.
-    """
-    spark = spark or SparkSession.active()
-    if not force:
-        written = _modified(spark, path, "_SUCCESS")
-        if written is not None and all((_modified(spark, s) or 0) <= written for s in sources):
-            return spark.read.parquet(path)
-    write_table(make(), path)
-    return spark.read.parquet(path)

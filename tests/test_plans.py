@@ -218,7 +218,8 @@ def test_model_takes_as_many_trees_as_it_needs_and_survives_a_save(spark, tmp_pa
     model = md.fit_model(df, "y", ["x"], folds=[2002], patience=4, step=0.3, depth=2)
     spread = df.agg(F.stddev("y")).first()[0]
     assert model.n_trees > 20 and model.cv_rmse < 0.2 * spread
-    again = md.FittedModel.load(model.save(str(tmp_path / "model")))
+    model.publish(str(tmp_path / "models"))
+    again = md.FittedModel.latest(str(tmp_path / "models"))
     assert again.n_trees == model.n_trees and again.medians == model.medians
     both = [[r[0] for r in md.score(df, m).select("prediction").collect()] for m in (model, again)]
     assert both[0] == both[1]

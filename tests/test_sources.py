@@ -1,5 +1,8 @@
+import pytest
+
 from acreline.functions import codes
 from acreline.sources import extracts as ex
+from acreline.sources import published as pb
 from acreline.sources import report_text as rt
 from acreline.sources import tables as tb
 
@@ -60,16 +63,39 @@ def test_read_latest_falls_back_to_any_scenario(spark):
     assert get("optimistic") == [3] and get("baseline") == [2] and get("pessimistic") == [2]
 
 
-def test_materialize_reuses_until_forced_or_stale(spark):
+def test_stages_are_reused_until_inputs_options_or_force_say_otherwise(spark):
     path, source = ex.run_path(spark, "stage"), ex.run_path(spark, "source")
     ex.write_table(spark.range(1), source)
-    build = lambda n: ex.materialize(lambda: spark.range(n), path, [source], spark=spark).count()
+    build = lambda n, **kw: pb.materialize(lambda: spark.range(n), path, [source], spark=spark, **kw).count()
     assert build(3) == 3 and build(5) == 3
-    assert ex.materialize(lambda: spark.range(7), path, [source], force=True, spark=spark).count() == 7
+    assert build(7, force=True) == 7
+    assert build(8, options={"cap": 1}) == 8 and build(9, options={"cap": 1}) == 8
     ex.write_table(spark.range(2), source)
     assert build(9) == 9
 
 
+def test_a_broken_run_is_never_read_and_old_ones_go(spark):
+    root = ex.run_path(spark, "stage")
+    assert pb.current(spark, root) is None
+    for n in (1, 2, 3):
+        pb.publish(spark, root, lambda path, n=n: spark.range(n).write.parquet(path), str(n))
+
+    def breaks(path):
+        spark.range(9).write.parquet(path)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        pb.publish(spark, root, breaks, "4")
+    now = pb.current(spark, root)
+    assert now.fingerprint == "3" and spark.read.parquet(now.path).count() == 3
+    assert len([n for n in pb.Storage(spark, root).names(root) if n.startswith("v")]) == 3  # two and the broken one
+    pb.publish(spark, root, lambda path: spark.range(5).write.parquet(path), "5")
+    pb.publish(spark, root, lambda path: spark.range(6).write.parquet(path), "6")
+    names = pb.Storage(spark, root).names(root)
+    assert [n for n in names if not n.startswith("v")] == [pb.POINTER] and len(names) == 3
+    assert spark.read.parquet(pb.current(spark, root).path).count() == 6
+
+
 def test_aliases_report_misses(spark):
     df = spark.createDataFrame([("1",)], "`Present Use` string")
     out, missing = ex.select_with_aliases(df, {"present_use": ["PresentUse", "Present Use"], "zone": ["Zoning"]},
