@@ -10,6 +10,8 @@ SHA-256 of (key, kind, round, other half).
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def permuted_text(text: Column, key: str, letters: int = 26) -> Column:
     return F.aggregate(rounds, state, round_, lambda s: F.concat(s["a"], s["b"]))
 
 
-def permuted_int(value: Column, left: int, right: int, key: str) -> Column:
+def permuted_int(value: Column, left: int | Column, right: int | Column, key: str) -> Column:
     """Permute an integer of 0 to left * right - 1 by a Feistel network over both factors."""
     state = F.struct((value / right).cast("long").alias("a"), (value % right).cast("long").alias("b"))
 
@@ -114,18 +116,55 @@ def _card(text: Column, key: str) -> Column:
 
 #: Days of 400 Gregorian years, as two factors; the permutation stays in 1800 to 2199.
 _DAYS = (189, 773)
+_ERA = 1800
+_LEAP = [y for y in range(400) if calendar.isleap(_ERA + y)]
+_COMMON = [y for y in range(400) if not calendar.isleap(_ERA + y)]
+
+
+def _whole_era(day: Column) -> Column:
+    """The day, if all 400 years around it have four digits."""
+    return F.when(F.year(day).between(_ERA % 400, 9999 - (9999 - _ERA) % 400 - 1), day)
 
 
 def _date(text: Column, key: str) -> Column:
+    """A date in its own notation. Slash dates are day-first where they can be.
+
+    Dates that can be read day-first, and month-first ones that cannot, are permuted each among
+    themselves, so no two dates get one pseudonym.
+    """
     def moved(pattern: str) -> Column:
-        day = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
-        n = F.datediff(day, F.lit("1800-01-01").cast("date"))
+        day = _whole_era(F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+        n = F.datediff(day, F.lit(f"{_ERA}-01-01").cast("date"))
         era = F.floor(n / (_DAYS[0] * _DAYS[1])) * (_DAYS[0] * _DAYS[1])
-        new = F.date_add(F.lit("1800-01-01").cast("date"),
+        new = F.date_add(F.lit(f"{_ERA}-01-01").cast("date"),
                          (permuted_int(n - era, *_DAYS, key) + era).cast("int"))
         return F.date_format(new, pattern)
 
-    return F.coalesce(moved("yyyy-MM-dd"), moved("dd/MM/yyyy"), moved("MM/dd/yyyy"), text)
+    day_first = F.try_to_timestamp(text, F.lit("dd/MM/yyyy"))
+    return F.coalesce(moved("yyyy-MM-dd"), moved("dd/MM/yyyy"),
+                      F.when(day_first.isNull(), _late_day(text, f"{key}|late")), text)
+
+
+def _late_day(text: Column, key: str) -> Column:
+    """Month-first dates whose day is no month (13 on), permuted among months of one length."""
+    day = _whole_era(F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date"))
+    length, year = F.dayofmonth(F.last_day(day)), F.pmod(F.year(day) - _ERA, F.lit(400))
+    listed = lambda items: F.array(*[F.lit(i) for i in items])
+    months = (F.when(length == 31, listed([1, 3, 5, 7, 8, 10, 12])).when(length == 30, listed([4, 6, 9, 11]))
+              .otherwise(listed([2])))
+    # February alone depends on the year: of its length there are only some.
+    years = F.when(length == 29, listed(_LEAP)).otherwise(listed(_COMMON))
+    many = length >= 30
+    slot = F.when(many, year * F.size(months) + F.array_position(months, F.month(day)) - 1).otherwise(
+        F.array_position(years, year) - 1)
+    slots = F.when(many, 400 * F.size(months)).otherwise(F.size(years))
+    days = length - 12
+    new = permuted_int(slot * days + F.dayofmonth(day) - 13, slots, days, key)
+    at = F.floor(new / days).cast("int")
+    new_year = F.when(many, F.floor(at / F.size(months))).otherwise(F.get(years, at))
+    new_month = F.when(many, F.get(months, at % F.size(months))).otherwise(2)
+    made = F.make_date((F.year(day) - year + new_year).cast("int"), new_month, (new % days + 13).cast("int"))
+    return F.date_format(made, "MM/dd/yyyy")
 
 
 def _ip(text: Column, key: str) -> Column:

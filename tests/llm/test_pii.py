@@ -55,6 +55,41 @@ def test_dates_are_permuted_one_to_one(spark):
     assert len(set(got)) == 3000 and all(1800 <= dt.date.fromisoformat(x).year < 2200 for x in got)
 
 
+@pytest.mark.parametrize("pattern", ["dd/MM/yyyy", "MM/dd/yyyy", "both"])
+def test_slash_dates_are_permuted_one_to_one(spark, pattern):
+    days = spark.range(0, 12_000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = [F.date_format("d", p) for p in (("dd/MM/yyyy", "MM/dd/yyyy") if pattern == "both" else (pattern,))]
+    table = days.select(F.explode(F.array(*texts)).alias("text")).distinct()
+    got = [r["text"] for r in pii.pseudonymize(table, "k", counts=False).collect()]
+    assert len(set(got)) == len(got) == table.count()
+    for x in got:
+        a, b, y = map(int, x.split("/"))
+        dt.date(y, *((b, a) if b <= 12 else (a, b)))  # a date in one of the notations
+        assert 1800 <= y < 2200
+
+
+def test_dates_at_the_ends_of_the_calendar_keep_four_digits(spark):
+    for text in ("0001-01-01", "0150-05-05", "9999-12-31", "12/31/9999", "01/31/0100"):
+        assert one(spark, text)["text"] == text
+    for text in ("0200-01-01", "9799-12-31", "12/31/9799", "02/29/0400"):
+        got = one(spark, text)["text"]
+        assert got != text and len(got) == 10
+
+
+def test_a_text_with_very_many_values(spark):
+    """The costly case: tens of thousands of values in one text, against the values one by one."""
+    cards = [f"411111111111{i:04}" for i in range(10_000)]
+    text = " x ".join(cards)
+    got = one(spark, text)
+    valid = sum(luhn(c) == 0 for c in cards)
+    assert got["n_replaced"] == got["n_number"] == valid
+    new = got["text"].split(" x ")
+    assert len(new) == len(cards) and all((a == b) == (luhn(a) != 0) for a, b in zip(cards, new))
+    some = [c for c in cards if luhn(c) == 0][:40]
+    each = pii.pseudonymize(spark.createDataFrame([(c,) for c in some], "text string"), "k", counts=False).collect()
+    assert [r["text"] for r in each] == [new[cards.index(c)] for c in some]
+
+
 def test_integers_and_texts_are_permuted_one_to_one(spark):
     n = spark.range(0, 21 * 13)
     assert sorted(r[0] for r in n.select(pii.permuted_int(F.col("id"), 21, 13, "k")).collect()) == list(range(273))
