@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from acreline.llm.common import WORD, shuffle_partitions
 
@@ -81,7 +82,13 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     side = max(2, int((4 * shuffle_partitions(spark)) ** 0.5))
     ranges = side * side
     shares = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    cuts = df.agg(F.percentile_approx(key, shares, 20 * ranges)).first()[0]
+    if isinstance(df.schema[key].dataType, (NumericType, DateType, TimestampType)):
+        cuts = df.agg(F.percentile_approx(key, shares, 20 * ranges)).first()[0]
+    else:
+        # Keys without a distance: the keys alone are dealt by ranges, and each range's first is a cut.
+        parted = df.select(F.col(key).alias("_k")).dropna().repartitionByRange(ranges, "_k")
+        lows = parted.groupBy(F.spark_partition_id().alias("_p")).agg(F.min("_k").alias("_k"))
+        cuts = [r["_k"] for r in lows.orderBy("_k").collect()][1:]  # one row a range
     bucket = F.lit(0)
     if cuts:
         # Two short searches: the block of cuts, then the cut in it.

@@ -26,6 +26,23 @@ def test_next_row_over_any_keys(spark):
     assert {r["t"]: r["n"] for r in got} == want
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "binary"])
+def test_next_row_over_keys_that_are_no_numbers(spark, kind):
+    df = spark.range(300).select(
+        F.when(F.col("id") % 50 > 0, F.when(F.lit(kind == "date"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).cast("string"))
+               .otherwise(F.format_string("k%03d é", F.col("id")))).cast(kind).alias("k"), F.format_string("t%03d", "id").alias("t"))
+    got = {r["t"]: r["n"] for r in sketch.next_of(sketch.dealt(df, "k"), "k", {"n": "t"}, ["t"]).collect()}
+    order = [r["t"] for r in df.orderBy(F.asc_nulls_first("k"), "t").collect()]
+    assert got == {t: order[(i + 1) % 300] for i, t in enumerate(order)}
+
+
+def test_ids_may_be_text(spark, documents):
+    some = documents.limit(40)
+    want = {r["doc_id"]: r["near_next"] for r in sketch.fingerprint_edits(some).collect()}
+    named = some.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert {int(r["doc_id"][1:]): r["near_next"] for r in sketch.fingerprint_edits(named).collect()} == want
+
+
 def test_awkward_rows(spark, awkward, nothing):
     got = sketch.fingerprint_edits(awkward).collect()
     texts = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in awkward.collect()))
