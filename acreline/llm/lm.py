@@ -43,7 +43,7 @@ FEATURES = 5
 SLICES = 64
 KNOWN_WORDS = 500_000
 BATCH_TOKENS = 4096
-SCORED_TOKENS = 1 << 15
+SCORED_TOKENS = 1 << 13
 TRAIN_BYTES = 64 << 20
 RATE = 0.3
 END = b""  # no word is empty, so the empty string stands for the end
