@@ -361,3 +361,14 @@ def test_fold_and_unfold(spark):
     assert got["a", 2001] == {"parcel_id": "a", "tax_yr": 2001, "v": 1, "n": 2, "s": 11, "m": 6, "all": 18}
     assert got["a", 2003] == {"parcel_id": "a", "tax_yr": 2003, "v": 3, "n": 0, "s": 0, "m": None, "all": 18}
     assert got["b", 2002] == {"parcel_id": "b", "tax_yr": 2002, "v": 2, "n": 0, "s": 0, "m": None, "all": 8}
+
+
+def test_training_rows_lie_in_as_many_partitions_as_their_size_needs(spark, monkeypatch):
+    """Each level of each tree is a job over all partitions of the rows."""
+    seen, fit = [], md.GBTRegressor.fit
+    monkeypatch.setattr(md.GBTRegressor, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    frame = spark.range(600).selectExpr("id % 6 + 2000 AS tax_yr", "id % 7 AS x", "double(id % 7) AS y").repartition(64)
+    model = md.fit_model(frame, "y", ["x"], folds=[2003], max_trees=2, patience=1, depth=2, min_leaf=5)
+    assert seen and set(seen) == {1}
+    assert md.score(frame, model).filter("prediction IS NOT NULL").count() == 600
+    assert md._parts_for(10_000_000, 10) > 300  # large frames keep theirs
