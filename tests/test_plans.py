@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -372,3 +373,13 @@ def test_training_rows_lie_in_as_many_partitions_as_their_size_needs(spark, monk
     assert seen and set(seen) == {1}
     assert md.score(frame, model).filter("prediction IS NOT NULL").count() == 600
     assert md._parts_for(10_000_000, 10) > 300  # large frames keep theirs
+
+
+def test_models_of_several_frames_are_fitted_at_the_same_time(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=20)  # breaks if one is fitted after the other
+    monkeypatch.setattr(md, "fit_model", lambda frame, target, features, **options: (both.wait(), target, features, options)[1:])
+    frame = spark.range(1)
+    got = md.fit_delta_level({"land_delta": (frame, ["a"]), "impr_delta": (frame, ["b"])},
+                             {"land_delta": "x", "impr_delta": "y"}, folds=[1])
+    assert got == {"land_delta": ("x", ["a"], {"folds": [1]}), "impr_delta": ("y", ["b"], {"folds": [1]})}
+    assert md.fit_delta_level({}, {}) == {}
