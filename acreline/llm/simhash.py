@@ -122,6 +122,9 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     very many neighbours are only ever aggregated by `min`, so no neighbour list is gathered.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    # Edges are distinct, so their number and the sums of two hashes tell them apart without a shuffle.
+    seen = [F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64("hi", "lo"), F.xxhash64("lo", "hi", F.lit(1)))]]
+    told = edges.agg(*seen).first()
     while True:
         # Large star: neighbours above a node go to the smallest node next to it.
         both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(
@@ -136,9 +139,8 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
                  .filter(F.col("hi") != F.col("lo"))
                  .union(down.select("hi", F.col("least").alias("lo"))).distinct())
         small = stored(small)
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges, before, told = small, told, small.agg(*seen).first()
+        if told == before:
             break
     roots = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "node")
     tops = edges.select(F.col("lo").alias("node")).distinct()
@@ -244,11 +246,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     heads = keys.groupBy("key").agg(F.min("h").alias("n"), F.count("*").alias("m"))
     same = (keys.join(heads.filter("m > 1").select("key", "n"), "key")
             .filter(F.col("h") != F.col("n")).select(F.col("n").alias("a"), F.col("h").alias("b")))
-    variants = heads.select("key", F.explode(variants_of("key")).alias("v"))
+    # A variant and its number travel in one long, which takes less room than the variant and its key.
+    variants = heads.select(F.posexplode(variants_of("key")).alias("nth", "v")).select(
+        F.shiftleft("v", 6).bitwiseOR(F.col("nth").cast("long")).alias("_v"))
+    variants = variants.repartition(F.shiftright("_v", 6)).select(
+        F.shiftright("_v", 6).alias("v"), F.col("_v").bitwiseAND(F.lit(63)).cast("int").alias("nth"))
     # Buckets by a window: its sort spills, and no list is built. Those of two keys and more stay.
     bucket = Window.partitionBy("v")
-    buckets = stored(variants.select("v", "key", F.min("key").over(bucket).alias("lo"),
-                                     F.max("key").over(bucket).alias("hi")).filter("lo < hi").select("v", "key"))
+    met_more = variants.select("v", "nth", F.count("*").over(bucket).alias("m")).filter("m > 1")
+    buckets = stored(met_more.select("v", key_of("v", "nth").alias("key")))
     least = F.min("n").over(bucket)
     met = (buckets.join(heads.select("key", "n"), "key")
            .select(least.alias("a"), F.col("n").alias("b")).filter("a < b"))
@@ -267,6 +273,12 @@ def variants_of(key: str) -> Column:
     return F.transform(masks, lambda m: F.col(key).bitwiseXOR(m))
 
 
+def key_of(variant: str, nth: str) -> Column:
+    """The key whose nth variant this is."""
+    bit = F.expr(f"if({nth} = 0, 0L, shiftleft(1L, {nth} - 1))")
+    return F.col(variant).bitwiseXOR(bit)
+
+
 def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame, similarity: float,
           tables: int) -> DataFrame:
     """(a, b), a < b: all texts that meet in a bucket, are in different groups by `roots` and may be alike.
@@ -278,10 +290,11 @@ def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame
                     .select("h", F.coalesce("root", "h").alias("root"), "s", "n"))
     texts = keys.join(rooted, "h").select("key", "h", "root")
     spans = stored(texts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-    variants = buckets.join(spans, "key").select("v", "key", "lo", "hi")
-    unsettled = (variants.groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                 .filter("lo < hi").select("v"))
-    variants = variants.join(unsettled, "v", "left_semi")
+    bucket = Window.partitionBy("v")
+    variants = stored(buckets.join(spans, "key")
+                      .select("v", "key", "lo", "hi", F.min("lo").over(bucket).alias("least"),
+                              F.max("hi").over(bucket).alias("most"))
+                      .filter("least < most").drop("least", "most"))
     x, y = (variants.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "lo", "hi")])
             for side in "xy")
     # Keys that differ meet in two variants; the pair is taken in the smaller.

@@ -6,6 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
 from acreline.llm import simhash
 from acreline.llm.queries import op6_simhash
 
@@ -139,3 +140,32 @@ def test_one_row_of_each_group_stays(awkward, nothing, documents):
     assert [i for null, i in ids if not null] == [0, 3, 4, 5, 6, 8] and len(ids) == 7
     assert simhash.keep_one(nothing).count() == 0
     assert simhash.keep_one(documents.union(documents)).count() == simhash.keep_one(documents).count()
+
+
+def test_a_key_is_told_from_its_variants(spark):
+    keys = spark.createDataFrame([(0,), (1,), (5 << 32,), ((11 << 32) + (1 << 32) - 1,)], "key long")
+    each = keys.select("key", F.posexplode(simhash.variants_of("key")).alias("nth", "v"))
+    each = each.withColumn("back", simhash.key_of("v", "nth"))
+    assert each.count() == 4 * 33 and each.filter("back != key").count() == 0
+
+
+def test_variants_travel_in_one_long(spark, monkeypatch):
+    """They are the largest shuffle: 33 for each fingerprint of each text."""
+    plans, stored = [], simhash.stored
+
+    def kept(df):
+        if df.columns == ["v", "key"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f h")], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
+    sent = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_v" in line]
+    assert len(sent) == 1 and not any("Exchange hashpartitioning(v#" in line for plan in plans for line in plan.splitlines())
+
+
+def test_rounds_end_without_comparing_all_edges(spark, monkeypatch):
+    monkeypatch.delattr(type(spark.range(0)), "exceptAll")
+    got = simhash.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
