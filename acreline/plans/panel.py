@@ -256,14 +256,16 @@ def unify_tracks(residential_panel: DataFrame, snapshots: Mapping[str, DataFrame
                  drivers: DataFrame | None = None) -> DataFrame:
     """Stack the residential panel with expanded commercial and condo snapshots.
 
-    `snapshots` maps a property type letter to its snapshot.
+    `snapshots` maps a property type letter to its snapshot. A snapshot may be far smaller than `values`, which
+    are therefore reduced to its entities and years before they are sorted for the join.
     """
     names = {"R": "Residential", "C": "Commercial", "D": "Condo"}
     parts = [residential_panel.withColumns({"prop_type": F.lit("R"),
                                             "prop_class": F.lit(names["R"])})]
     for letter, snap in snapshots.items():
         wide = expand_snapshot(snap.drop("prop_type", "prop_class"), years)
-        part = wide.join(values, [KEY, YEAR], "left")
+        own = values.filter(F.col(YEAR).isin(*years)).join(wide.select(KEY, YEAR), [KEY, YEAR], "left_semi")
+        part = wide.join(own, [KEY, YEAR], "left")
         parts.append(part.withColumns({"prop_type": F.lit(letter),
                                        "prop_class": F.lit(names[letter])}))
     panel = stack(parts)

@@ -383,3 +383,20 @@ def test_models_of_several_frames_are_fitted_at_the_same_time(spark, monkeypatch
                              {"land_delta": "x", "impr_delta": "y"}, folds=[1])
     assert got == {"land_delta": ("x", ["a"], {"folds": [1]}), "impr_delta": ("y", ["b"], {"folds": [1]})}
     assert md.fit_delta_level({}, {}) == {}
+
+
+def test_values_are_reduced_to_a_small_snapshot_before_they_meet_it(spark):
+    orders = spark.range(2000).selectExpr("id % 100 AS parcel_id", "int(id % 7 + 1999) AS tax_yr", "id AS v")
+    values = orders.groupBy("parcel_id", "tax_yr").agg(F.sum("v").alias("v"))
+    snap = spark.createDataFrame([(1, 5.0), (1, 6.0), (None, 7.0), (700, 8.0), (2, None)], "parcel_id long, size double")
+    out = pp.unify_tracks(values, {"C": snap}, values, [2000, 2001])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    semi = next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+    above = [line for line in plan[:semi] if depth(line) < depth(plan[semi])]
+    assert any("Aggregate [parcel_id" in line for line in above), plan
+    assert any("IN (2000,2001)" in line.replace(", ", ",") or "2000" in line for line in plan[semi:])
+    got = sorted(map(str, out.filter("prop_type = 'C'").select("parcel_id", "tax_yr", "v", "size").collect()))
+    wide = snap.withColumn("tax_yr", F.explode(F.array(F.lit(2000), F.lit(2001))))
+    want = wide.join(values, ["parcel_id", "tax_yr"], "left").select("parcel_id", "tax_yr", "v", "size").collect()
+    assert got == sorted(map(str, want)) and len(got) == 10
