@@ -122,18 +122,23 @@ def _rows(mixed: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ONES = np.ones((CLASSES, 1), "f4")
+_SAFE = 60  # sums of exponentials up to here and their inverses are single-precision numbers
+_ROW = np.dtype((np.void, 4 * CLASSES))  # a weight row as one item
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[0], axis=0)
+    z, more = np.empty((2, rows.shape[1], CLASSES), "f4")
+    # The rows lie within the weights; to clip them spares a copy of what is taken.
+    weights.take(rows[0], axis=0, out=z, mode="clip")
     for r in rows[1:]:
-        z += weights.take(r, axis=0)
-    # The maximum of each row by halves: a reduction along so short an axis costs far more.
-    top = z
-    while top.shape[1] > 1:
-        half = top.shape[1] // 2
-        top = np.maximum(top[:, :half], top[:, half:])
-    z -= top
+        z += weights.take(r, axis=0, out=more, mode="clip")
+    if z.size and max(z.max(), -z.min()) > _SAFE:
+        # The maximum of each row by halves: a reduction along so short an axis costs far more.
+        top = z
+        while top.shape[1] > 1:
+            half = top.shape[1] // 2
+            top = np.maximum(top[:, :half], top[:, half:])
+        z -= top
     np.exp(z, out=z)
     z /= z @ _ONES
     return z
@@ -141,7 +146,7 @@ def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def log_probabilities(weights, outs: np.ndarray, words: np.ndarray, real: np.ndarray) -> np.ndarray:
     """log10 P(output | context) of tokens: `outs` at positions `real` of a padded run of words."""
-    mixed = features(words)[:, real]
+    mixed = features(words).take(real, axis=1)
     cls, word = np.divmod(outs, CLASSES)
     at = np.arange(len(cls))
     in_class, in_word = _rows(mixed, cls)
@@ -157,31 +162,40 @@ class Trainer:
         self.past = [np.full(len(w), 1.0, "f4") for w in weights]
 
     def step(self, outs: np.ndarray, words: np.ndarray, real: np.ndarray) -> None:
-        mixed = features(words)[:, real]
+        mixed = features(words).take(real, axis=1)
         cls, word = np.divmod(outs, CLASSES)
         at = np.arange(len(cls))
-        tokens = np.tile(at, FEATURES - 1)
+        # A weight row and its token in one number, so that one sort brings the tokens of every row together.
+        low = len(cls).bit_length()
         for k, (rows, target) in enumerate(zip(_rows(mixed, cls), (cls, word))):
             g = _softmax(self.weights[k], rows)
             np.negative(g, out=g)
             g[at, target] += 1
-            # The constant feature has few rows: a product with their indicators sums it up. For all others
-            # one sort brings the tokens of every weight row together.
-            fixed, at_fixed = np.unique(rows[0], return_inverse=True)
-            marks = np.zeros((len(fixed), len(cls)), "f4")
-            marks[at_fixed, at] = 1
-            flat = rows[1:].ravel()
-            order = np.argsort(flat)
-            row, token = flat[order], tokens[order]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            row = np.concatenate([fixed, row[first]])
-            # Pairs of columns are summed as complex numbers, whose loop takes a fraction of the time.
-            pairs = np.add.reduceat(g.take(token, axis=0).view("c8"), first, axis=0)
-            total = np.concatenate([marks @ g, pairs.view("f4")])
-            past = self.past[k][row] + np.einsum("ij,ij->i", total, total)
+            # The constant feature has few rows: a product with their indicators sums it up. A row without
+            # tokens has a sum of zero and stays.
+            fixed = np.arange(rows[0].max(initial=0) + 1)
+            marks = (rows[0] == fixed[:, None]).astype("f4")
+            packed = np.sort(((rows[1:].astype(np.int64) << low) | at).ravel())
+            row, token = packed >> low, packed & ((1 << low) - 1)
+            new = np.diff(row, prepend=-1, append=-1) != 0
+            first, alone = new[:-1], new[:-1] & new[1:]
+            # Most rows have one token, whose gradient is their sum; only the others are added up.
+            shared = ~alone
+            start = np.flatnonzero(first[shared])
+            row = np.concatenate([fixed, row[alone], row[shared][start]])
+            sums = [marks @ g, g.take(token[alone], axis=0)]
+            if len(start):
+                # Pairs of columns are summed as complex numbers, whose loop takes a fraction of the time.
+                pairs = np.add.reduceat(g.take(token[shared], axis=0).view("c8"), start, axis=0)
+                sums.append(pairs.view("f4"))
+            total = np.concatenate(sums)
+            past = self.past[k].take(row)
+            past += np.einsum("ij,ij->i", total, total)
             self.past[k][row] = past
             total *= (RATE / np.sqrt(past))[:, None]
-            self.weights[k][row] += total
+            total += self.weights[k].take(row, axis=0)
+            # Whole rows are put back as one item each, not number by number.
+            self.weights[k].view(_ROW).ravel()[row] = total.view(_ROW).ravel()
 
 
 def count_words(texts: DataFrame) -> DataFrame:

@@ -105,3 +105,43 @@ def test_awkward_rows(spark, awkward, nothing):
     assert lm.score(nothing).count() == 0
     only = lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
     assert only[0]["train_tokens"] == 0 and only[0]["n_known"] == 0 and math.isfinite(only[0]["score"])
+
+
+def test_weights_far_apart_keep_their_softmax():
+    """The maximum is taken off only where exponentials would leave single precision."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 40, (lm.FEATURES, 25))
+    for scale in (1, 11, 400):
+        weights = (scale * rng.normal(size=(40, lm.CLASSES))).astype("f4")
+        z = weights[rows].astype(float).sum(axis=0)
+        want = np.exp(z - z.max(axis=1, keepdims=True))
+        np.testing.assert_allclose(lm._softmax(weights, rows), want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_a_step_puts_each_row_back_once(monkeypatch):
+    """Rows with one token are not added up, and only rows with tokens change."""
+    added = []
+
+    class Add:
+        @staticmethod
+        def reduceat(x, start, axis):
+            added.append((len(x), len(start)))
+            return np.add.reduceat(x, start, axis=axis)
+
+    class Numpy:
+        add = Add
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(lm, "np", Numpy())
+    words, real = np.array([lm.START] * 3 + [7, 8, 9, 7, 8, 5]), np.arange(3, 9)
+    outs = np.array([3, 40, 77, 3, 40, 120])
+    start = (np.zeros((lm.CLASS_ROWS, lm.CLASSES), "f4"), np.zeros((lm.WORD_ROWS, lm.CLASSES), "f4"))
+    trainer = lm.Trainer(start)
+    trainer.step(outs, words, real)
+    for k, (rows, _) in enumerate(zip(lm._rows(lm.features(words)[:, real], outs // lm.CLASSES), "ab")):
+        changed = set(np.flatnonzero(np.abs(trainer.weights[k]).sum(axis=1)).tolist())
+        assert changed == set(rows.ravel().tolist())
+        count = collections.Counter(rows[1:].ravel().tolist())
+        assert added[k] == (sum(n for n in count.values() if n > 1), sum(n > 1 for n in count.values()))
