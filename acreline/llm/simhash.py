@@ -258,10 +258,11 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     least = F.min("n").over(bucket)
     met = (buckets.join(heads.select("key", "n"), "key")
            .select(least.alias("a"), F.col("n").alias("b")).filter("a < b"))
-    heads = screened(same.union(met).distinct(), sigs, similarity, tables)
+    heads = stored(screened(same.union(met).distinct(), sigs, similarity, tables))
     edges = stored(alike(docs, heads, width, similarity, text_col))
     # The edges to a third text may have failed where two of a bucket are alike.
-    rest = alike(docs, apart(sigs, keys, buckets, components(edges), similarity, tables), width, similarity, text_col)
+    rest = apart(docs, sigs, keys, buckets, heads, components(edges), width, similarity, tables, text_col)
+    rest = alike(docs, stored(rest), width, similarity, text_col)
     groups = components(edges.union(rest))
     return (sigs.join(groups, sigs["h"] == groups["node"], "left")
             .select("h", F.coalesce("root", "h").alias("root")))
@@ -279,35 +280,133 @@ def key_of(variant: str, nth: str) -> Column:
     return F.col(variant).bitwiseXOR(bit)
 
 
-def apart(sigs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame, similarity: float,
-          tables: int) -> DataFrame:
-    """(a, b), a < b: all texts that meet in a bucket, are in different groups by `roots` and may be alike.
+def apart(docs: DataFrame, sigs: DataFrame, keys: DataFrame, buckets: DataFrame, near: DataFrame, roots: DataFrame,
+          width: int, similarity: float, tables: int, text_col: str) -> DataFrame:
+    """(a, b), a < b: texts that meet in a bucket, are in different groups by `roots` and may be alike.
 
-    Buckets within one group are settled. In the others the pairs of keys are made first, each
-    once (a key has at most 528 others within 2 bits); their texts are screened where they meet.
+    Texts linked by `near` (pairs that met and passed the screen) are a family. Pairs inside a family
+    are told by what sets its texts apart, without making all that met; those of two families are made.
     """
-    rooted = stored(sigs.join(roots, sigs["h"] == roots["node"], "left")
-                    .select("h", F.coalesce("root", "h").alias("root"), "s", "n"))
-    texts = keys.join(rooted, "h").select("key", "h", "root")
-    spans = stored(texts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    rooted = stored(grouped(grouped(sigs, roots, "root"), components(near), "family"))
+    inside = within_families(docs, rooted, keys, buckets, width, similarity, tables, text_col)
+    return inside.union(between_families(rooted, keys, buckets, similarity, tables)).distinct()
+
+
+def grouped(texts: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """`texts` with the group of each, itself where it has none."""
+    return (texts.join(groups.toDF("_node", "_root"), F.col("h") == F.col("_node"), "left")
+            .select(*texts.columns, F.coalesce("_root", "h").alias(name)))
+
+
+def meet(a: str, b: str) -> Column:
+    """Whether any two fingerprints of one table are within 2 bits."""
+    low = F.lit((1 << TABLE_BITS) - 1)
+    return F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: (
+        (F.bit_count(x.bitwiseAND(low)) <= 2) | (F.bit_count(F.shiftrightunsigned(x, TABLE_BITS)) <= 2)))
+
+
+#: Shared elements are asked for by doubles; so much less is asked, which lets more pairs through, never fewer.
+_SLACK = 1e-6
+
+
+def shared_least(q: Column, other: Column) -> Column:
+    """How many elements off the core two alike texts share at least, if any."""
+    return F.greatest(F.lit(1), F.ceil((q + other) / 2 - _SLACK))
+
+
+def within_families(docs: DataFrame, rooted: DataFrame, keys: DataFrame, buckets: DataFrame, width: int,
+                    similarity: float, tables: int, text_col: str) -> DataFrame:
+    """(a, b), a < b: texts that meet, of one family and different groups, all that are alike among them, few others.
+
+    A family's core are the shingles that more than half of its texts hold. Let `off` be a text's shingles
+    outside the core and those of the core that it lacks. Alike texts x and y differ in at most
+    c (|x| + |y|) shingles, c = (1 - s) / (1 + s); so with q = |off| - c |x| they share at least
+    (q_x + q_y) / 2 elements of `off`. Where that is positive, the two share one among the first
+    |off| - least + 1 of each in one order, rare ones first; pairs that do not are never made. `least` depends on
+    the other text, so elements are sent to bands of q. Where it is not, x and y are alike for certain, and both
+    are alike with the text of the least q in the bucket where they meet: those pairs stand for all of them.
+    """
+    split = (rooted.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+             .filter("lo < hi").select("family", "members"))
+    texts = stored(rooted.join(split, "family"))
+    sets = shingle_sets(docs, texts.select("h"), width, text_col)
+    texts = stored(texts.join(sets, "h"))
+    counts = stored(texts.select("family", "members", F.explode("set").alias("e"))
+                    .groupBy("family", "members", "e").agg(F.count("*").alias("c")))
+    cores = counts.filter("2 * c > members").groupBy("family").agg(F.collect_list("e").alias("core"))
+    share = (1 - similarity) / (1 + similarity)
+    off = (texts.join(cores, "family", "left").withColumn("core", F.coalesce("core", F.array().cast("array<int>")))
+           .select("h", "root", "family", "s", "n", F.concat(F.array_except("set", "core"), F.array_except("core", "set")).alias("off"),
+                   F.size("set").alias("size")))
+    off = stored(off.select("h", "root", "family", "s", "n", "off", (F.size("off") - share * F.col("size")).alias("q")))
+
+    # Alike for certain: with the text of the least q in the key or the bucket.
+    known = keys.join(off.select("h", "root", "family", "q"), "h")
+    lows = known.groupBy("key", "family").agg(F.min(F.struct("q", "h", "root")).alias("low"))
+    met = buckets.join(lows, "key").select(
+        "key", "family", F.min("low").over(Window.partitionBy("v", "family")).alias("low"))
+    lows = met.union(lows).filter(F.col("low.q") <= _SLACK).distinct().select(
+        "key", "family", F.col("low.q").alias("_q"), F.col("low.h").alias("_h"), F.col("low.root").alias("_root"))
+    certain = known.join(lows, ["key", "family"]).filter((F.col("q") + F.col("_q") <= _SLACK) & (F.col("root") != F.col("_root")))
+    certain = certain.select(F.least("h", "_h").alias("a"), F.greatest("h", "_h").alias("b"))
+
+    # All others: by a shared element among the first of both.
+    least = off.groupBy("family").agg(F.min("q").alias("q0"))
+    off = off.join(least, "family").withColumn("band", F.floor(F.log2(F.col("q") - F.col("q0") + 1)).cast("int"))
+    bands = off.groupBy("family").agg(F.collect_set("band").alias("bands"))
+    each = (off.select("h", "root", "family", "s", "n", "q", "q0", "band", F.size("off").alias("len"), F.explode("off").alias("e"))
+            .join(counts.select("family", "e", F.least("c", F.col("members") - F.col("c")).alias("held")), ["family", "e"])
+            .withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("held", "e"))))
+    last = lambda n, q, other: F.col(n) - shared_least(F.col(q), other) + 1
+    sent = (each.join(bands, "family")
+            .withColumn("to", F.explode(F.filter("bands", lambda b: F.col("nth") <= last(
+                "len", "q", F.col("q0") + F.pow(F.lit(2.0), b) - 1))))
+            .select("h", "root", "family", "s", "n", "q", "len", "nth", "e", "band", "to"))
+    meeting = Window.partitionBy("family", "e", F.least("band", "to"), F.greatest("band", "to"))
+    sent = stored(sent.withColumns({"_lo": F.min("root").over(meeting), "_hi": F.max("root").over(meeting)})
+                  .filter("_lo < _hi").drop("_lo", "_hi"))
+    x = sent.select("family", "e", F.col("band").alias("b1"), F.col("to").alias("b2"), *each_as(sent, "x"))
+    y = sent.select(F.col("family").alias("_f"), F.col("e").alias("_e"), F.col("to").alias("_b1"), F.col("band").alias("_b2"),
+                    *each_as(sent, "y"))
+    on = [F.col(c) == F.col(d) for c, d in (("family", "_f"), ("e", "_e"), ("b1", "_b1"), ("b2", "_b2"))]
+    first = ((F.col("nth_x") <= last("len_x", "q_x", F.col("q_y"))) & (F.col("nth_y") <= last("len_y", "q_y", F.col("q_x"))))
+    others = x.join(y, [*on, F.col("h_x") < F.col("h_y"), F.col("root_x") != F.col("root_y"), first, meet("s_x", "s_y"),
+                        may_be_alike(similarity, tables, "x", "y")])
+    return certain.union(others.select(F.col("h_x").alias("a"), F.col("h_y").alias("b"))).distinct()
+
+
+def each_as(df: DataFrame, side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "s", "n", "q", "len", "nth")]
+
+
+def between_families(rooted: DataFrame, keys: DataFrame, buckets: DataFrame, similarity: float, tables: int) -> DataFrame:
+    """(a, b), a < b: all texts that meet in a bucket, are in different families and may be alike.
+
+    Pairs of keys and their families come first, each once (a key has at most 528 others within 2
+    bits); their texts are screened where they meet.
+    """
+    texts = stored(keys.join(rooted.select("h", "family"), "h").select("key", "family", "h"))
+    held = texts.select("key", "family").distinct()
     bucket = Window.partitionBy("v")
-    variants = stored(buckets.join(spans, "key")
-                      .select("v", "key", "lo", "hi", F.min("lo").over(bucket).alias("least"),
-                              F.max("hi").over(bucket).alias("most"))
-                      .filter("least < most").drop("least", "most"))
-    x, y = (variants.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "lo", "hi")])
-            for side in "xy")
+    variants = stored(buckets.join(held, "key")
+                      .select("v", "key", "family", F.min("family").over(bucket).alias("lo"), F.max("family").over(bucket).alias("hi"))
+                      .filter("lo < hi").drop("lo", "hi"))
+    several = texts.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("key")
+    alone = held.join(several, "key", "left_semi").select(F.col("key").alias("v"), "key", "family")
+    x, y = (variants.select("v", F.col("key").alias("key_x"), F.col("family").alias("family_x")),
+            variants.select("v", F.col("key").alias("key_y"), F.col("family").alias("family_y")))
     # Keys that differ meet in two variants; the pair is taken in the smaller.
     other = F.col("key_x").bitwiseXOR(F.col("key_y")).bitwiseXOR(F.col("v"))
-    met = (x.join(y, "v").filter((F.col("key_x") < F.col("key_y")) & (F.col("v") < other)
-                                 & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y")))
-           .select("key_x", "key_y"))
-    met = stored(met.union(spans.filter("lo < hi").select("key", "key")))
-    wanted = met.select("key_x").union(met.select("key_y")).distinct().toDF("key")
-    texts = stored(texts.join(wanted, "key", "left_semi").join(rooted.select("h", "s", "n"), "h"))
+    met = (x.join(y, "v").filter((F.col("key_x") < F.col("key_y")) & (F.col("v") < other) & (F.col("family_x") != F.col("family_y")))
+           .drop("v"))
+    x, y = (alone.select("v", F.col("key").alias(f"key_{i}"), F.col("family").alias(f"family_{i}")) for i in "xy")
+    met = stored(met.union(x.join(y, "v").filter("family_x < family_y").select(*met.columns)))
+    wanted = met.select("key_x", "family_x").union(met.select("key_y", "family_y")).distinct().toDF("key", "family")
+    texts = stored(texts.join(wanted, ["key", "family"], "left_semi").join(rooted.select("h", "s", "n"), "h"))
     x, y = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in texts.columns]) for side in "xy")
-    near = (F.col("_key_y") == F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & may_be_alike(similarity, tables, "x", "y")
-    pairs = met.withColumnRenamed("key_y", "_key_y").join(x, "key_x").join(y, near)
+    near = [F.col("_key") == F.col("key_y"), F.col("_family") == F.col("family_y"), may_be_alike(similarity, tables, "x", "y")]
+    met = met.withColumnsRenamed({"key_y": "_key", "family_y": "_family"})
+    pairs = met.join(x, ["key_x", "family_x"]).join(y, near)
     return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
 
 
@@ -320,7 +419,6 @@ def screened(pairs: DataFrame, sigs: DataFrame, similarity: float, tables: int)
 
 def alike(docs: DataFrame, near: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles reach the Jaccard similarity."""
-    near = stored(near)
     sets = shingle_sets(docs, near.select("a").union(near.select("b")).distinct(), width, text_col)
     a, b = F.col("a_set"), F.col("b_set")
     both = F.size(F.array_intersect(a, b))

@@ -133,6 +133,31 @@ def test_near_pairs_inside_a_family_below_the_similarity(spark):
     assert [i for i in range(0, 300, 2) if group[i] == group[i + 1] and got[hashes[i]] != got[hashes[i + 1]]] == []
 
 
+def test_a_family_below_the_similarity_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Its texts meet in the buckets, but none is compared with a text that it cannot be alike with."""
+    rng, made, alike = random.Random(7), [], simhash.alike
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(near(base, rng, 0.025))) for i in range(240)]
+    rows += [(240 + k, rows[8 * k][1] + " more words") for k in range(30)]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    close = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def counted(docs, pairs, *rest):
+        pairs = simhash.stored(pairs)
+        made.append(pairs.count())
+        return alike(docs, pairs, *rest)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    got = {r["h"]: r["root"] for r in simhash.similar_texts(docs).collect()}
+    hashes = [r["h"] for r in docs.orderBy("doc_id").select(simhash.text_hash("text").alias("h")).collect()]
+    found = roots(range(len(rows)), close)
+    assert len(made) == 2 and made[1] <= 3 * len(rows)
+    assert all(got[hashes[8 * k]] == got[hashes[240 + k]] for k in range(30))
+    wrong = [(a, b) for a in range(len(rows)) for b in range(a) if got[hashes[a]] == got[hashes[b]] and found[a] != found[b]]
+    assert wrong == []
+
+
 def test_one_row_of_each_group_stays(awkward, nothing, documents):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
