@@ -113,6 +113,10 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+#: Edges that one task takes in a round; so many and fewer need no exchange.
+EDGES_AT_ONCE = 1 << 17
+
+
 def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has an edge.
 
@@ -120,31 +124,43 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     then all (alternating large and small stars), until no edge changes. The number of rounds
     grows with the logarithm of the longest chain; each is cut off by a checkpoint. Nodes with
     very many neighbours are only ever aggregated by `min`, so no neighbour list is gathered.
+    A round's tasks follow the number of its edges, which mostly falls fast.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     # Edges are distinct, so their number and the sums of two hashes tell them apart without a shuffle.
     seen = [F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64("hi", "lo"), F.xxhash64("lo", "hi", F.lit(1)))]]
     told = edges.agg(*seen).first()
     while True:
+        edges, alone = _dealt(edges, told[0]), told[0] <= EDGES_AT_ONCE
         # Large star: neighbours above a node go to the smallest node next to it.
-        both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(
-            edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("least"))
-        least = least.select("n", F.least("n", "least").alias("least"))
-        large = (both.filter(F.col("m") > F.col("n")).join(least, "n")
-                 .select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct())
+        both = edges.select(F.inline(F.array(_edge("hi", "lo", "n", "m"), _edge("lo", "hi", "n", "m"))))
+        large = (_with_least(both, "n", "m", alone).filter(F.col("m") > F.col("n"))
+                 .select(F.col("m").alias("hi"), F.least("n", "least").alias("lo")).distinct())
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        down = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = (large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-                 .filter(F.col("hi") != F.col("lo"))
-                 .union(down.select("hi", F.col("least").alias("lo"))).distinct())
+        small = (_with_least(large, "hi", "lo", alone)
+                 .select(F.inline(F.array(_edge("lo", "least", "hi", "lo"), _edge("hi", "least", "hi", "lo"))))
+                 .filter(F.col("hi") != F.col("lo")).distinct())
         small = stored(small)
         edges, before, told = small, told, small.agg(*seen).first()
         if told == before:
             break
-    roots = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "node")
-    tops = edges.select(F.col("lo").alias("node")).distinct()
-    return roots.union(tops.select("node", F.col("node").alias("root")))
+    nodes = _dealt(edges, told[0]).select(F.inline(F.array(_edge("hi", "lo", "node", "root"), _edge("lo", "lo", "node", "root"))))
+    return nodes.groupBy("node").agg(F.min("root").alias("root"))
+
+
+def _dealt(edges: DataFrame, count: int) -> DataFrame:
+    return edges.coalesce(max(1, -(-count // EDGES_AT_ONCE)))
+
+
+def _with_least(pairs: DataFrame, by: str, of: str, alone: bool) -> DataFrame:
+    """`pairs` with `least`, the smallest `of` for each `by`: in place if they lie in one task, else combined and joined."""
+    if alone:
+        return pairs.withColumn("least", F.min(of).over(Window.partitionBy(by)))
+    return pairs.join(pairs.groupBy(by).agg(F.min(of).alias("least")), by)
+
+
+def _edge(a: str, b: str, *names: str) -> Column:
+    return F.struct(*[F.col(c).alias(n) for c, n in zip((a, b), names)])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, id_col: str = "doc_id",
@@ -209,6 +225,10 @@ def may_be_alike(similarity: float, tables: int, a: str, b: str) -> Column:
     return sizes & (differ <= angle * bits + 3 * sqrt(angle * (1 - angle) * bits))
 
 
+#: So many hashes are sent to every task, which drops the other texts before they are dealt by hash.
+SENT_HASHES = 100_000
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
     """(h, set): the distinct shingles, as 32-bit hashes, of the texts whose hash is wanted."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +239,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str)
                 [batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["h", "set"])
 
     texts = docs.select(text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    own = texts.join(wanted.toDF("_w"), F.col("h") == F.col("_w"), "left_semi").dropDuplicates(["h"])
+    wanted = stored(wanted.toDF("_w"))
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_HASHES else wanted
+    own = texts.join(wanted, F.col("h") == F.col("_w"), "left_semi").dropDuplicates(["h"])
     return own.mapInArrow(sets, "h long, set array<int>")
 
 
@@ -352,14 +374,15 @@ def within_families(docs: DataFrame, rooted: DataFrame, keys: DataFrame, buckets
 
     # All others: by a shared element among the first of both.
     least = off.groupBy("family").agg(F.min("q").alias("q0"))
-    off = off.join(least, "family").withColumn("band", F.floor(F.log2(F.col("q") - F.col("q0") + 1)).cast("int"))
+    off = stored(off.join(least, "family").withColumn("band", F.floor(F.log2(F.col("q") - F.col("q0") + 1)).cast("int")))
+    # The bands join the texts, for their elements are many and a family may hold most of them.
     bands = off.groupBy("family").agg(F.collect_set("band").alias("bands"))
-    each = (off.select("h", "root", "family", "s", "n", "q", "q0", "band", F.size("off").alias("len"), F.explode("off").alias("e"))
+    each = (off.join(bands, "family")
+            .select("h", "root", "family", "s", "n", "q", "q0", "band", "bands", F.size("off").alias("len"), F.explode("off").alias("e"))
             .join(counts.select("family", "e", F.least("c", F.col("members") - F.col("c")).alias("held")), ["family", "e"])
             .withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("held", "e"))))
     last = lambda n, q, other: F.col(n) - shared_least(F.col(q), other) + 1
-    sent = (each.join(bands, "family")
-            .withColumn("to", F.explode(F.filter("bands", lambda b: F.col("nth") <= last(
+    sent = (each.withColumn("to", F.explode(F.filter("bands", lambda b: F.col("nth") <= last(
                 "len", "q", F.col("q0") + F.pow(F.lit(2.0), b) - 1))))
             .select("h", "root", "family", "s", "n", "q", "len", "nth", "e", "band", "to"))
     meeting = Window.partitionBy("family", "e", F.least("band", "to"), F.greatest("band", "to"))

@@ -190,6 +190,39 @@ def test_variants_travel_in_one_long(spark, monkeypatch):
     assert len(sent) == 1 and not any("Exchange hashpartitioning(v#" in line for plan in plans for line in plan.splitlines())
 
 
+def test_few_edges_are_tied_without_an_exchange(spark, monkeypatch):
+    """A round over 211 partitions costs a thousand tasks, however few the edges are."""
+    plans, stored = [], simhash.stored
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    simhash.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
+    assert len(plans) > 2 and not any("Exchange" in plan for plan in plans[1:])
+
+
+@pytest.mark.parametrize("most", [1, 60])
+def test_components_of_more_edges_than_a_task_takes(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "EDGES_AT_ONCE", most)
+    edges = [(i, i + 1) for i in range(70) if i % 7] + [(100, i) for i in range(101, 140)] + [(3, 120)]
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == roots({x for e in edges for x in e}, edges)
+
+
+def test_only_wanted_texts_are_dealt_by_hash(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d e {i}") for i in range(9)] + [(9, "a b c d e 1")], "doc_id long, text string")
+    hashes = docs.select(simhash.text_hash("text").alias("h")).filter("h % 2 = 0").distinct()
+    sets = simhash.shingle_sets(docs, hashes, 5, "text")
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("Exchange hashpartitioning")[1] and "SortMergeJoin" not in plan
+    monkeypatch.setattr(simhash, "SENT_HASHES", 0)
+    more = simhash.shingle_sets(docs, hashes, 5, "text")
+    as_sets = lambda df: sorted((r["h"], sorted(r["set"])) for r in df.collect())
+    assert as_sets(sets) == as_sets(more) and len(as_sets(sets)) == hashes.count()
+
+
 def test_rounds_end_without_comparing_all_edges(spark, monkeypatch):
     monkeypatch.delattr(type(spark.range(0)), "exceptAll")
     got = simhash.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
