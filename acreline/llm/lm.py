@@ -12,7 +12,8 @@ at the unigram model and are trained by distributed gradient updates: in each ro
 takes a share of the training documents, starts from the broadcast weights, makes its updates
 in batches, and the changes are averaged by tokens, slice by slice. The weights' size is
 fixed; word counts, which grow with the corpus, stay in Spark and are joined by word, except
-for a bounded number of the most frequent words that every task knows.
+for a bounded number of the most frequent words that every task knows. Texts are split and their
+words looked up once; training and scoring read the words' numbers.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ SLICES = 64
 KNOWN_WORDS = 500_000
 BATCH_TOKENS = 4096
 SCORED_TOKENS = 1 << 13
+LOOKED_UP = 1 << 15  # words of several texts at once
 TRAIN_BYTES = 64 << 20
 RATE = 0.3
 END = b""  # no word is empty, so the empty string stands for the end
@@ -206,8 +208,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         def flush():
             words = list(counts)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(map(bucket_of, words), pa.int32()),
-                 pa.array(counts.values(), pa.int64())], names=["word", "bucket", "n"])
+                [pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
             counts.clear()
             return out
 
@@ -220,8 +221,9 @@ def count_words(texts: DataFrame) -> DataFrame:
                 counts[END] += 1
         yield flush()
 
-    partial = texts.mapInArrow(counted, "word binary, bucket int, n long")
-    return partial.groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
+    partial = texts.mapInArrow(counted, "word binary, n long")
+    bucket = (F.crc32(F.expr("if(length(word) > 3, substring(word, length(word) - 2, 3), word)")) % TAILS).cast("int")
+    return partial.groupBy("word").agg(F.sum("n").alias("n")).select("word", bucket.alias("bucket"), "n")
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -252,37 +254,114 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, n, output, out_count, out_types, tokens, types)
 
 
-def _outputs(v: Vocabulary, index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(known index or -1, outputs, numbers of the words as contexts, positions of unknown words)."""
-    at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-    rare = np.flatnonzero(at < 0)
-    outs = v.output[at] if len(v.output) else np.zeros(len(words), np.int64)
-    context = at + 1
-    if len(rare):
-        outs[rare] = [OUTPUTS - TAILS + bucket_of(words[i]) for i in rare.tolist()]
-        # Words beyond the known ones are contexts by their own hash.
-        context[rare] = [(1 << 32) + zlib.crc32(words[i]) for i in rare.tolist()]
-    return at, outs, context, rare
-
-
-def _runs(texts: Iterator[bytes | None], most: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
-    """Words of several texts at once, with (text number, words) pieces; -1 - n ends text n."""
-    words, pieces = [], []
-    for number, text in enumerate(texts):
-        for part in portions(text or b"", PORTION_BYTES // 4):
-            own = part.lower().split()
-            pieces.append((number, len(own)))
-            words += own
-            if len(words) >= most:
-                yield words, pieces
-                words, pieces = [], []
-        words.append(END)
-        pieces.append((-1 - number, 1))
-        if len(words) >= most:
-            yield words, pieces
+def _pieces(text: bytes | None) -> Iterator[tuple[list[bytes], bool]]:
+    """Words of a text by portions; the last one has the end, and says so."""
+    own = None
+    for part in portions(text or b"", PORTION_BYTES // 4):
+        if own is not None:
+            yield own, False
+        own = part.lower().split()
+    own.append(END)
+    yield own, True
+
+
+def look_up(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """Texts as numbers: a row for each portion of a text, in order, and one for each token that is not known.
+
+    A portion has its `tokens` and how many are `known`, `base`, `codes` and `marks`, and whether it is the `last`.
+    `codes` are 32-bit indexes of known words, -1 - bucket for others, whose crc32 are `marks`. The other rows
+    have only `word`. `h` tells the texts of one id apart. What is known adds to `base` as a whole; of other tokens the
+    part that their count adds is left out.
+    """
+    shared_v = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    key = zlib.crc32(repr((vocabulary.tokens, vocabulary.types, vocabulary.words[:50])).encode())
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared_v.value
+        index = _index(v, key)
+        unseen = -log10(v.tokens + 0.1 * (v.types + 1))
+
+        def numbered(batch: pa.RecordBatch, words: list[bytes], pieces: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+            number, length, last = map(np.array, zip(*pieces))
+            codes = np.fromiter(map(index.get, words, repeat(-1)), "<i4", len(words))
+            rare = np.flatnonzero(codes < 0)
+            plain = v.base[codes] if len(v.words) else np.zeros(len(words))
+            rare_words = [words[i] for i in rare.tolist()]
+            marks = np.fromiter(map(zlib.crc32, rare_words), "<u4", len(rare))
+            endings = np.fromiter(map(zlib.crc32, [w[-3:] for w in rare_words]), "<u4", len(rare))  # as bucket_of
+            codes[rare] = -1 - (endings % TAILS).astype("<i4")
+            plain[rare] = unseen
+            n, m, piece = len(pieces), len(rare), np.repeat(np.arange(len(pieces)), length)
+            unknown = np.bincount(piece[rare], minlength=n)
+            base = np.bincount(piece, weights=plain, minlength=n)
+            where = pa.array(np.concatenate([number, number[piece[rare]]]))
+            lists = (pa.array(length), pa.array(length - unknown), pa.array(base), _binary(codes, length),
+                     _binary(marks, unknown), pa.array(last))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(where), batch.column(1).take(where),
+                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare_words, pa.binary())]),
+                 *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in lists)],
+                names=["id", "h", "word", "tokens", "known", "base", "codes", "marks", "last"])
+
+        for batch in batches:
             words, pieces = [], []
-    if words:
-        yield words, pieces
+            for number, text in enumerate(batch.column(2).cast(pa.binary())):
+                for own, last in _pieces(text.as_py()):
+                    words += own
+                    pieces.append((number, len(own), last))
+                    if len(words) >= LOOKED_UP:
+                        yield numbered(batch, words, pieces)
+                        words, pieces = [], []
+            if pieces:
+                yield numbered(batch, words, pieces)
+
+    text = F.col(text_col).cast("string")
+    return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+            .mapInArrow(found, f"id {id_type}, h long, word binary, tokens long, known long, base double, "
+                               "codes binary, marks binary, last boolean"))
+
+
+def _binary(numbers: np.ndarray, length: np.ndarray) -> pa.Array:
+    """32-bit numbers as one binary value for each length."""
+    offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column made by `_binary`, and how many there are up to each value."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(data, "u1")[at[0]:at[-1]].view(kind) if data else np.zeros(0, kind)
+    return flat, (at[1:] - at[0]) // 4
+
+
+def _runs(batch: pa.RecordBatch, output: np.ndarray, most: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of several portions (codes, marks, last) at once: place, codes, outputs, contexts, whether an end.
+
+    A run stops at the first portion or end at which it has `most` tokens or more.
+    """
+    codes, until = _numbers(batch.column(0), "<i4")
+    marks, _ = _numbers(batch.column(1), "<u4")
+    last = until[batch.column(2).to_numpy(zero_copy_only=False).astype(bool)] - 1
+    ends = np.zeros(len(codes), bool)
+    ends[last] = True
+    rare, stops, lo = np.flatnonzero(codes < 0), np.unique(np.concatenate([until, last])), 0
+    while lo < len(codes):
+        stop = np.searchsorted(stops, lo + most)
+        hi = int(stops[stop]) if stop < len(stops) else len(codes)
+        place, own = slice(lo, hi), codes[lo:hi].astype(np.int64)
+        outs = output.take(own, mode="clip") if len(output) else np.zeros(len(own), np.int64)
+        context = own + 1
+        some = slice(*np.searchsorted(rare, (lo, hi)))
+        unknown = rare[some] - lo
+        if len(unknown):
+            outs[unknown] = OUTPUTS - TAILS - 1 - own[unknown]
+            # Words beyond the known ones are contexts by their own hash.
+            context[unknown] = (1 << 32) + marks[some].astype(np.int64)
+        yield place, own, outs, context, ends[place]
+        lo = hi
 
 
 def _padded(words: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,14 +376,18 @@ def _padded(words: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np
 
 def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, rounds: int = 2):
     """Weights after `rounds` rounds; each round takes its own share of the training documents."""
-    spark = docs.sparkSession
+    return train_numbers(stored(look_up(docs.filter(~held_out(id_col)), vocabulary, id_col, text_col)), vocabulary, rounds)
+
+
+def train_numbers(numbers: DataFrame, vocabulary: Vocabulary, rounds: int = 2):
+    """`train` on texts that were looked up."""
+    spark = numbers.sparkSession
     weights = start_weights(vocabulary)
     if not vocabulary.tokens:
         return weights
-    shared_v = spark.sparkContext.broadcast(vocabulary)
-    key = zlib.crc32(repr((vocabulary.tokens, vocabulary.types, vocabulary.words[:50])).encode())
-    texts = docs.filter(~held_out(id_col)).select(
-        F.col(text_col).cast("string").alias("_t"), F.pmod(F.xxhash64(id_col), F.lit(rounds)).alias("_round"))
+    shared_o = spark.sparkContext.broadcast(vocabulary.output)
+    texts = numbers.filter(F.col("word").isNull() & ~held_out("id")).select(
+        "codes", "marks", "last", F.pmod(F.xxhash64("id"), F.lit(rounds)).alias("_round"))
     # About 7 bytes a token: one task for so many bytes, for the change a task sends is as large as the model.
     tasks = max(spark.sparkContext.defaultParallelism, 7 * vocabulary.tokens // TRAIN_BYTES)
 
@@ -312,32 +395,29 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, r
         shared_w = spark.sparkContext.broadcast(weights)
 
         def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, start = shared_v.value, shared_w.value
-            index, trainer, tokens = _index(v, key), Trainer(start), 0
+            output, start = shared_o.value, shared_w.value
+            trainer, tokens = Trainer(start), 0
             before = np.full(3, START)
             for batch in batches:
-                column = (t.as_py() for t in batch.column(0).cast(pa.binary()))
-                for words, _ in _runs(column, BATCH_TOKENS):
-                    at, outs, context, _ = _outputs(v, index, words)
-                    ends = at == index.get(END, -2)  # one of the known words: every text has one
-                    for lo in range(0, len(words), BATCH_TOKENS):
+                for _, _, outs, context, ends in _runs(batch, output, BATCH_TOKENS):
+                    for lo in range(0, len(outs), BATCH_TOKENS):
                         part = slice(lo, lo + BATCH_TOKENS)
                         run, real = _padded(context[part], ends[part], before)
                         trainer.step(outs[part], run, real)
                         before = run[-3:]
-                    tokens += len(words)
+                    tokens += len(outs)
             if tokens:
                 flat = np.concatenate([(a - b).ravel() for a, b in zip(trainer.weights, start)])
                 for k, piece in enumerate(np.array_split(flat * np.float32(tokens), SLICES)):
                     yield _slice_row(k, tokens, piece)
 
-        change = (texts.filter(F.col("_round") == n).select("_t").coalesce(tasks)
+        change = (texts.filter(F.col("_round") == n).select("codes", "marks", "last").coalesce(tasks)
                   .mapInArrow(updates, "k int, tokens long, change binary"))
         # Sums of a few tasks first, then of those, so no task meets all of a large cluster's changes.
         some = change.groupBy("k", F.pmod(F.xxhash64("change"), F.lit(16)).alias("g")).applyInArrow(
             _summed, "k int, tokens long, change binary")
         sums = some.groupBy("k").applyInArrow(_summed, "k int, tokens long, change binary")
-        got = sorted(sums.collect(), key=lambda r: r["k"])
+        got = sorted(stored(sums).collect(), key=lambda r: r["k"])
         if not got:
             continue
         flat = np.concatenate([np.frombuffer(r["change"], "f4") for r in got]) / np.float32(got[0]["tokens"])
@@ -375,73 +455,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     counts = stored(count_words(rows.filter(~held_out(id_col)).select(text_col)))
     vocabulary = learn_vocabulary(counts)
-    weights = train(rows, vocabulary, id_col, text_col, rounds)
-    shared = spark.sparkContext.broadcast((vocabulary, weights))
-    key = zlib.crc32(repr((vocabulary.tokens, vocabulary.types, vocabulary.words[:50])).encode())
+    numbers = stored(look_up(rows, vocabulary, id_col, text_col))
+    weights = train_numbers(numbers, vocabulary, rounds)
+    shared = spark.sparkContext.broadcast((vocabulary.output, vocabulary.inside, vocabulary.tail_total, weights))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = shared.value
-        index = _index(v, key)
+        output, inside, tail_total, weights = shared.value
         for batch in batches:
             n = len(batch)
-            tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            base, model = np.zeros(n), np.zeros(n)
-            rare_doc, rare_word = [], []
-            before = np.full(3, START)
-            texts = (t.as_py() for t in batch.column(2).cast(pa.binary()))
-            for words, pieces in _runs(texts, SCORED_TOKENS):
-                at, outs, context, rare = _outputs(v, index, words)
-                ends = np.zeros(len(words), bool)
-                doc = np.repeat([p[0] if p[0] >= 0 else -1 - p[0] for p in pieces], [p[1] for p in pieces])
-                last = np.cumsum([p[1] for p in pieces]) - 1
-                ends[last[[p[0] < 0 for p in pieces]]] = True
-                logs = np.empty(len(words))
-                for lo in range(0, len(words), SCORED_TOKENS):
+            piece = np.repeat(np.arange(n), batch.column(3).to_numpy())
+            model, before = np.zeros(n), np.full(3, START)
+            for place, codes, outs, context, ends in _runs(batch, output, SCORED_TOKENS):
+                logs = np.empty(len(codes))
+                for lo in range(0, len(codes), SCORED_TOKENS):
                     part = slice(lo, lo + SCORED_TOKENS)
                     run, real = _padded(context[part], ends[part], before)
                     logs[part] = log_probabilities(weights, outs[part], run, real)
                     before = run[-3:]
-                seen = at >= 0
-                plain = np.zeros(len(words))
-                if len(v.words):
-                    plain[seen] = v.base[at[seen]]
-                    logs[seen] += v.inside[at[seen]]
-                if len(rare):  # without the count's own part, which is joined
-                    plain[rare] = -log10(v.tokens + 0.1 * (v.types + 1))
-                    logs[rare] -= v.tail_total[outs[rare] - (OUTPUTS - TAILS)]
-                    rare_doc.append(doc[rare])
-                    rare_word += [words[i] for i in rare.tolist()]
-                tokens += np.bincount(doc, minlength=n)
-                known += np.bincount(doc, weights=seen, minlength=n).astype(np.int64)
-                base += np.bincount(doc, weights=plain, minlength=n)
-                model += np.bincount(doc, weights=logs, minlength=n)
-            m = len(rare_word)
-            where = pa.array(np.concatenate([np.arange(n), *rare_doc]))
-            lists = (tokens, known, base, model)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where),
-                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare_word, pa.binary())]),
-                 *(pa.concat_arrays([pa.array(x), pa.nulls(m, pa.array(x).type)]) for x in lists)],
-                names=["id", "h", "word", "tokens", "known", "base", "model"])
-
-    parts = (rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-             .mapInArrow(scored, f"id {id_type}, h long, word binary, tokens long, known long, "
-                                 "base double, model double"))
+                unknown = codes < 0
+                if len(inside):
+                    logs += np.where(unknown, 0.0, inside.take(codes, mode="clip"))
+                if unknown.any():  # without the count's own part, which is joined
+                    logs[unknown] -= tail_total[-1 - codes[unknown]]
+                model += np.bincount(piece[place], weights=logs, minlength=n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(model)], names=[*batch.schema.names[2:], "model"])
+
+    parts = (numbers.filter("word IS NULL").select("codes", "marks", "last", "tokens", "id", "h", "known", "base")
+             .mapInArrow(scored, f"last boolean, tokens long, id {id_type}, h long, known long, base double, model double"))
     parts = stored(parts)
     # Rare words: count once per document and word, join the corpus count, add up per document.
-    rare = parts.filter("word IS NOT NULL").groupBy("word", "id", "h").agg(F.count("*").alias("k"))
+    rare = numbers.filter("word IS NOT NULL").groupBy("word", "id", "h").agg(F.count("*").alias("k"))
     found = rare.join(counts.select(F.col("word").alias("_w"), "n"), F.col("word") == F.col("_w"), "left")
     times = F.col("k").cast("double")
-    extra = found.select("id", "h", F.lit(None).cast("long").alias("tokens"),
-                         F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"),
+    extra = found.select("id", "h", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"),
                          (times * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("own"))
-    lists = (parts.filter("word IS NULL").select("id", "h", "tokens", "known", "base", "model")
-             .unionByName(extra, allowMissingColumns=True))
+    lists = parts.unionByName(extra, allowMissingColumns=True)
     # Rows equal in id and text meet here and are counted; each gets its share and comes out again.
-    n = F.count("tokens")
+    n = F.count_if("last")
     sums = lists.groupBy("id", "h").agg(
-        n.alias("m"), F.max("tokens").alias("n_tokens"), (F.sum("known") / n).cast("long").alias("n_known"),
+        n.alias("m"), (F.sum("tokens") / n).cast("long").alias("n_tokens"), (F.sum("known") / n).cast("long").alias("n_known"),
         ((F.sum("base") + F.coalesce(F.sum("own"), F.lit(0.0))) / n).alias("base_score"),
         ((F.sum("model") + F.coalesce(F.sum("own"), F.lit(0.0))) / n).alias("score"))
     each = sums.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from acreline.llm import lm
 from acreline.llm.queries import op5_lm_scores
@@ -145,3 +146,60 @@ def test_a_step_puts_each_row_back_once(monkeypatch):
         assert changed == set(rows.ravel().tolist())
         count = collections.Counter(rows[1:].ravel().tolist())
         assert added[k] == (sum(n for n in count.values() if n > 1), sum(n > 1 for n in count.values()))
+
+
+def test_texts_are_split_and_looked_up_once(spark, documents, monkeypatch):
+    """Training and scoring read the words' numbers, not the texts."""
+    made, read, look_up, train = [], [], lm.look_up, lm.train_numbers
+    monkeypatch.setattr(lm, "look_up", lambda *args: made.append(1) or look_up(*args))
+    monkeypatch.setattr(lm, "train_numbers", lambda numbers, *args: read.append(numbers.columns) or train(numbers, *args))
+    lm.score(documents.limit(50))
+    assert made == [1] and len(read) == 1 and not {"t", "text"} & set(read[0])
+
+
+def test_numbers_of_texts_by_the_definition(awkward):
+    """Known words by index, others by bucket and hash; a text above a portion has several rows, the last with its end."""
+    v = lm.learn_vocabulary(lm.count_words(awkward.filter("doc_id % 2 = 0").select("text")))
+    got = lm.look_up(awkward.filter("doc_id < 6 OR doc_id = 8"), v, "doc_id", "text").collect()
+    texts, rare = {r["doc_id"]: r["text"] for r in awkward.collect()}, collections.Counter()
+    rows = collections.defaultdict(list)
+    for r in got:
+        if r["word"] is None:
+            rows[r["id"]].append(r)
+        else:
+            rare[r["id"], r["word"]] += 1
+    assert set(rows) == {0, 1, 2, 3, 4, 5, 8} and len(rows[5]) == 2
+    for i, own in rows.items():
+        words = [*(texts[i] or "").encode().lower().split(), b""]
+        codes = np.concatenate([np.frombuffer(r["codes"], "<i4") for r in own])
+        marks = np.concatenate([np.frombuffer(r["marks"], "<u4") for r in own])
+        unknown = [w for w in words if w not in v.words]
+        assert codes.tolist() == [v.words.index(w) if w in v.words else -1 - lm.bucket_of(w) for w in words]
+        assert marks.tolist() == [zlib.crc32(w) for w in unknown]
+        assert collections.Counter(unknown) == {w: n for (j, w), n in rare.items() if j == i}
+        assert [r["last"] for r in own] == [False] * (len(own) - 1) + [True]
+        assert sum(r["tokens"] for r in own) == len(words) and sum(r["known"] for r in own) == len(words) - len(unknown)
+
+
+def test_runs_stop_at_portions_and_ends():
+    """Also in a part of a batch, as Arrow may hand it over."""
+    codes = [[1, 0], [0], [2, -3, 4, 5], [6, -2, 0], [7, 0]]
+    last = [True, True, False, True, True]
+    flat = np.array(sum(codes, []), "<i4")
+    columns = [lm._binary(flat, np.array([*map(len, codes)])), lm._binary(np.array([70, 80], "<u4"), np.array([0, 0, 1, 1, 0])), pa.array(last)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["codes", "marks", "last"])
+    output = np.arange(10) + 100
+    runs = [(own.tolist(), outs.tolist(), context.tolist(), ends.tolist()) for _, own, outs, context, ends in lm._runs(batch.slice(1), output, 3)]
+    tail = lm.OUTPUTS - lm.TAILS
+    assert runs == [
+        ([0, 2, -3, 4, 5], [100, 102, tail + 2, 104, 105], [1, 3, (1 << 32) + 70, 5, 6], [True, False, False, False, False]),
+        ([6, -2, 0], [106, tail + 1, 100], [7, (1 << 32) + 80, 1], [False, False, True]),
+        ([7, 0], [107, 100], [8, 1], [False, True])]
+    assert [len(run[1]) for run in lm._runs(batch, output, 1)] == [1, 1, 1, 4, 2, 1, 1, 1]
+    assert [run[0] for run in lm._runs(batch, output, 100)] == [slice(0, 12)]
+
+
+def test_buckets_of_counted_words(spark):
+    words = ["a", "ab", "abc", "abcd", "日本", "xyzé"]
+    got = lm.count_words(spark.createDataFrame([(" ".join(words),)], "text string")).collect()
+    assert {r["word"]: r["bucket"] for r in got} == {w: lm.bucket_of(w) for w in [*(x.encode() for x in words), b""]}
