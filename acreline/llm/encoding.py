@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
+from acreline.llm.common import give_back
+
 #: Words longer than this are encoded but not kept.
 KEEP_BYTES = 64
 #: Different words kept per Python worker before the memo is emptied.
@@ -59,7 +62,7 @@ def portions(text: bytes, most: int = PORTION_BYTES) -> Iterator[bytes]:
 class WordEncoder:
     """Ids of words as little-endian unsigned 32-bit integers, memoised."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, keep_words: int = KEEP_WORDS):
         from tokenizers import Tokenizer
 
         check_splittable(tokenizer_json)
@@ -71,6 +74,7 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self._ends[i] = token.endswith(_WORD_END)
         self._added = {t["content"].encode().lower() for t in json.loads(tokenizer_json)["added_tokens"]}
+        self._keep = keep_words
         self._memo: dict[bytes, bytes] = {}
         self._tails: dict[bytes, bytes] = {b"": b""}
 
@@ -81,12 +85,19 @@ class WordEncoder:
         if new:
             self._learn(new)
         out = list(map(memo.__getitem__, words))
-        if len(memo) > KEEP_WORDS:
+        if len(memo) > self._keep:
             memo.clear()
         for w in [w for w in new if len(w) > KEEP_BYTES]:
             memo.pop(w, None)
         return out
 
+    def close(self) -> None:
+        """Let go of the tokenizer and all that is memoised; what the worker has freed goes back to the system."""
+        self._tokenizer = None
+        self._memo.clear()
+        self._tails.clear()
+        give_back()
+
     def _learn(self, words: list[bytes]) -> None:
         memo, tails = self._memo, self._tails
         cores = [w.rstrip(_TAIL) for w in words]
@@ -134,7 +145,7 @@ class WordEncoder:
         return [w if any(a in low for a in self._added) else low
                 for w, low in zip(text.split(), lower.split())]
 
-    def texts(self, texts: list[bytes | None], group_bytes: int = GROUP_BYTES) -> Iterator[Iterator[bytes]]:
+    def texts(self, texts: Iterable[bytes | None], group_bytes: int = GROUP_BYTES) -> Iterator[Iterator[bytes]]:
         """For each text the ids of its portions; several short texts share one call."""
         group, size = [], 0
         for text in texts:
@@ -172,6 +183,16 @@ def encoder(tokenizer_json: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+@contextmanager
+def task_encoder(tokenizer_json: str, keep_words: int) -> Iterator[WordEncoder]:
+    """An encoder for one task. Its memory goes with the task, for workers that have other work too."""
+    own = WordEncoder(tokenizer_json, keep_words)
+    try:
+        yield own
+    finally:
+        own.close()
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file's text; a few MB, sent to the executors as one broadcast."""
     with open(path, encoding="utf-8") as file:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreline.llm.common import exclusive_sum, shuffle_partitions, stored
-from acreline.llm.encoding import GROUP_BYTES, encoder, read_tokenizer
+from acreline.llm.encoding import GROUP_BYTES, WordEncoder, encoder, read_tokenizer, task_encoder
 
 #: Third lengths tried with each first length when triples are enumerated. Others are left
 #: to the pass over residuals, which takes all lengths.
@@ -32,7 +33,7 @@ NNLS_ROUNDS = 300
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
                id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
-               group_bytes: int = GROUP_BYTES) -> DataFrame:
+               group_bytes: int = GROUP_BYTES, task_words: int | None = None) -> DataFrame:
     """Pieces of at most `window` ids: (id, start, length, ids_crc32, doc_tokens[, ids]).
 
     A NULL or empty text is the end id alone.
@@ -42,27 +43,30 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
     end, step = np.asarray([end_id], dtype="<u4").tobytes(), 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer.value)
-        for batch in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, parts in enumerate(encode.texts(texts, group_bytes)):
-                raw = b"".join([*parts, end])
-                for at in range(0, len(raw), step):
-                    piece = raw[at:at + step]
-                    row.append(i)
-                    start.append(at // 4)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    total.append(len(raw) // 4)
-                    if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype("i4"))
-            out = [batch.column(0).take(pa.array(row, pa.int64())),
-                   *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+        with task_encoder(tokenizer.value, task_words) if task_words else nullcontext(encoder(tokenizer.value)) as encode:
+            for batch in batches:
+                yield pieces(encode, batch)
+
+    def pieces(encode: WordEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, length, crc, total, ids = [], [], [], [], [], []
+        texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+        for i, parts in enumerate(encode.texts(texts, group_bytes)):
+            raw = b"".join([*parts, end])
+            for at in range(0, len(raw), step):
+                piece = raw[at:at + step]
+                row.append(i)
+                start.append(at // 4)
+                length.append(len(piece) // 4)
+                crc.append(zlib.crc32(piece))
+                total.append(len(raw) // 4)
+                if with_ids:
+                    ids.append(np.frombuffer(piece, "<u4").astype("i4"))
+        out = [batch.column(0).take(pa.array(row, pa.int64())),
+               *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:
+            out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(out, names=names)
 
     schema = (f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
               + ", ids array<int>" * with_ids)
@@ -157,17 +161,18 @@ def _places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.n
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2,
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
-         group_bytes: int = GROUP_BYTES) -> DataFrame:
+         group_bytes: int = GROUP_BYTES, task_words: int | None = None) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     Every id lies in exactly one piece; the pieces of a sequence are gapless from offset 0
     and hold at most `window` ids. NULL and empty texts are packed as their end id. Repeated
     rows are packed once each; NULL ids stay NULL. No rows in: no rows out. Other columns are
     not read. `with_ids` carries the ids themselves (see `sequences`). Texts are encoded `group_bytes`
-    at a time: fewer bytes need less memory and more time.
+    at a time: fewer bytes need less memory and more time. With `task_words` every task has an encoder of
+    its own, which remembers so many words and goes with it; else a worker keeps one for its later tasks.
     """
     spark = docs.sparkSession
-    pieces = stored(cut_pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids, group_bytes))
+    pieces = stored(cut_pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids, group_bytes, task_words))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").agg(F.count("*")).collect():
         histogram[length] = n

@@ -19,8 +19,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acreline.llm.common import give_back
+
 LEVEL = 3
 BLOCK = 512
+#: Rows scored and passed on at a time.
+ROWS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -147,11 +151,15 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id",
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model) if model.good else None
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
-            p = [scorer.score(t.as_py() or b"") if scorer else 0.5 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(inner)], pa.array(p, pa.float64())], names=[*inner, "_llm_score"])
+        for whole in batches:
+            # A few rows at a time: the texts come back to Spark, which holds a batch outside its heap.
+            for lo in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                texts = batch.column(at).cast(pa.binary())
+                p = [scorer.score(t.as_py() or b"") if scorer else 0.5 for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(inner)], pa.array(p, pa.float64())], names=[*inner, "_llm_score"])
+        give_back()
 
     schema = ", ".join([f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(keep, inner)]
                        + ["_llm_score double"])

@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences; small groups of texts, for Python workers also hold what the stages before left."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), group_bytes=1 << 20)
+    """Pieces of training sequences; small groups of texts and an encoder for each task, as the workers serve all stages."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), group_bytes=1 << 20, task_words=100_000)
 
 
 STAGES = [("quality classifier", quality_filter), ("near-dedup", near_dedup), ("pii", pseudonyms),

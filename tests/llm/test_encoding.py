@@ -140,3 +140,14 @@ def test_least_squares_fits_an_exact_histogram():
     x = packing.nnls_repeats(combos, counts)
     made = sum(np.bincount(combos[:, k], weights=x, minlength=65) for k in range(3))
     assert np.abs(made[1:] - counts[1:]).max() < 5
+
+
+def test_a_tasks_encoder_goes_with_it(library):
+    text = " ".join(f"word{i} and{i}" for i in range(3000))
+    with encoding.task_encoder(encoding.read_tokenizer(PATH), 100) as own:
+        for _ in range(2):
+            [ids] = own.texts([text.encode()])
+            assert np.frombuffer(b"".join(ids), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert len(own._memo) <= 100
+        own.ids_of([b"left"])
+    assert not own._memo and own._tokenizer is None

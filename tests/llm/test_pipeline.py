@@ -2,7 +2,7 @@ import corpus_pipeline as cp
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from acreline.llm import pii, quality
+from acreline.llm import encoding, pii, quality
 from acreline.llm.queries import QUERIES, op1_token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,17 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, awkward, nothing):
             stage(spark, table, SF).count()
 
 
+def test_packing_leaves_no_encoder_in_the_worker(spark, documents, monkeypatch):
+    seen, frame = [], type(documents)
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: (seen.append(f), real(self, f, *a, **b))[1])
+    cp.pack_sequences(spark, documents, SF)
+    monkeypatch.setattr(encoding, "_ENCODERS", {})
+    batches = documents.select("doc_id", "text").toArrow().to_batches()
+    assert sum(map(len, seen[0](iter(batches)))) >= documents.count()
+    assert not encoding._ENCODERS
+
+
 def test_run_and_names(spark):
     assert cp.run(spark, SF).count() > 0
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))

@@ -50,3 +50,15 @@ def test_awkward_rows(spark, awkward, nothing):
     assert quality.score(nothing, model).count() == 0
     none = quality.train(awkward, spark.createDataFrame([(3, 1, 0), (None, 0, 0)], labels.schema))
     assert {r["_llm_score"] for r in quality.score(awkward, none).collect()} == {0.5}
+
+
+def test_texts_are_passed_on_a_few_rows_at_a_time(spark, monkeypatch):
+    docs, labels = table(spark)
+    seen, frame = [], type(docs)
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: (seen.append(f), real(self, f, *a, **b))[1])
+    scored = quality.score(docs, quality.train(docs, labels), keep=docs.columns).collect()
+    [whole] = docs.toArrow().combine_chunks().to_batches()
+    out = list(seen[0](iter([whole])))
+    assert max(map(len, out)) <= 256 < len(whole)
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [tuple(r) for r in scored]
