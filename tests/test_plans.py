@@ -375,6 +375,35 @@ def test_training_rows_lie_in_as_many_partitions_as_their_size_needs(spark, monk
     assert md._parts_for(10_000_000, 10) > 300  # large frames keep theirs
 
 
+def test_trees_are_fitted_to_few_partitions_of_bounded_size(spark, monkeypatch):
+    """The folds' rows stay in partitions by size; those that each level of each tree reads need no more than the cores."""
+    monkeypatch.setattr(md, "_CELLS", 100)
+    seen, fit = [], md.GBTRegressor.fit
+    monkeypatch.setattr(md.GBTRegressor, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    frame = spark.range(600).selectExpr("id % 6 + 2000 AS tax_yr", "id % 7 AS x", "double(id % 7) AS y", "id AS unused").repartition(16)
+    model = md.fit_model(frame, "y", ["x"], folds=[2003], max_trees=2, patience=1, depth=2, min_leaf=5)
+    assert md._parts_for(600, 3) == 18 and seen and set(seen) == {1}
+    assert md.score(frame, model).filter("prediction IS NOT NULL").count() == 600
+    assert md._tree_parts(3_000_000, 6, 8, 1 << 21) == 8 and md._tree_parts(100_000_000, 6, 8, 1 << 21) == 72
+
+
+def test_folds_that_do_not_fit_together_are_searched_in_turn(spark, monkeypatch):
+    running, most, search = [], [], md._best_size
+
+    def watched(*args):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return search(*args)
+        finally:
+            running.pop()
+    monkeypatch.setattr(md, "_best_size", watched)
+    monkeypatch.setattr(md, "_HELD", 2000)  # the frame has 1800 values
+    frame = spark.range(600).selectExpr("id % 6 + 2000 AS tax_yr", "id % 7 AS x", "double(id % 7) AS y")
+    model = md.fit_model(frame, "y", ["x"], folds=[2002, 2003, 2004], max_trees=2, patience=1, depth=2, min_leaf=5)
+    assert most == [1, 1, 1] and model.n_trees == 2
+
+
 def test_models_of_several_frames_are_fitted_at_the_same_time(spark, monkeypatch):
     both = threading.Barrier(2, timeout=20)  # breaks if one is fitted after the other
     monkeypatch.setattr(md, "fit_model", lambda frame, target, features, **options: (both.wait(), target, features, options)[1:])
