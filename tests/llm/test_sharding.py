@@ -68,6 +68,21 @@ def test_awkward_rows(awkward, nothing):
     assert sharding.reshard(nothing).count() == 0
 
 
+def test_rows_lie_whole_in_their_new_shards(spark, tmp_path):
+    """Repeated and NULL ids, NULL texts and columns of any name included; the result is told from the shards."""
+    rows = [(i % 40 if i % 7 else None, None if i % 11 == 0 else f"text {i % 90} " * (i % 5), i, "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _shard int, shard string")
+    path = str(tmp_path / "shards")
+    plan = sharding.reshard(docs, path=path)
+    held = spark.read.parquet(path)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, (r["_row"] for r in held.select("_row").collect()))) == sorted(map(key, docs.collect()))
+    of = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    want = {(r["_shard"], r["_slot"]): (r["_row"]["doc_id"], *of(r["_row"]["text"])) for r in held.collect()}
+    assert len(want) == 600
+    assert {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in plan.collect()} == want
+
+
 def test_rewrite_writes_the_shards_that_change(spark, documents, tmp_path):
     plan = sharding.reshard(documents)
     shards = sharding.rewrite(documents, plan, str(tmp_path / "out"))
